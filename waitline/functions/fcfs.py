@@ -1,0 +1,166 @@
+"""Numpy helpers used inside Spark tasks: first-come-first-served waits and hash draws."""
+
+from __future__ import annotations
+
+import numpy as np
+
+MINUTE_US = 60_000_000.0
+CELL_BUDGET = 4_000_000
+
+
+def stab(points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (point index, interval index) with start <= point < stop; points are sorted."""
+    lo = np.searchsorted(points, start, "left")
+    n = np.maximum(np.searchsorted(points, stop, "left") - lo, 0)
+    which = np.repeat(np.arange(len(start)), n)
+    point = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    return point, which
+
+
+def fcfs_waits(arrive: np.ndarray, service: np.ndarray, jobs: np.ndarray, servers: list[int]) -> np.ndarray:
+    """Waits of (J, R) jobs in queue order for each server count; (J, L, R), inf where there is no job.
+
+    `jobs` holds the job count of each column, largest first. The earliest-free times of the
+    stations are kept sorted, so each job takes row 0 and is sifted back in.
+    """
+    steps, columns = arrive.shape
+    top = max(servers)
+    free = np.zeros((top, len(servers), columns))
+    for level, count in enumerate(servers):
+        free[count:, level] = np.inf
+    waits = np.full((steps, len(servers), columns), np.inf)
+    active = np.searchsorted(-jobs, -np.arange(steps), "left")
+    for j in range(steps):
+        m = active[j]
+        start = np.maximum(free[0, :, :m], arrive[j, :m])
+        waits[j, :, :m] = start - arrive[j, :m]
+        done = start + service[j, :m]
+        for i in range(1, top):
+            nxt = free[i, :, :m]
+            np.minimum(nxt, done, out=free[i - 1, :, :m])
+            done = np.maximum(nxt, done)
+        free[top - 1, :, :m] = done
+    return waits
+
+
+def score(waits: np.ndarray, accrued: np.ndarray, sla: float) -> dict[str, np.ndarray]:
+    """Mean, floor-index P95, maximum and SLA share of (J, L, R) waits; jobs whose accrued wait
+    is NaN hold a station but are not scored. Columns without scored jobs get 0, 0, 0, 100."""
+    total = waits + accrued[:, None, :]
+    total[np.isnan(total)] = np.inf
+    total.sort(axis=0)
+    n = np.isfinite(total[:, 0, :]).sum(axis=0)
+    last = np.maximum(n - 1, 0)
+    rank = np.floor(0.95 * last).astype(np.int64)
+    real = np.isfinite(total)
+    some = np.maximum(n, 1)
+
+    def pick(index):
+        picked = np.take_along_axis(total, np.broadcast_to(index, total.shape[1:])[None], axis=0)[0]
+        return np.where(n > 0, picked, 0.0)
+
+    return {
+        "avg": np.where(real, total, 0.0).sum(axis=0) / some,
+        "p95": pick(rank),
+        "max": pick(last),
+        "sla": np.where(n > 0, (total <= sla).sum(axis=0) / some * 100, 100.0),
+    }
+
+
+def replay(column: np.ndarray, columns: int, arrive: np.ndarray, service: np.ndarray, accrued: np.ndarray,
+           servers: list[int], sla: float) -> dict[str, np.ndarray]:
+    """Score `columns` independent queues given as flat jobs already in queue order per column.
+
+    Returns (columns, levels) arrays. Queues are padded in groups of similar length so that
+    the padding stays small and memory stays within a fixed number of cells.
+    """
+    levels = len(servers)
+    out = {k: np.zeros((columns, levels)) for k in ("avg", "p95", "max")}
+    out["sla"] = np.full((columns, levels), 100.0)
+    n = np.bincount(column, minlength=columns)
+    first = np.cumsum(n) - n
+    order = np.argsort(-n, kind="stable")
+    at = 0
+    while at < columns and n[order[at]] > 0:
+        longest = int(n[order[at]])
+        width = max(1, CELL_BUDGET // (longest * (levels + 3)))
+        chosen = order[at:at + width]
+        chosen = chosen[n[chosen] > 0]
+        counts = n[chosen]
+        local = np.repeat(np.arange(len(chosen)), counts)
+        step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        source = np.repeat(first[chosen], counts) + step
+        grids = []
+        for values, fill in ((arrive, 0.0), (service, 0.0), (accrued, np.nan)):
+            grid = np.full((longest, len(chosen)), fill)
+            grid[step, local] = values[source]
+            grids.append(grid)
+        stats = score(fcfs_waits(grids[0], grids[1], counts, servers), grids[2], sla)
+        for key, values in stats.items():
+            out[key][chosen] = values.T
+        at += width
+    return out
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finalizer constants of the 32-bit murmur3 hash."""
+    mask = np.uint64(0xFFFFFFFF)
+    x = x ^ (x >> np.uint64(16))
+    x = (x * np.uint64(0x85EBCA6B)) & mask
+    x = x ^ (x >> np.uint64(13))
+    x = (x * np.uint64(0xC2B2AE35)) & mask
+    return x ^ (x >> np.uint64(16))
+
+
+def uniform(seed: np.ndarray, scenario: np.ndarray, draw: np.ndarray, stream: int) -> np.ndarray:
+    """Uniform draw in (0, 1) that depends only on its coordinates, so a lost task redraws the same."""
+    mask = np.uint64(0xFFFFFFFF)
+    s, c, k = (np.asarray(v).astype(np.uint64) for v in (seed, scenario, draw))
+    h = _mix((s + c * np.uint64(2654435761)) & mask)
+    h = _mix((h + k * np.uint64(2246822519) + np.uint64(stream) * np.uint64(3266489917)) & mask)
+    return (h.astype(np.float64) + 0.5) / 4294967296.0
+
+
+def poisson_offsets(seed: np.ndarray, scenario: np.ndarray, rate: np.ndarray, horizon: float
+                    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Arrival offsets of each (seed, scenario, rate) column until its horizon.
+
+    Returns flat (column, draw number, offset) in column-major order. Exponential gaps are
+    drawn in rounds until every column has passed the horizon; there is no upper limit.
+    """
+    columns, numbers, offsets = [], [], []
+    open_columns = np.flatnonzero(rate > 0)
+    clock = np.zeros(len(rate))
+    drawn = 0
+    while len(open_columns):
+        mean = float(rate[open_columns].max()) * horizon
+        size = int(np.ceil(mean + 3 * np.sqrt(mean))) + 4 if drawn == 0 else int(np.sqrt(mean)) + 4
+        k = np.arange(drawn, drawn + size)
+        u = uniform(seed[open_columns][:, None], scenario[open_columns][:, None], k[None, :], 0)
+        at = clock[open_columns][:, None] + np.cumsum(-np.log1p(-u) / rate[open_columns][:, None], axis=1)
+        col, pos = np.nonzero(at < horizon)
+        columns.append(open_columns[col])
+        numbers.append(k[pos])
+        offsets.append(at[col, pos])
+        clock[open_columns] = at[:, -1]
+        open_columns = open_columns[at[:, -1] < horizon]
+        drawn += size
+    if not columns:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    column, number, offset = map(np.concatenate, (columns, numbers, offsets))
+    order = np.lexsort((number, column))
+    return column[order], number[order], offset[order]
+
+
+def weighted_pick(group: np.ndarray, u: np.ndarray, first: np.ndarray, n: np.ndarray,
+                  weight: np.ndarray) -> np.ndarray:
+    """Index of the record drawn by u within each group's records [first, first + n)."""
+    owner = np.repeat(np.arange(len(n)), n)
+    index = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    w = weight[index]
+    running = np.cumsum(w)
+    start = np.concatenate(([0.0], running))[np.cumsum(n) - n]
+    total = np.bincount(owner, w, minlength=len(n))
+    scaled = owner + (running - start[owner]) / total[owner]
+    at = np.searchsorted(scaled, group + u, "right")
+    return index[np.minimum(at, (np.cumsum(n) - 1)[group])]

@@ -1,0 +1,147 @@
+"""Capacity and resilience studies over scaled demand."""
+
+from __future__ import annotations
+
+import heapq
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from waitline.functions.clock import MINUTE_US, floor_cell, micros, stamp
+from waitline.functions.ranks import wait_scorecard
+from waitline.functions.spread import by_work
+from waitline.labels import ABSENCES, CAPACITY_STAFF, DEMAND_LEVELS, PLANNED_STAFF
+from waitline.params import Params
+
+
+def hash_uniform(*parts: Column) -> Column:
+    """Repeatable draw in (0, 1) from column values."""
+    text = F.md5(F.concat_ws("|", *parts))
+    return (F.conv(F.substring(text, 1, 8), 16, 10).cast("double") + 0.5) / F.lit(4294967296.0)
+
+
+def scale_demand(metrics: DataFrame, levels: Sequence[tuple[str, float]] = DEMAND_LEVELS,
+                 p: Params = Params()) -> DataFrame:
+    """Copies of each visit so that demand grows by each multiplier.
+
+    A visit appears floor(m) times and once more with probability frac(m); copies arrive at a
+    drawn second of the same window.
+    """
+    if any(m <= 0 for _, m in levels):
+        raise ValueError("demand_multiplier must be greater than 0")
+    dtype = metrics.schema["arrival_time"].dataType
+    options = F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(m)).alias("multiplier")) for n, m in levels])
+    rows = metrics.select("lab_id", "patient_id", "patient_type", "arrival_time", "service_minutes",
+                          F.explode(options).alias("o")).select("*", "o.*").drop("o")
+    whole = F.floor("multiplier")
+    more = hash_uniform(F.col("patient_id"), F.lit("copy")) < F.round(F.col("multiplier") - whole, 9)
+    copies = whole.cast("int") + F.when(more, 1).otherwise(0)
+    rows = rows.withColumn("copies", copies).filter("copies > 0").withColumn(
+        "copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1))).drop("copies")
+    start = floor_cell(micros("arrival_time"), p.step_us) * p.step_us
+    shift = F.floor(hash_uniform(F.col("patient_id"), F.col("copy").cast("string")) * p.window_minutes * 60)
+    moved = stamp(start + shift * 1_000_000, dtype)
+    return rows.withColumn("arrival_time", F.when(F.col("copy") == 0, F.col("arrival_time")).otherwise(moved))
+
+
+def assign_stations(jobs: DataFrame, keys: Sequence[str], servers: Sequence[int],
+                    queued: str = "queue_time") -> DataFrame:
+    """First-come-first-served station assignment of each group's jobs, in order of queueing.
+
+    The earliest free station takes the next job, the lower station number on ties. Groups of
+    any length stream through sorted partitions: a task holds the free times of the stations.
+    Each server count replays separately, so they also spread over tasks.
+    """
+    if any(c < 1 for c in servers):
+        raise ValueError("station_count must be at least 1")
+    keys = list(keys)
+    rows = (jobs.withColumn("servers", F.explode(F.array(*[F.lit(int(c)) for c in servers])))
+            .withColumn("_at", micros(queued)).withColumn("_us", F.round(F.col("service_minutes") * MINUTE_US).cast("long")))
+    group = [*keys, "servers"]
+    order = ["_at", "patient_id", *(["copy"] if "copy" in jobs.columns else [])]
+    kept = [c for c in rows.columns if not c.startswith("_")]
+    schema = rows.select(*kept).schema.add("station_id", "string").add("_start", "long").add("_end", "long")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        here, free = None, []
+        for pdf in batches:
+            stations, starts, ends = [], [], []
+            marks = zip(*[pdf[k].tolist() for k in group])
+            for key, at, length in zip(marks, pdf["_at"].tolist(), pdf["_us"].tolist()):
+                if key != here:
+                    here, free = key, [(at, i) for i in range(1, key[-1] + 1)]
+                ready, station = free[0]
+                start = max(at, ready)
+                heapq.heapreplace(free, (start + length, station))
+                stations.append(station)
+                starts.append(start)
+                ends.append(start + length)
+            yield pdf[kept].assign(station_id=[f"STAFF_{s:02d}" for s in stations], _start=starts, _end=ends)
+
+    done = (by_work(rows, *group).sortWithinPartitions(*group, *order)
+            .select(*kept, "_at", "_us").mapInPandas(walk, schema))
+    dtype = jobs.schema[queued].dataType
+    return (done.withColumn("service_start", stamp(F.col("_start"), dtype))
+            .withColumn("service_end", stamp(F.col("_end"), dtype))
+            .withColumn("wait_minutes", (F.col("_start") - micros(queued)) / F.lit(float(MINUTE_US)))
+            .drop("_start", "_end"))
+
+
+def capacity_study(metrics: DataFrame, levels: Sequence[tuple[str, float]] = DEMAND_LEVELS,
+                   staff: Sequence[int] = CAPACITY_STAFF, p: Params = Params(),
+                   hours: float = 24.0) -> DataFrame:
+    """Scorecard per lab, day, demand and staff level, each day replayed from empty."""
+    jobs = (scale_demand(metrics, levels, p).withColumn("queue_time", F.col("arrival_time"))
+            .withColumn("day", F.to_date("arrival_time")))
+    keys = ["lab_id", "day", "scenario", "multiplier"]
+    served = assign_stations(jobs.select(*keys, "patient_id", "copy", "queue_time", "service_minutes"), keys, staff)
+    card = wait_scorecard(served, [*keys, "servers"], "wait_minutes", p.queue_sla_minutes, p.target_sla_percentage)
+    # Offered work does not depend on the staff level, so it is summed before the replay.
+    work = jobs.groupBy(*keys).agg(F.sum("service_minutes").alias("_work"))
+    return (card.join(work, keys)
+            .withColumn("utilization_percentage", F.col("_work") / (F.lit(hours * 60.0) * F.col("servers")) * 100)
+            .withColumn("hourly_staffing_cost", F.col("servers") * F.lit(p.hourly_cost))
+            .withColumnRenamed("servers", "staff_count").drop("_work"))
+
+
+def cheapest_staffing(study: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Feasible row with the least (cost, staff) per group; groups without one are absent."""
+    rest = [c for c in study.columns if c not in keys]
+    return (study.filter("meets_sla").groupBy(*keys)
+            .agg(F.min_by(F.struct(*rest), F.struct("hourly_staffing_cost", "staff_count")).alias("r"))
+            .select(*keys, "r.*"))
+
+
+def minimum_staffing(study: DataFrame, keys: Sequence[str], staff: str = "staff_count") -> DataFrame:
+    """Fewest staff meeting the SLA per group, NULL when none does."""
+    return study.groupBy(*keys).agg(F.min(F.when(F.col("meets_sla"), F.col(staff))).alias("minimum_staff"))
+
+
+def absence_grid(planned: Sequence[int] = PLANNED_STAFF, absences: Sequence[int] = ABSENCES) -> list[tuple[int, int, int]]:
+    """(planned, absent, available) triples with fewer absent than planned."""
+    if any(n <= 0 for n in planned) or any(n < 0 for n in absences):
+        raise ValueError("planned_staff must be greater than 0 and unavailable_staff not negative")
+    return [(n, x, n - x) for n in planned for x in absences if x < n]
+
+
+def resilience_study(metrics: DataFrame, levels: Sequence[tuple[str, float]] = DEMAND_LEVELS,
+                     planned: Sequence[int] = PLANNED_STAFF, absences: Sequence[int] = ABSENCES,
+                     p: Params = Params()) -> DataFrame:
+    """Scorecard per demand, planned and absent staff; each available count is replayed once."""
+    triples = absence_grid(planned, absences)
+    study = capacity_study(metrics, levels, sorted({a for *_, a in triples}), p)
+    combos = F.array(*[F.struct(F.lit(n).alias("planned_staff"), F.lit(x).alias("unavailable_staff"),
+                                F.lit(a).alias("available_staff")) for n, x, a in triples])
+    return (study.withColumn("c", F.explode(F.filter(combos, lambda c: c["available_staff"] == F.col("staff_count"))))
+            .select("lab_id", "day", "scenario", "multiplier", "c.*", "patients", "sla_percentage",
+                    "average_wait_minutes", "p95_wait_minutes", "meets_sla"))
+
+
+def resilience_matrix(study: DataFrame, keys: Sequence[str] = ("lab_id", "day", "scenario"),
+                      absences: Sequence[int] = ABSENCES) -> DataFrame:
+    """Fewest planned staff per demand, one column per number of absences."""
+    pivoted = (study.groupBy(*keys).pivot("unavailable_staff", list(absences))
+               .agg(F.min(F.when(F.col("meets_sla"), F.col("planned_staff")))))
+    return pivoted.select(*keys, *[F.col(str(x)).alias(f"absent_{x}") for x in absences])

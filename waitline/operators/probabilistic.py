@@ -1,0 +1,154 @@
+"""Forecast-driven staffing: confidence choice, timeline backtest and confidence frontier."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from waitline.functions.clock import MINUTE_US, micros
+from waitline.functions.scalars import percent_of, staffing_cost, window_hours
+from waitline.labels import (CONFIDENCE_THRESHOLDS, FORECAST_BEST_EFFORT, FORECAST_INTERVENTION,
+                             FORECAST_NO_ACTION, WARMUP)
+from waitline.operators.forecast import demand_profile, timeline_index
+from waitline.operators.policy import apply_hold_policy
+from waitline.operators.replay import monte_carlo_sweep, staffing_sweep
+from waitline.params import Params
+
+
+def level_array(p: Params = Params()) -> Column:
+    """Results per extra staff from the parallel arrays of a Monte Carlo sweep."""
+    return F.transform(F.arrays_zip("probability", "avg_sla", "avg_p95", "avg_wait"), lambda x, i: F.struct(
+        (F.lit(p.staff_count) + i).alias("staff_count"), i.alias("additional_staff"),
+        F.lit(p.scenarios).alias("scenario_count"), x["probability"].alias("sla_success_probability"),
+        x["avg_sla"].alias("average_sla_percentage"), x["avg_p95"].alias("average_p95_wait_minutes"),
+        x["avg_wait"].alias("average_wait_minutes")))
+
+
+def confident_level(levels: Column, confidence: Column) -> Column:
+    """Lowest level reaching the confidence, NULL when none does."""
+    return F.get(F.filter(levels, lambda v: v["sla_success_probability"] >= confidence), F.lit(0))
+
+
+def best_effort(levels: Column) -> Column:
+    """Level with the highest (probability, mean SLA), the lower one on ties."""
+    def step(kept, v):
+        better = (v["sla_success_probability"] > kept["sla_success_probability"]) | (
+            (v["sla_success_probability"] == kept["sla_success_probability"])
+            & (v["average_sla_percentage"] > kept["average_sla_percentage"]))
+        return F.when(better, v).otherwise(kept)
+
+    return F.aggregate(levels, F.element_at(levels, 1), step)
+
+
+def warmed_up(timeline: DataFrame, metrics: DataFrame, p: Params = Params(), at: str = "timestamp") -> DataFrame:
+    """Flag points whose whole lookback lies after the lab's first arrival, and number them."""
+    first = metrics.groupBy("lab_id").agg(F.min("arrival_time").alias("_first"))
+    reach = 2 * p.segment_minutes * MINUTE_US
+    return (timeline_index(timeline, p, at).join(first, "lab_id")
+            .withColumn("forecast_eligible", micros(at) - reach >= micros("_first")).drop("_first"))
+
+
+def probabilistic_timeline(metrics: DataFrame, full: DataFrame, p: Params = Params()) -> DataFrame:
+    """Monte Carlo recommendation per window, the rule's during warm-up."""
+    points = warmed_up(full.select("lab_id", "timestamp", "rule_additional_staff"), metrics, p)
+    ready = points.filter("forecast_eligible")
+    sweep = monte_carlo_sweep(metrics, ready.select("lab_id", "timestamp", "timeline_index"), p)
+    rate = demand_profile(metrics, ready.select("lab_id", "timestamp"), p).select(
+        "lab_id", "timestamp", "arrival_rate_per_minute")
+    rows = (points.join(sweep, ["lab_id", "timestamp"], "left").join(rate, ["lab_id", "timestamp"], "left")
+            .withColumn("levels", F.when(F.col("forecast_eligible"), level_array(p))))
+    rows = rows.withColumn("ok", confident_level(F.col("levels"), F.lit(p.confidence)))
+    rows = rows.withColumn("chosen", F.coalesce("ok", best_effort(F.col("levels"))))
+    ready_row = F.col("forecast_eligible")
+    decision = (F.when(~ready_row, WARMUP).when(F.col("ok").isNull(), FORECAST_BEST_EFFORT)
+                .when(F.col("ok.additional_staff") == 0, FORECAST_NO_ACTION).otherwise(FORECAST_INTERVENTION))
+    extra = F.when(ready_row, F.col("chosen.additional_staff")).otherwise(F.col("rule_additional_staff")).cast("int")
+    return rows.select(
+        "timestamp", "lab_id", "forecast_eligible", decision.alias("forecast_decision"),
+        extra.alias("forecast_additional_staff"), (F.lit(p.staff_count) + extra).alias("forecast_total_staff"),
+        F.col("arrival_rate_per_minute").alias("estimated_arrival_rate_per_minute"),
+        (F.col("arrival_rate_per_minute") * p.lookahead_minutes).alias("expected_future_arrivals"),
+        F.col("generated").alias("monte_carlo_avg_arrivals"),
+        F.element_at("levels", 1)["sla_success_probability"].alias("baseline_sla_success_probability"),
+        F.col("chosen.sla_success_probability").alias("selected_sla_success_probability"),
+        F.lit(p.confidence).alias("target_success_probability"))
+
+
+def level_rows(sweep: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row per timeline point and extra staff, flagged against the confidence."""
+    return sweep.select("lab_id", "timestamp", F.explode(level_array(p)).alias("v")).select(
+        "lab_id", "timestamp", "v.*",
+        (F.col("v.sla_success_probability") >= p.confidence).alias("meets_confidence_target"))
+
+
+def staffing_agreement(pairs: DataFrame, keys: Sequence[str] = (), forecast: str = "forecast_additional_staff",
+                       oracle: str = "oracle_additional_staff", met: str = "actual_meets_sla") -> DataFrame:
+    """Exact, over- and understaffed windows, differences and the realised SLA rate."""
+    gap = F.col(forecast) - F.col(oracle)
+    zero = F.lit(0.0)
+    return pairs.groupBy(*keys).agg(
+        F.count("*").alias("windows"), F.count_if(gap == 0).alias("exact"), F.count_if(gap > 0).alias("over"),
+        F.count_if(gap < 0).alias("under"),
+        F.coalesce(F.count_if(gap == 0) / F.nullif(F.count("*"), F.lit(0)) * 100, zero).alias("agreement_rate"),
+        F.coalesce(F.avg(F.abs(gap)), zero).alias("mean_absolute_difference"),
+        F.coalesce(F.avg(gap), zero).alias("mean_signed_difference"),
+        F.coalesce(F.count_if(F.col(met)) / F.nullif(F.count("*"), F.lit(0)) * 100, zero).alias("actual_sla_rate"))
+
+
+def _with_outcome(choices: DataFrame, sweep: DataFrame, p: Params) -> DataFrame:
+    """Did the chosen level meet the SLA on the arrivals that really came?"""
+    outcome = sweep.select("lab_id", F.col("window_start").alias("timestamp"), F.col("sla").alias("_sla"))
+    joined = choices.join(outcome, ["lab_id", "timestamp"])
+    return joined.withColumn("actual_meets_sla", F.get(F.col("_sla"), F.col("forecast_additional_staff"))
+                             >= p.target_sla_percentage).drop("_sla")
+
+
+def forecast_versus_oracle(metrics: DataFrame, full: DataFrame, forecast: DataFrame, p: Params = Params()) -> DataFrame:
+    """Agreement of the forecast-driven levels with those chosen knowing the future."""
+    pairs = forecast.filter("forecast_eligible").select("lab_id", "timestamp", "forecast_additional_staff").join(
+        full.select("lab_id", "timestamp", F.col("model_additional_staff").alias("oracle_additional_staff")),
+        ["lab_id", "timestamp"])
+    sweep = staffing_sweep(metrics, pairs.select("lab_id", F.col("timestamp").alias("window_start")), p)
+    return staffing_agreement(_with_outcome(pairs, sweep, p))
+
+
+def confidence_frontier(metrics: DataFrame, full: DataFrame, p: Params = Params(),
+                        thresholds: Sequence[float] = CONFIDENCE_THRESHOLDS) -> DataFrame:
+    """Cost, realised SLA and agreement per confidence threshold.
+
+    The sweep is replayed once; thresholds only change which level is read from it.
+    """
+    points = warmed_up(full.select("lab_id", "timestamp", "model_additional_staff"), metrics, p).filter("forecast_eligible")
+    sweep = monte_carlo_sweep(metrics, points.select("lab_id", "timestamp", "timeline_index"), p)
+    levels = sweep.withColumn("levels", level_array(p)).select(
+        "lab_id", "timestamp", "levels", F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold"))
+    chosen = F.coalesce(confident_level(F.col("levels"), F.col("threshold")), best_effort(F.col("levels")))
+    choices = levels.select("lab_id", "timestamp", "threshold",
+                            chosen["additional_staff"].cast("int").alias("forecast_additional_staff"))
+    choices = choices.join(points.select("lab_id", "timestamp", F.coalesce(
+        F.col("model_additional_staff"), F.lit(0)).alias("oracle_additional_staff")), ["lab_id", "timestamp"])
+    actual = staffing_sweep(metrics, points.select("lab_id", F.col("timestamp").alias("window_start")), p)
+    outcome = _with_outcome(choices, actual, p)
+    held = apply_hold_policy(outcome.withColumn("instantaneous_recommendation", F.col("forecast_additional_staff")),
+                             ("threshold", "lab_id"), p)
+    gap = F.col("forecast_additional_staff") - F.col("oracle_additional_staff")
+    rows = held.groupBy("threshold").agg(
+        F.count("*").alias("windows"), F.sum("active_additional_staff").alias("_units"),
+        (F.count_if("actual_meets_sla") / F.count("*") * 100).alias("actual_sla_rate"),
+        (F.count_if(gap == 0) / F.count("*") * 100).alias("agreement_rate"),
+        F.count_if(gap > 0).alias("over"), F.count_if(gap < 0).alias("under"),
+        F.avg(F.abs(gap)).alias("staff_mae"), F.max("active_additional_staff").alias("peak_extra_staff"))
+    hours = window_hours(F.col("_units"), p.window_minutes)
+    return rows.select("threshold", "windows", hours.alias("staff_hours"),
+                       staffing_cost(hours, p.hourly_cost).alias("cost"), "actual_sla_rate", "agreement_rate",
+                       "over", "under", "staff_mae", "peak_extra_staff")
+
+
+def recommended_confidence(frontier: DataFrame, p: Params = Params()) -> DataFrame:
+    """Cheapest threshold whose realised SLA rate reaches the target; no row when none does."""
+    order = F.struct(F.col("staff_hours"), F.col("cost"), -F.col("actual_sla_rate"), F.col("threshold"))
+    return (frontier.filter(F.col("actual_sla_rate") >= p.target_sla_percentage)
+            .agg(F.min_by(F.struct(*frontier.columns), order).alias("r"))
+            .filter(F.col("r").isNotNull()).select("r.*"))
