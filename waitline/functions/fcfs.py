@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 MINUTE_US = 60_000_000.0
-CELL_BUDGET = 4_000_000
+CELL_BUDGET = 200_000
 
 
 def stab(points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -17,73 +17,94 @@ def stab(points: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     return point, which
 
 
-def fcfs_waits(arrive: np.ndarray, service: np.ndarray, jobs: np.ndarray, servers: list[int]) -> np.ndarray:
-    """Waits of (J, R) jobs in queue order for each server count; (J, L, R), inf where there is no job.
+def fcfs_waits(arrive: np.ndarray, service: np.ndarray, jobs: np.ndarray, servers: int
+               ) -> tuple[np.ndarray, np.ndarray]:
+    """Waits of (J, R) jobs served in row order by `servers` stations, and whether anyone waited.
 
     `jobs` holds the job count of each column, largest first. The earliest-free times of the
     stations are kept sorted, so each job takes row 0 and is sifted back in.
     """
     steps, columns = arrive.shape
-    top = max(servers)
-    free = np.zeros((top, len(servers), columns))
-    for level, count in enumerate(servers):
-        free[count:, level] = np.inf
-    waits = np.full((steps, len(servers), columns), np.inf)
+    free = np.zeros((servers, columns))
+    waits = np.zeros((steps, columns))
+    longest = np.zeros(columns)
     active = np.searchsorted(-jobs, -np.arange(steps), "left")
     for j in range(steps):
         m = active[j]
-        start = np.maximum(free[0, :, :m], arrive[j, :m])
-        waits[j, :, :m] = start - arrive[j, :m]
-        done = start + service[j, :m]
-        for i in range(1, top):
-            nxt = free[i, :, :m]
-            np.minimum(nxt, done, out=free[i - 1, :, :m])
-            done = np.maximum(nxt, done)
-        free[top - 1, :, :m] = done
-    return waits
+        start = np.maximum(free[0, :m], arrive[j, :m])
+        wait = np.subtract(start, arrive[j, :m], out=waits[j, :m])
+        np.maximum(longest[:m], wait, out=longest[:m])
+        start += service[j, :m]
+        for i in range(1, servers):
+            nxt = free[i, :m]
+            np.minimum(nxt, start, out=free[i - 1, :m])
+            np.maximum(nxt, start, out=start)
+        free[servers - 1, :m] = start
+    return waits, longest > 0
 
 
 def score(waits: np.ndarray, accrued: np.ndarray, sla: float) -> dict[str, np.ndarray]:
-    """Mean, floor-index P95, maximum and SLA share of (J, L, R) waits; jobs whose accrued wait
-    is NaN hold a station but are not scored. Columns without scored jobs get 0, 0, 0, 100."""
-    total = waits + accrued[:, None, :]
-    total[np.isnan(total)] = np.inf
-    total.sort(axis=0)
-    n = np.isfinite(total[:, 0, :]).sum(axis=0)
-    last = np.maximum(n - 1, 0)
+    """Mean, floor-index P95, maximum and SLA share per column of (J, R) waits; jobs whose accrued
+    wait is infinite are not scored. Columns without scored jobs get 0, 0, 0, 100."""
+    total = np.ascontiguousarray((waits + accrued).T)
+    scored = np.isfinite(total)
+    n = scored.sum(axis=1)
+    some, last = np.maximum(n, 1), np.maximum(n - 1, 0)
+    within = (total <= sla).sum(axis=1)
+    mean = total.sum(axis=1, where=scored) / some
+    total.sort(axis=1)
+    at = np.arange(len(n))
     rank = np.floor(0.95 * last).astype(np.int64)
-    real = np.isfinite(total)
-    some = np.maximum(n, 1)
-
-    def pick(index):
-        picked = np.take_along_axis(total, np.broadcast_to(index, total.shape[1:])[None], axis=0)[0]
-        return np.where(n > 0, picked, 0.0)
-
     return {
-        "avg": np.where(real, total, 0.0).sum(axis=0) / some,
-        "p95": pick(rank),
-        "max": pick(last),
-        "sla": np.where(n > 0, (total <= sla).sum(axis=0) / some * 100, 100.0),
+        "avg": mean,
+        "p95": np.where(n > 0, total[at, rank], 0.0),
+        "max": np.where(n > 0, total[at, last], 0.0),
+        "sla": np.where(n > 0, within / some * 100, 100.0),
     }
 
 
+def sweep_levels(arrive: np.ndarray, service: np.ndarray, accrued: np.ndarray, jobs: np.ndarray,
+                 servers: list[int], sla: float) -> dict[str, np.ndarray]:
+    """Scores (levels, R) for rising server counts.
+
+    Once nobody has to wait for a station in a column, further stations change nothing there,
+    so only the other columns are replayed at the next level.
+    """
+    out: dict[str, np.ndarray] = {}
+    columns = np.arange(arrive.shape[1])
+    for level, count in enumerate(servers):
+        if level:
+            for values in out.values():
+                values[level] = values[level - 1]
+        if not len(columns):
+            continue
+        waits, waited = fcfs_waits(arrive, service, jobs, count)
+        for key, values in score(waits, accrued, sla).items():
+            if key not in out:
+                out[key] = np.zeros((len(servers), len(columns)))
+            out[key][level, columns] = values
+        if not waited.all():
+            columns, jobs = columns[waited], jobs[waited]
+            arrive, service, accrued = arrive[:, waited], service[:, waited], accrued[:, waited]
+    return out
+
+
 def replay(column: np.ndarray, columns: int, arrive: np.ndarray, service: np.ndarray, accrued: np.ndarray,
            servers: list[int], sla: float) -> dict[str, np.ndarray]:
     """Score `columns` independent queues given as flat jobs already in queue order per column.
 
-    Returns (columns, levels) arrays. Queues are padded in groups of similar length so that
-    the padding stays small and memory stays within a fixed number of cells.
+    Returns (columns, levels) arrays; `servers` rises. Queues are padded in groups of similar
+    length so that the padding stays small and memory stays within a fixed number of cells.
     """
-    levels = len(servers)
-    out = {k: np.zeros((columns, levels)) for k in ("avg", "p95", "max")}
-    out["sla"] = np.full((columns, levels), 100.0)
+    out = {k: np.zeros((columns, len(servers))) for k in ("avg", "p95", "max")}
+    out["sla"] = np.full((columns, len(servers)), 100.0)
     n = np.bincount(column, minlength=columns)
     first = np.cumsum(n) - n
     order = np.argsort(-n, kind="stable")
     at = 0
     while at < columns and n[order[at]] > 0:
         longest = int(n[order[at]])
-        width = max(1, CELL_BUDGET // (longest * (levels + 3)))
+        width = max(1, CELL_BUDGET // longest)
         chosen = order[at:at + width]
         chosen = chosen[n[chosen] > 0]
         counts = n[chosen]
@@ -91,12 +112,11 @@ def replay(column: np.ndarray, columns: int, arrive: np.ndarray, service: np.nda
         step = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
         source = np.repeat(first[chosen], counts) + step
         grids = []
-        for values, fill in ((arrive, 0.0), (service, 0.0), (accrued, np.nan)):
+        for values, fill in ((arrive, 0.0), (service, 0.0), (accrued, np.inf)):
             grid = np.full((longest, len(chosen)), fill)
             grid[step, local] = values[source]
             grids.append(grid)
-        stats = score(fcfs_waits(grids[0], grids[1], counts, servers), grids[2], sla)
-        for key, values in stats.items():
+        for key, values in sweep_levels(*grids, counts, servers, sla).items():
             out[key][chosen] = values.T
         at += width
     return out
@@ -113,7 +133,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(seed: np.ndarray, scenario: np.ndarray, draw: np.ndarray, stream: int) -> np.ndarray:
-    """Uniform draw in (0, 1) that depends only on its coordinates, so a lost task redraws the same."""
+    """Uniform draw in (0, 1) that depends only on its coordinates, so a lost task redraws the same.
+
+    Fixed values: the multipliers are the first three primes of the 32-bit xxHash.
+    """
     mask = np.uint64(0xFFFFFFFF)
     s, c, k = (np.asarray(v).astype(np.uint64) for v in (seed, scenario, draw))
     h = _mix((s + c * np.uint64(2654435761)) & mask)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,12 @@ RECORD_COLUMNS = ("topic", "partition", "offset", "kafka_timestamp", "event_key"
                   "bronze_ingestion_timestamp")
 
 
+def _parse_once(records: DataFrame, parsed: Column) -> DataFrame:
+    """Read the text once per row. Plain columns would be copied into the filter and into every
+    field that is selected later, and each copy would parse again; a generator is not copied."""
+    return records.withColumn("event", F.explode(F.array(parsed)))
+
+
 def parse(records: DataFrame, strict_json: bool = False) -> DataFrame:
     """Add the typed `event` struct and the `quarantine_reason`.
 
@@ -21,11 +27,10 @@ def parse(records: DataFrame, strict_json: bool = False) -> DataFrame:
     missing field; `strict_json` reports it as malformed.
     """
     if not strict_json:
-        parsed = records.withColumn("event", F.from_json("event_json", EVENT_SCHEMA))
+        parsed = _parse_once(records, F.from_json("event_json", EVENT_SCHEMA))
         return parsed.withColumn("quarantine_reason", quarantine_reason())
     schema = T.StructType([*EVENT_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
-    parsed = records.withColumn("event", F.from_json(
-        "event_json", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
+    parsed = _parse_once(records, F.from_json("event_json", schema, {"columnNameOfCorruptRecord": "_corrupt"}))
     # A record is corrupt as text when not even one field could be read.
     unread = F.col("event._corrupt").isNotNull() & F.col("event.event_id").isNull()
     return parsed.withColumn("quarantine_reason", quarantine_reason(corrupt=unread))

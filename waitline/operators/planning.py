@@ -5,11 +5,13 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waitline.functions.clock import MINUTE_US, floor_cell, micros, stamp
+from waitline.functions.ordered import runs
 from waitline.functions.ranks import wait_scorecard
 from waitline.functions.spread import by_work
 from waitline.labels import ABSENCES, CAPACITY_STAFF, DEMAND_LEVELS, PLANNED_STAFF
@@ -51,42 +53,52 @@ def assign_stations(jobs: DataFrame, keys: Sequence[str], servers: Sequence[int]
     """First-come-first-served station assignment of each group's jobs, in order of queueing.
 
     The earliest free station takes the next job, the lower station number on ties. Groups of
-    any length stream through sorted partitions: a task holds the free times of the stations.
-    Each server count replays separately, so they also spread over tasks.
+    any length stream through sorted partitions: a task holds the free times of the stations
+    only. Every job is shuffled once, whatever the number of server counts tried.
     """
     if any(c < 1 for c in servers):
         raise ValueError("station_count must be at least 1")
-    keys = list(keys)
-    rows = (jobs.withColumn("servers", F.explode(F.array(*[F.lit(int(c)) for c in servers])))
-            .withColumn("_at", micros(queued)).withColumn("_us", F.round(F.col("service_minutes") * MINUTE_US).cast("long")))
-    group = [*keys, "servers"]
+    keys, counts = list(keys), [int(c) for c in servers]
+    rows = jobs.withColumn("_at", micros(queued)).withColumn(
+        "_us", F.round(F.col("service_minutes") * MINUTE_US).cast("long"))
     order = ["_at", "patient_id", *(["copy"] if "copy" in jobs.columns else [])]
-    kept = [c for c in rows.columns if not c.startswith("_")]
-    schema = rows.select(*kept).schema.add("station_id", "string").add("_start", "long").add("_end", "long")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here, free = None, []
-        for pdf in batches:
-            stations, starts, ends = [], [], []
-            marks = zip(*[pdf[k].tolist() for k in group])
-            for key, at, length in zip(marks, pdf["_at"].tolist(), pdf["_us"].tolist()):
+    kept = jobs.columns
+    schema = T.StructType([*jobs.schema.fields, T.StructField("_us", T.LongType()),
+                           T.StructField("_station", T.ArrayType(T.IntegerType())),
+                           T.StructField("_start", T.ArrayType(T.LongType()))])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, lines = None, []
+        for batch in batches:
+            queue_at, length = batch.column("_at").to_pylist(), batch.column("_us").to_pylist()
+            stations, starts = [], []
+            for first, stop, key in runs(batch, keys):
                 if key != here:
-                    here, free = key, [(at, i) for i in range(1, key[-1] + 1)]
-                ready, station = free[0]
-                start = max(at, ready)
-                heapq.heapreplace(free, (start + length, station))
-                stations.append(station)
-                starts.append(start)
-                ends.append(start + length)
-            yield pdf[kept].assign(station_id=[f"STAFF_{s:02d}" for s in stations], _start=starts, _end=ends)
-
-    done = (by_work(rows, *group).sortWithinPartitions(*group, *order)
-            .select(*kept, "_at", "_us").mapInPandas(walk, schema))
+                    here, lines = key, [[(queue_at[first], i) for i in range(1, c + 1)] for c in counts]
+                for at, work in zip(queue_at[first:stop], length[first:stop]):
+                    for free in lines:
+                        ready, station = free[0]
+                        start = at if at > ready else ready
+                        heapq.heapreplace(free, (start + work, station))
+                        stations.append(station)
+                        starts.append(start)
+            offsets = pa.array(range(0, len(starts) + 1, len(counts)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in [*kept, "_us"]],
+                 pa.ListArray.from_arrays(offsets, pa.array(stations, pa.int32())),
+                 pa.ListArray.from_arrays(offsets, pa.array(starts, pa.int64()))],
+                [*kept, "_us", "_station", "_start"])
+
+    done = (by_work(rows, *keys).sortWithinPartitions(*keys, *order)
+            .select(*kept, "_at", "_us").mapInArrow(walk, schema))
+    tried = F.arrays_zip(F.array(*[F.lit(c) for c in counts]).alias("servers"), "_station", "_start")
     dtype = jobs.schema[queued].dataType
-    return (done.withColumn("service_start", stamp(F.col("_start"), dtype))
-            .withColumn("service_end", stamp(F.col("_end"), dtype))
-            .withColumn("wait_minutes", (F.col("_start") - micros(queued)) / F.lit(float(MINUTE_US)))
-            .drop("_start", "_end"))
+    return (done.withColumn("z", F.explode(tried)).select(
+        *kept, F.col("z.servers").alias("servers"),
+        F.format_string("STAFF_%02d", F.col("z._station")).alias("station_id"),
+        stamp(F.col("z._start"), dtype).alias("service_start"),
+        stamp(F.col("z._start") + F.col("_us"), dtype).alias("service_end"),
+        ((F.col("z._start") - micros(queued)) / F.lit(float(MINUTE_US))).alias("wait_minutes")))
 
 
 def capacity_study(metrics: DataFrame, levels: Sequence[tuple[str, float]] = DEMAND_LEVELS,

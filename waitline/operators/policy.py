@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waitline.functions.clock import MINUTE_US, floor_cell, micros
+from waitline.functions.ordered import runs
 from waitline.functions.scalars import percent_of, staffing_cost, window_hours
 from waitline.functions.spread import by_work, running, with_neighbours
 from waitline.labels import HOLD_STEPS, STAFF_CHANGES
@@ -75,23 +76,28 @@ def apply_hold_policy(steps: DataFrame, keys: Sequence[str] = ("policy", "lab_id
     for name, kind in (("step", "string"), ("staff_change", "integer"), ("active_additional_staff", "integer")):
         schema = schema.add(name, kind)
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here, active, until = None, 0, -1
-        for pdf in batches:
+        for batch in batches:
+            times = batch.column("_us").to_pylist()
+            asked = batch.column("instantaneous_recommendation").to_pylist()
             names, changes, actives = [], [], []
-            group = list(zip(*[pdf[k] for k in keys], pdf["episode"]))
-            for key, at, asked in zip(group, pdf["_us"].tolist(), pdf["instantaneous_recommendation"].tolist()):
+            for first, stop, key in runs(batch, [*keys, "episode"]):
                 if key != here:
                     here, active, until = key, 0, -1
-                name, now, until = hold_step(at, asked, active, until, hold)
-                names.append(name)
-                changes.append(now - active)
-                actives.append(now)
-                active = now
-            yield pdf[out].assign(step=names, staff_change=changes, active_additional_staff=actives)
+                for at, wanted in zip(times[first:stop], asked[first:stop]):
+                    name, now, until = hold_step(at, wanted, active, until, hold)
+                    names.append(name)
+                    changes.append(now - active)
+                    actives.append(now)
+                    active = now
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c) for c in out], pa.array(names, pa.string()),
+                 pa.array(changes, pa.int32()), pa.array(actives, pa.int32())],
+                [*out, "step", "staff_change", "active_additional_staff"])
 
     walked = (by_work(rows, *keys, "episode").sortWithinPartitions(*keys, "episode", "_us")
-              .select(*out, "episode", "_us").mapInPandas(walk, schema))
+              .select(*out, "episode", "_us").mapInArrow(walk, schema))
     action, reason = F.lit(None), F.lit(None)
     for name, (label, text) in HOLD_STEPS.items():
         action = F.when(F.col("step") == name, label).otherwise(action)

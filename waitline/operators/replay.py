@@ -90,7 +90,7 @@ class Block:
                 raise ValueError("initial_services cannot exceed station_count")
         column = np.concatenate((sp, wp))
         service = np.concatenate(((self.d[sv] - self.t[sp]) / float(MINUTE_US), self.service[wv]))
-        accrued = np.concatenate((np.full(len(sp), np.nan), (self.t[wp] - self.q[wv]) / float(MINUTE_US)))
+        accrued = np.concatenate((np.full(len(sp), np.inf), (self.t[wp] - self.q[wv]) / float(MINUTE_US)))
         phase = np.concatenate((np.zeros(len(sp), np.int8), np.ones(len(wp), np.int8)))
         order = np.lexsort((np.arange(len(column)), phase, column))
         return column[order], service[order], accrued[order]
@@ -127,7 +127,7 @@ def staffing_sweep(metrics: DataFrame, timeline: DataFrame, p: Params = Params()
         jobs = _append(n, (column, np.zeros(len(column)), service, accrued),
                        (fp, offset, blk.service[fv], np.zeros(len(fp))))
         stats = replay(jobs[0], n, *jobs[1:], servers, p.queue_sla_minutes)
-        queued = ~np.isnan(accrued)
+        queued = np.isfinite(accrued)
         count = lambda mask: pa.array(np.bincount(column[mask], minlength=n).astype(np.int32))
         return pa.table({
             "lab_id": pa.array([blk.lab] * n, pa.string()), "t": pa.array(blk.t),
@@ -160,7 +160,7 @@ def _scenario_chunks(rate: np.ndarray, fixed: np.ndarray, p: Params):
     """(point, scenario) pairs cut so that one chunk stays within the cell budget."""
     expected = rate * p.lookahead_minutes
     weight = np.repeat(expected + 4 * np.sqrt(expected) + fixed + 8, p.scenarios)
-    weight = np.cumsum(weight * (p.max_additional_staff + 4))
+    weight = np.cumsum(weight)
     pieces = (weight // CELL_BUDGET).astype(np.int64)
     pairs = np.arange(len(rate) * p.scenarios)
     for piece in np.unique(pieces):

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -30,3 +33,17 @@ def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
     if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
     return folder
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, for the functions run in Python workers."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), package.name), "zip",
+                                      package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)

@@ -10,8 +10,12 @@ from waitline.labels import LIFECYCLE_EVENTS
 
 def visits(spark: SparkSession, folder: str) -> DataFrame:
     """Finished lifecycles derived from `events`, spread over two labs."""
+    return visits_of(spark.read.parquet(f"{folder}/events.parquet"))
+
+
+def visits_of(events: DataFrame) -> DataFrame:
     user, event = F.col("user_id"), F.col("event_id")
-    base = spark.read.parquet(f"{folder}/events.parquet").select(
+    base = events.select(
         F.concat(F.lit("P"), event.cast("string")).alias("patient_id"),
         F.when(user % 2 == 0, "LAB_A").otherwise("LAB_B").alias("lab_id"),
         F.when(user % 4 == 0, "OUTPATIENT").when(user % 4 == 1, "INPATIENT")
@@ -37,12 +41,15 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def visit_events(spark: SparkSession, folder: str) -> DataFrame:
+    return events_of(visits(spark, folder))
+
+
+def events_of(v: DataFrame) -> DataFrame:
     """Long form: six lifecycle events per visit; `seq` is the order they were recorded in.
 
     Every seventh visit reports its arrival twice, the second time two minutes later, so
     that rules for repeated events matter.
     """
-    v = visits(spark, folder)
     stages = [F.struct(F.lit(i).alias("seq"), F.lit(kind).alias("event_type"),
                        F.col(column).alias("event_time"))
               for i, (column, kind) in enumerate(LIFECYCLE_EVENTS.items())]
@@ -62,13 +69,16 @@ def visit_events(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def visit_records(spark: SparkSession, folder: str) -> DataFrame:
+    return records_of(visit_events(spark, folder))
+
+
+def records_of(e: DataFrame) -> DataFrame:
     """Bronze-shaped records of the long form, with faults mixed in by event number.
 
     Residue of the visit number modulo 11 on SERVICE_STARTED events: 1 has no text, 2 is not
     JSON, 3 lacks patient_id, 4 lacks lab_id, 5 has an unreadable event_time, 6 lacks event_type.
     Ingestion lags the event by (number modulo 13) minutes.
     """
-    e = visit_events(spark, folder)
     number = F.substring("patient_id", 2, 20).cast("long")
     fault = F.when(F.col("event_type") == "SERVICE_STARTED", number % 11).otherwise(F.lit(0))
     at = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
