@@ -14,6 +14,7 @@ from waitline.functions.scalars import percent_of, staffing_cost, window_hours
 from waitline.functions.spread import by_work, running, with_neighbours
 from waitline.labels import HOLD_STEPS, STAFF_CHANGES
 from waitline.params import Params
+from waitline.sources.tables import stage
 
 
 def hold_step(at: int, asked: int, active: int, until: int, hold: int) -> tuple[str, int, int]:
@@ -69,6 +70,8 @@ def apply_hold_policy(steps: DataFrame, keys: Sequence[str] = ("policy", "lab_id
     only ever holds the current state, and one endlessly busy lab is the only long episode.
     """
     keys = list(keys)
+    # Finding episodes reads the steps twice, and behind them lie whole replays.
+    steps = stage(steps)
     rows = episodes(steps, keys, p).fillna({"episode": -1})
     hold = p.hold_minutes * MINUTE_US
     out = [c for c in steps.columns]

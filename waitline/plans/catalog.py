@@ -17,7 +17,7 @@ from waitline.params import Params
 from waitline.plans import streams
 from waitline.sources.events import publishable
 from waitline.sources.session import ship_package
-from waitline.sources.tables import head
+from waitline.sources.tables import head, stage
 from waitline.sources.visits import visit_events, visit_records, visits
 
 # One station per lab, so that queues build up on the test tables; the visit view does not
@@ -87,19 +87,22 @@ def timeline(s, d):
 
 
 def full(s, d):
-    return counterfactual.full_timeline(metrics(s, d), state(s, d), decisions(s, d), P)
+    st = stage(state(s, d))
+    return counterfactual.full_timeline(metrics(s, d), st, counterfactual.staffing_decisions(st), P)
 
 
 def backtest(s, d):
-    return counterfactual.intervention_backtest(metrics(s, d), decisions(s, d), P)
+    return counterfactual.intervention_backtest(metrics(s, d), stage(decisions(s, d)), P)
 
 
 def policies(s, d):
     return policy.compare_policies(full(s, d), P)
 
 
-def forecast_timeline(s, d):
-    return probabilistic.probabilistic_timeline(metrics(s, d), full(s, d), P)
+def forecasts(s, d):
+    """The stored full timeline and the probabilistic one built on it."""
+    table = stage(full(s, d))
+    return table, probabilistic.probabilistic_timeline(metrics(s, d), table, P)
 
 
 def half_hours(s, d):
@@ -268,7 +271,7 @@ def queue_snapshots(s, d):
 
 @query
 def queue_snapshots_half_hourly(s, d):
-    return grid.queue_snapshots(metrics(s, d), Params(window_minutes=30, staff_count=4))
+    return grid.queue_snapshots(metrics(s, d), Params(window_minutes=30, segment_minutes=30, staff_count=4))
 
 
 @query
@@ -483,28 +486,29 @@ def monte_carlo_levels(s, d):
 
 @query
 def probabilistic_timeline(s, d):
-    return forecast_timeline(s, d)
+    return forecasts(s, d)[1]
 
 
 @query
 def forecast_versus_oracle(s, d):
-    return probabilistic.forecast_versus_oracle(metrics(s, d), full(s, d), forecast_timeline(s, d), P)
+    table, predicted = forecasts(s, d)
+    return probabilistic.forecast_versus_oracle(metrics(s, d), table, stage(predicted), P)
 
 
 @query
 def three_policy_resources(s, d):
-    return policy.resource_use(policy.three_policies(full(s, d), forecast_timeline(s, d), P), P)
+    return policy.resource_use(policy.three_policies(*forecasts(s, d), P), P)
 
 
 @query
 def confidence_frontier(s, d):
-    return probabilistic.confidence_frontier(metrics(s, d), full(s, d), P)
+    return probabilistic.confidence_frontier(metrics(s, d), stage(full(s, d)), P)
 
 
 @query
 def recommended_confidence(s, d):
     """Cheapest confidence whose realised SLA rate reaches the target (often none on these tables)."""
-    return probabilistic.recommended_confidence(probabilistic.confidence_frontier(metrics(s, d), full(s, d), P), P)
+    return probabilistic.recommended_confidence(probabilistic.confidence_frontier(metrics(s, d), stage(full(s, d)), P), P)
 
 
 # Queueing theory -----------------------------------------------------------------------------------

@@ -623,7 +623,8 @@ SELECTS: dict[str, str] = {
     "policy_action_counts": "SELECT policy, policy_action, count(*) AS n FROM pol GROUP BY 1, 2",
     "policy_resources": "SELECT * FROM res",
     "policy_savings": f"""SELECT s.staff_hours AS base_hours, c.staff_hours AS other_hours, s.cost AS base_cost, c.cost AS other_cost,
-        {r('s.staff_hours - c.staff_hours', 'staff_hours_avoided')}, {r('s.cost - c.cost', 'cost_avoided')},
+        {r('(s.staff_window_units - c.staff_window_units) * 5 / 60.0::DOUBLE', 'staff_hours_avoided')},
+        {r('(s.staff_window_units - c.staff_window_units) * 5 / 60.0::DOUBLE * 35.0::DOUBLE', 'cost_avoided')},
         {r('CASE WHEN s.staff_window_units > 0 THEN (s.staff_window_units - c.staff_window_units) / s.staff_window_units * 100 ELSE 0 END', 'hours_reduction_percentage')},
         {r('CASE WHEN s.staff_window_units > 0 THEN (s.staff_window_units - c.staff_window_units) / s.staff_window_units * 100 ELSE 0 END', 'cost_reduction_percentage')}
         FROM res s, res c WHERE s.policy = 'STATIC_RULE' AND c.policy = 'COUNTERFACTUAL'""",
@@ -664,6 +665,14 @@ SELECTS: dict[str, str] = {
     "resilience_matrix": """SELECT lab_id, day, scenario, min(planned_staff) FILTER (meets_sla AND unavailable_staff = 0) AS absent_0,
         min(planned_staff) FILTER (meets_sla AND unavailable_staff = 1) AS absent_1,
         min(planned_staff) FILTER (meets_sla AND unavailable_staff = 2) AS absent_2 FROM resil GROUP BY 1, 2, 3""",
+    "streamed_silver_events": "SELECT event_id, event_type, patient_id, lab_id, lag AS event_lag_seconds, is_late FROM silver",
+    "streamed_lifecycles": f"SELECT {STATE_COLS} FROM states",
+    "streamed_hold_policy": """SELECT policy, lab_id, timestamp, instantaneous_recommendation, policy_action, staff_change,
+        active_additional_staff, reason FROM pol WHERE policy = 'STATIC_RULE'""",
 }
+# Append mode emits a window once the watermark, 30 minutes behind the newest event, has passed its end.
+SELECTS["streamed_window_counts"] = f"""SELECT * FROM ({SELECTS['event_window_counts']})
+    WHERE window_end <= (SELECT max(event_time) - INTERVAL 30 MINUTE FROM silver)"""
+
 
 ORACLES: dict[str, str] = {name: statement(select) for name, select in SELECTS.items()}

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waitline.sources.session import shared_folder
+
 MARKER = "_current"
 
 
@@ -14,6 +18,20 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def workspace(spark: SparkSession) -> str:
+    """A fresh folder under the cluster's shared folder (a temporary one where none is set)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    return f"{shared_folder(spark, root)}/waitline-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame) -> DataFrame:
+    """Store a costly intermediate table and read it back, so that later steps that use it
+    several times do not compute it again and a lost executor does not restart the chain."""
+    folder = workspace(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
