@@ -10,7 +10,18 @@ from waitline.labels import LIFECYCLE_EVENTS
 
 def visits(spark: SparkSession, folder: str) -> DataFrame:
     """Finished lifecycles derived from `events`, spread over two labs."""
-    return visits_of(spark.read.parquet(f"{folder}/events.parquet"))
+    return visits_of(spread(spark.read.parquet(f"{folder}/events.parquet")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core on an input that comes as fewer splits than there are cores.
+
+    Only such small inputs are shuffled; a table of many files is read as it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
 
 
 def visits_of(events: DataFrame) -> DataFrame:
