@@ -19,10 +19,11 @@ def by_work(df: DataFrame, *keys: str) -> DataFrame:
 
     A given partition count keeps adaptive execution from merging small partitions, which
     would put hours of replays into one task because their input is only a few megabytes.
-    Four times the usual count evens out groups that take longer than others.
+    Several partitions per core even out groups that take longer than others.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(4 * n, *keys)
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
 
 
 def with_block(df: DataFrame, cell: str = "cell") -> DataFrame:

@@ -15,25 +15,7 @@ from waitline.functions.clock import MINUTE_US, ceil_cell, cells, floor_cell, mi
 from waitline.functions.spread import running
 from waitline.operators.windows import spine
 from waitline.params import Params
-
-
-def grid_limits(metrics: DataFrame, p: Params, keys: Sequence[str], align: str) -> DataFrame:
-    """First and last cell per key and the grid's offset from whole windows.
-
-    `align="window"` puts grid points on window starts; `align="minute"` anchors them at the
-    minute of the first arrival, whatever the window size.
-    """
-    if align not in ("window", "minute"):
-        raise ValueError("align must be 'window' or 'minute'")
-    step = p.step_us
-    edge = metrics.groupBy(*keys).agg(F.min(micros("arrival_time")).alias("first"),
-                                      F.max(micros("departure_time")).alias("last"))
-    origin = F.lit(0).cast("long")
-    if align == "minute":
-        origin = F.pmod(F.col("first") - F.pmod(F.col("first"), F.lit(MINUTE_US)), F.lit(step))
-    return edge.withColumn("origin", origin).select(
-        *keys, "origin", floor_cell(F.col("first"), step, F.col("origin")).alias("lo"),
-        floor_cell(F.col("last"), step, F.col("origin")).alias("hi"))
+from waitline.sources.tables import lookup, stage
 
 
 def queue_snapshots(metrics: DataFrame, p: Params = Params(), keys: Sequence[str] = ("lab_id",),
@@ -42,43 +24,54 @@ def queue_snapshots(metrics: DataFrame, p: Params = Params(), keys: Sequence[str
 
     Each visit contributes one change at the first grid point where it starts to wait, is
     served and has left; running totals of the changes give the counts. Work is linear in
-    visits plus grid points however long a visit lasts.
+    visits plus grid points however long a visit lasts. The visits are read once: their
+    changes per grid point are stored before the running totals read them twice.
+
+    `align="window"` puts grid points on window starts; `align="minute"` anchors them at the
+    minute of the first arrival, whatever the window size.
     """
+    if align not in ("window", "minute"):
+        raise ValueError("align must be 'window' or 'minute'")
     keys, step = list(keys), p.step_us
     dtype = metrics.schema["arrival_time"].dataType
-    limits = grid_limits(metrics, p, keys, align)
-    m = metrics.select(*keys, micros("queue_entry_time").alias("q"), micros("service_start_time").alias("b"),
-                       micros("service_end_time").alias("d"))
+    m = metrics.select(*keys, micros("arrival_time").alias("a"), micros("queue_entry_time").alias("q"),
+                       micros("service_start_time").alias("b"), micros("service_end_time").alias("d"),
+                       micros("departure_time").alias("e"))
+    origin = F.lit(0).cast("long")
     if align == "minute":
-        m = m.join(limits, keys) if keys else m.join(F.broadcast(limits))
-        origin = F.col("origin")
-    else:
-        origin = F.lit(0).cast("long")
-
-    def change(us, waiting: int, serving: int):
-        return F.struct(ceil_cell(us, step, origin).alias("cell"), F.lit(waiting).alias("dw"),
-                        F.lit(serving).alias("ds"))
-
-    q, b, d = F.col("q"), F.col("b"), F.col("d")
+        first = F.min("a")
+        anchors = m.groupBy(*keys).agg((first - F.pmod(first, F.lit(MINUTE_US))).alias("anchor"))
+        anchors = anchors.select(*keys, F.pmod(F.col("anchor"), F.lit(step)).alias("origin"))
+        if keys:
+            anchors = lookup(anchors)
+            m, origin = m.join(anchors, keys), F.col("origin")
+        else:
+            origin = anchors.select("origin").scalar()
+
+    def change(cell, waiting: int, serving: int, edge: bool = False):
+        return F.struct(cell.alias("cell"), F.lit(waiting).alias("dw"), F.lit(serving).alias("ds"),
+                        F.lit(edge).alias("edge"))
+
+    a, q, b, d, e = (F.col(c) for c in "aqbde")
+    up, down = (lambda us: ceil_cell(us, step, origin)), (lambda us: floor_cell(us, step, origin))
     nothing = F.array()
     changes = F.concat(
-        F.when(b > q, F.array(change(q, 1, 0), change(b, -1, 0))).otherwise(nothing),
-        F.when(d > b, F.array(change(b, 0, 1), change(d, 0, -1))).otherwise(nothing))
-    moved = (m.select(*keys, F.explode(changes).alias("c"))
-             .select(*keys, "c.*", F.lit(False).alias("on_grid")))
-    points = (spine(limits, keys, step)
-              .select(*keys, "cell", F.lit(0).alias("dw"), F.lit(0).alias("ds"), F.lit(True).alias("on_grid")))
-    merged = moved.unionByName(points).groupBy(*keys, "cell").agg(
+        F.array(change(down(a), 0, 0, True), change(down(e), 0, 0, True)),
+        F.when(b > q, F.array(change(up(q), 1, 0), change(up(b), -1, 0))).otherwise(nothing),
+        F.when(d > b, F.array(change(up(b), 0, 1), change(up(d), 0, -1))).otherwise(nothing))
+    moved = stage(m.select(*keys, F.explode(changes).alias("c")).select(*keys, "c.*")
+                  .groupBy(*keys, "cell").agg(F.sum("dw").alias("dw"), F.sum("ds").alias("ds"), F.max("edge").alias("edge")))
+    limits = moved.filter("edge").groupBy(*keys).agg(F.min("cell").alias("lo"), F.max("cell").alias("hi"))
+    points = spine(limits, keys, step).select(
+        *keys, "cell", F.lit(0).cast("long").alias("dw"), F.lit(0).cast("long").alias("ds"), F.lit(True).alias("on_grid"))
+    merged = moved.drop("edge").withColumn("on_grid", F.lit(False)).unionByName(points).groupBy(*keys, "cell").agg(
         F.sum("dw").alias("dw"), F.sum("ds").alias("ds"), F.max("on_grid").alias("on_grid"))
-    counted = running(merged, keys, {"dw": "patients_waiting", "ds": "patients_in_service"})
-    counted = counted.filter("on_grid")
-    at = F.col("cell") * step
-    if align == "minute":
-        counted = counted.join(limits.select(*keys, "origin"), keys) if keys else counted.join(F.broadcast(limits))
-        at = at + F.col("origin")
-    return counted.select(*keys, stamp(at, dtype).alias("timestamp"), "patients_waiting", "patients_in_service",
-                          (F.col("patients_in_service") / F.lit(p.staff_count) * 100)
-                          .alias("utilization_percentage"))
+    counted = running(merged, keys, {"dw": "patients_waiting", "ds": "patients_in_service"}).filter("on_grid")
+    if align == "minute" and keys:
+        counted = counted.join(anchors, keys)
+    return counted.select(*keys, stamp(F.col("cell") * step + origin, dtype).alias("timestamp"),
+                          "patients_waiting", "patients_in_service",
+                          (F.col("patients_in_service") / F.lit(p.staff_count) * 100).alias("utilization_percentage"))
 
 
 def snapshot_at(metrics: DataFrame, instant, p: Params = Params()) -> DataFrame:

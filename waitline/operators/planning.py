@@ -109,13 +109,12 @@ def capacity_study(metrics: DataFrame, levels: Sequence[tuple[str, float]] = DEM
             .withColumn("day", F.to_date("arrival_time")))
     keys = ["lab_id", "day", "scenario", "multiplier"]
     served = assign_stations(jobs.select(*keys, "patient_id", "copy", "queue_time", "service_minutes"), keys, staff)
-    card = wait_scorecard(served, [*keys, "servers"], "wait_minutes", p.queue_sla_minutes, p.target_sla_percentage)
-    # Offered work does not depend on the staff level, so it is summed before the replay.
-    work = jobs.groupBy(*keys).agg(F.sum("service_minutes").alias("_work"))
-    return (card.join(work, keys)
-            .withColumn("utilization_percentage", F.col("_work") / (F.lit(hours * 60.0) * F.col("servers")) * 100)
+    card = wait_scorecard(served, [*keys, "servers"], "wait_minutes", p.queue_sla_minutes, p.target_sla_percentage,
+                          sums=["service_minutes"])
+    offered = F.col("service_minutes") / (F.lit(hours * 60.0) * F.col("servers")) * 100
+    return (card.withColumn("utilization_percentage", offered)
             .withColumn("hourly_staffing_cost", F.col("servers") * F.lit(p.hourly_cost))
-            .withColumnRenamed("servers", "staff_count").drop("_work"))
+            .withColumnRenamed("servers", "staff_count").drop("service_minutes"))
 
 
 def cheapest_staffing(study: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from waitline.functions.clock import DAY_US, MINUTE_US, cells, floor_cell, micros, stamp
 from waitline.functions.scalars import queue_pressure, operational_status
 from waitline.params import Params
+from waitline.sources.tables import lookup
 
 
 def event_counts(events: DataFrame, p: Params = Params()) -> DataFrame:
@@ -113,7 +114,7 @@ def window_metrics(metrics: DataFrame, p: Params = Params(), window_minutes: int
         limits = limits.withColumn("_s", F.lit(start).cast(dtype))
     if end is not None:
         limits = limits.withColumn("_e", F.lit(end).cast(dtype))
-    limits = limits.select("lab_id", micros("_s").alias("s"), micros("_e").alias("e"))
+    limits = lookup(limits.select("lab_id", micros("_s").alias("s"), micros("_e").alias("e")))
 
     m = metrics.join(limits, "lab_id").select(
         "lab_id", "s", "e", micros("arrival_time").alias("a"), micros("service_start_time").alias("b"),

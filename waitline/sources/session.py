@@ -27,12 +27,17 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, fallback: str | None = None) -> str:
-    """The cluster's shared checkpoint folder; `fallback` is used only where none is configured."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("WAITLINE_SHARED_DIR") or fallback
-    if not folder:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return folder
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, as named in spark.checkpoint.dir.
+
+    Only a local session, where driver and executors are one machine, falls back to a temporary one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if spark.sparkContext.master.startswith("local"):
+        return tempfile.mkdtemp(prefix="spark-")
+    raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
 _shipped: set[str] = set()

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,9 +18,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def workspace(spark: SparkSession) -> str:
-    """A fresh folder under the cluster's shared folder (a temporary one where none is set)."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
-    return f"{shared_folder(spark, root)}/waitline-{uuid.uuid4().hex}"
+    """A fresh folder under the cluster's shared folder."""
+    return f"{shared_folder(spark)}/waitline-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -32,6 +30,18 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+BROADCAST_ROWS = 100_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """Store a per-key table and mark it for broadcast only if its counted rows are few.
+
+    Beyond the limit it stays an ordinary join side, which adaptive execution splits on skew.
+    """
+    stored = stage(df)
+    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+
+
 def _filesystem(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
