@@ -92,6 +92,15 @@ def test_staffing_sweep(rows, metrics, points, block):
             assert [r.avg[x], r.p95[x], r.max[x], r.sla[x]] == pytest.approx(list(want), abs=1e-7)
 
 
+def test_episode_is_one_instant_of_the_report(metrics, points):
+    instant = points.orderBy("window_start").first().window_start
+    one = counterfactual.episode(metrics, points, instant, P)
+    every = counterfactual.scenario_report(metrics, points, P).filter(F.col("window_start") == F.lit(instant))
+    assert sorted(one.collect()) == sorted(every.collect())
+    chosen = one.filter("selected").groupBy("lab_id").count().collect()
+    assert chosen and all(r["count"] == 1 for r in chosen)
+
+
 def test_draws_are_poisson_and_repeatable():
     n = 4000
     seed, scenario, rate = np.full(n, 99), np.arange(n), np.full(n, 0.4)

@@ -146,16 +146,21 @@ def intervention_backtest(metrics: DataFrame, decisions: DataFrame, p: Params =
         "sla_improvement_percentage_points", "p95_improvement_minutes")
 
 
-def episode(metrics: DataFrame, state: DataFrame, instant, p: Params = Params()) -> DataFrame:
-    """All staffing scenarios of the windows starting at one instant."""
-    at = F.lit(instant).cast(state.schema["window_start"].dataType)
-    points = state.filter(F.col("window_start") == at).select("lab_id", "window_start")
+def scenario_report(metrics: DataFrame, points: DataFrame, p: Params = Params()) -> DataFrame:
+    """Every staffing scenario of each timeline point, with the recommended one marked."""
     best = recommend(staffing_sweep(metrics, points, p), p)
     return best.select("lab_id", "window_start", "decision", F.explode("scenarios").alias("s"), "chosen").select(
         "lab_id", "window_start", "decision", "s.*",
         (F.col("s.additional_staff") == F.col("chosen.additional_staff")).alias("selected"))
 
 
+def episode(metrics: DataFrame, state: DataFrame, instant, p: Params = Params()) -> DataFrame:
+    """The scenario report of the windows starting at one instant."""
+    at = F.lit(instant).cast(state.schema["window_start"].dataType)
+    points = state.filter(F.col("window_start") == at).select("lab_id", "window_start")
+    return scenario_report(metrics, points, p)
+
+
 def sweep_rows(sweep: DataFrame, p: Params = Params()) -> DataFrame:
     """One row per timeline point and extra staff."""
     return sweep.select("lab_id", "window_start", F.explode(scenario_array(p)).alias("s")).select(

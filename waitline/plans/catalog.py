@@ -424,6 +424,12 @@ def recommendations(s, d):
                        "sla_improvement_percentage_points", "p95_improvement_minutes")
 
 
+@query
+def scenario_report(s, d):
+    """All scenarios of every window with the recommended one marked."""
+    return counterfactual.scenario_report(metrics(s, d), points(s, d), P)
+
+
 @query
 def full_timeline_backtest(s, d):
     return full(s, d)

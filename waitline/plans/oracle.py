@@ -614,6 +614,8 @@ SELECTS: dict[str, str] = {
         p.decision, p.objective, {REASONS}, {r('c.sla_percentage - b.sla_percentage', 'sla_improvement_percentage_points')},
         {r('b.p95_wait_minutes - c.p95_wait_minutes', 'p95_improvement_minutes')}
         FROM pick p JOIN card b ON b.lab_id = p.lab_id AND b.t = p.t AND b.x = 0 JOIN card c ON c.lab_id = p.lab_id AND c.t = p.t AND c.x = p.x""",
+    "scenario_report": f"""SELECT k.*, p.decision, p.x = k.additional_staff AS selected FROM (SELECT {CARD} FROM card) k
+        JOIN pick p ON p.lab_id = k.lab_id AND p.t = k.window_start""",
     "full_timeline_backtest": "SELECT * FROM ft",
     "intervention_backtest": "SELECT * FROM bt",
     "backtest_comparison_counts": "SELECT comparison, counterfactual_decision, objective, count(*) AS n FROM bt GROUP BY 1, 2, 3",
