@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from waitline.llm.common import LOWEST, id_blocks, texts, word_array
 from waitline.sources.tables import lookup
 
-SHINGLE, FRACTION = 5, 8
+SHINGLE, FRACTION = 5, 4
 
 
 def sketch(text: Column, shingle: int = SHINGLE, fraction: int = FRACTION) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waitline.llm import exact_dedup, fingerprint, licenses, lines, minhash, mixing, pieces, toxicity
+from waitline.llm import exact_dedup, fingerprint, katz, licenses, lines, minhash, mixing, pieces, shards, toxicity
 from waitline.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,3 +64,16 @@ def op10_toxicity(s, d):
     held = remainder(F.col("doc_id"), 4) == 2
     model = toxicity.fit(docs.where(~held), table(s, d, "labels"))
     return toxicity.score_texts(docs, model).select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
+@query
+def op3_katz(s, d):
+    docs = table(s, d, "documents")
+    held = remainder(F.col("doc_id"), 7) == 2
+    out = katz.score_documents(docs, ~held)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op7_training_order(s, d):
+    return shards.write_shards(table(s, d, "documents"))
