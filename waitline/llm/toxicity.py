@@ -32,7 +32,8 @@ from waitline.sources.session import ship_package
 SPAN, DECAY = 6, 0.6
 SYMBOLS, OPEN, CLOSE = 41, 39, 40
 WINDOW = 30
-LANDMARKS, NEGATIVES, ROUNDS, PENALTY = 160, 12_000, 4, 4.0
+LANDMARKS, NEGATIVES, ROUNDS, PENALTY = 160, 12_000, 6, 4.0
+TELLING = 5  # a suspect word is so many times likelier in toxic texts than in others
 SAMPLE, TRAIN_CHARS = 3000, 200_000
 THRESHOLD = 0.3
 MEMO = 400_000
@@ -192,31 +193,36 @@ def train(bags: list[list[str]], toxic: np.ndarray, prior: float) -> Model | Non
     for b, t in zip(bags, toxic):
         (pos if t else neg).update(b)
     odds = {u: c * (np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[u] + 0.5) / (n_neg + 1))) for u, c in pos.items()}
+    # A word that clean texts hold as well cannot be what makes a text toxic.
     guilty = [b for b, t in zip(bags, toxic) if t]
+    guilty = [b for b in ([u for u in b if odds[u] > pos[u] * np.log(TELLING)] for b in guilty) if b]
+    if not guilty:
+        return None
+    suspects = sorted({u for b in guilty for u in b})
     witness = [max(b, key=lambda u: (odds[u], u)) for b in guilty]
     clean = sorted(neg, key=lambda u: (hash_of(u), u))
-    negatives = clean[:NEGATIVES]
-    model = None
-    for _ in range(ROUNDS):
+    usual = [u for u, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0]))[:NEGATIVES // 3]]
+    negatives = [*dict.fromkeys([*usual, *clean[:NEGATIVES // 3]])]
+    model, hard = None, []
+    for step in range(ROUNDS):
         chosen = Counter(witness)
         marks = [u for u, _ in sorted(chosen.items(), key=lambda x: (-x[1], x[0]))][:LANDMARKS * 3 // 4]
-        marks += [u for u in negatives if u not in chosen][:LANDMARKS - len(marks)]
+        marks += [u for u in dict.fromkeys([*hard[:LANDMARKS // 8], *usual]) if u not in chosen][:LANDMARKS - len(marks)]
         tables = landmark_tables(marks)
         values, vectors = np.linalg.eigh(project(marks, tables))
         good = values > 1e-6 * values[-1]
         white = vectors[:, good] / np.sqrt(values[good])
-        units = [*chosen, *(u for u in negatives if u not in chosen)]
+        units = [*chosen, *(u for u in dict.fromkeys([*negatives, *hard]) if u not in chosen)]
         y = np.where(np.arange(len(units)) < len(chosen), 1.0, -1.0)
         share = np.array([*chosen.values()], float)
         weight = np.concatenate([share / share.sum(), np.full(len(units) - len(chosen), 1.0 / max(1, len(units) - len(chosen)))])
         w = squared_hinge(project(units, tables) @ white, y, weight * len(units))
         table = tables @ (white @ w[:-1])
         model = table, w[-1]
-        score = dict(zip(pos, evaluate([*pos], table)))
-        witness = [max(b, key=lambda u: (score[u], u)) for b in guilty]
-        hard = evaluate(clean, table)
-        top = np.argsort(-hard, kind="stable")[:NEGATIVES // 2]
-        negatives = [*dict.fromkeys([*(clean[i] for i in top), *clean[:NEGATIVES // 2]])]
+        hard = [clean[i] for i in np.argsort(-evaluate(clean, table), kind="stable")[:NEGATIVES // 3]]
+        if step % 2:  # every other round: words are chosen anew once the nearest clean words have been learnt
+            score = dict(zip(suspects, evaluate(suspects, table)))
+            witness = [max(b, key=lambda u: (score[u], u)) for b in guilty]
     table, bias = model
     every = [*dict.fromkeys(u for b in bags for u in b)]
     score = dict(zip(every, evaluate(every, table) + bias))
