@@ -7,7 +7,8 @@ entries, corrected for chance matches. Pairs that the estimate does not rule out
 
 Inside a band bucket nobody is compared with everybody. First each member meets the bucket's hub (chosen
 anew by hash in every band). Where a bucket still spans several components, members of different ones
-meet in a second pass, so a link is lost only if a pair shares no band (5e-5 at similarity 0.8).
+meet in a second pass, whose join confirms pairs in its condition. So a link is lost only if a pair shares
+no band (5e-5 at similarity 0.8).
 
 Defined cases: a null text counts as empty; no words, no set: linked with nothing; fewer words than a
 shingle: the whole sequence is one; rows that repeat an id are one document with all their links; a null
@@ -145,6 +146,25 @@ def confirmed(docs: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     return both.where(shared * 100 >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b").distinct()
 
 
+def _across(docs: DataFrame, apart: DataFrame, keys: DataFrame, shingle: int) -> DataFrame:
+    """Confirmed pairs (a, b) of one bucket whose components differ.
+
+    Only members with a plausible partner stay, with their sets; the join's own condition then confirms a
+    pair, in the first bucket that the two share. So no row is made for a pair that fails.
+    """
+    meets = lambda x, y: (F.col(f"{x}.bucket") == F.col(f"{y}.bucket")) & (F.col("x.label") < F.col("y.label")) & plausible("x", "y")
+    low = stage(apart.alias("x").join(apart.alias("y"), meets("x", "y"), "left_semi"))
+    high = stage(apart.alias("y").join(apart.alias("x"), meets("y", "x"), "left_semi"))
+    ids = low.select(F.col("rep").alias("id")).unionByName(high.select(F.col("rep").alias("id")))
+    sets = stage(shingle_sets(docs, ids, shingle).withColumnRenamed("id", "rep").join(keys, "rep"))
+    x, y = low.join(sets, "rep").alias("x"), high.join(sets, "rep").alias("y")
+    first = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")
+    shared = F.size(F.array_intersect("x.set", "y.set"))
+    reached = shared * 100 >= SIMILARITY * (F.col("x.n") + F.col("y.n") - shared)
+    return x.join(y, meets("x", "y") & first & reached).select(
+        F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     rows = stage(signatures(docs, shingle))
@@ -170,14 +190,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     known = members.join(reached, F.col("rep") == F.col("vertex"), "left").select("bucket", "rep", label)
     mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
     apart = stage(known.join(mixed, "bucket").join(light, "rep"))
-    x, y = apart.alias("x"), apart.alias("y")
-    meet = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.label") < F.col("y.label")) & plausible("x", "y")
-    second = x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    second = stage(second.join(first, ["a", "b"], "left_anti"))
-    if not second.isEmpty():
-        more = stage(confirmed(docs, second, shingle))
-        if not more.isEmpty():
-            reached = stage(components(edges.unionByName(more)))
+    more = stage(_across(docs, apart, classes.select("rep", "bands"), shingle))
+    if not more.isEmpty():
+        reached = stage(components(edges.unionByName(more)))
     labels = classes.select("h1", "h2", "rep").join(reached, F.col("rep") == F.col("vertex"), "left").select(
         "h1", "h2", F.coalesce("component", "rep").alias("component"))
     out = rows.join(labels, ["h1", "h2"], "left").withColumn("component", F.coalesce("component", "doc_id"))
