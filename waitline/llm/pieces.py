@@ -6,8 +6,9 @@ is a small matrix of best scores from entry state to exit state, and matrices co
 max-plus product. The scan gives each chunk the scores of its entry states, chunks then say which entry
 each exit leads back to, these maps compose from the end, and every chunk traces its own pieces.
 
-The model file is read on the driver and sent with the task; its pieces and scores are used as they are
-(for a BPE model file too, whose scores are merge ranks). Characters no piece covers become byte pieces.
+The model file is read on the driver and sent with the task. Scores of a unigram model are log-probabilities
+and used as they are; a BPE model has merge ranks instead, and its pieces get the log-probability that the
+Zipf-Mandelbrot law gives their rank. Characters no piece covers become byte pieces.
 
 Defined cases: a null text counts as empty and has no ids; on equal scores the longest last piece wins, as
 in the usual lattice search, for whole and for cut texts alike; U+2581 in a text decodes to a space, the one
@@ -18,6 +19,7 @@ columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -34,6 +36,7 @@ from waitline.sources.tables import stage
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
 MEMO = 400_000
+UNITS, SHIFT = 1 << 20, 100
 SPACE = "▁"
 NONE = -np.inf
 ENCODED = "doc_id long, n_chars long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean"
@@ -48,9 +51,15 @@ class Pieces:
         odd = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
         self.bytes = {sp.id_to_piece(i): i for i in range(n) if sp.is_byte(i)}
         self.byte = [self.bytes.get(f"<0x{b:02X}>", sp.unk_id()) for b in range(256)]
-        self.known = {sp.id_to_piece(i): (sp.get_score(i), i) for i in range(n) if not odd[i] and not sp.is_byte(i)}
+        usual = [i for i in range(n) if not odd[i] and not sp.is_byte(i)]
+        scores = {i: sp.get_score(i) for i in usual}
+        if all(s <= 0 and s == int(s) for s in scores.values()):  # ranks of merges
+            order = sorted(usual, key=lambda i: (-scores[i], i))
+            scores = {i: -math.log(SHIFT + rank) for rank, i in enumerate(order)}
+        # Whole numbers, so that sums do not depend on where a text is cut.
+        self.known = {sp.id_to_piece(i): (float(round(UNITS * s)), i) for i, s in scores.items()}
         self.longest = max(map(len, self.known))
-        self.unknown = min(s for s, _ in self.known.values()) - 10.0
+        self.unknown = min(s for s, _ in self.known.values()) - 10.0 * UNITS
         self.raw = [b""] * n
         for piece, (_, i) in self.known.items():
             self.raw[i] = piece.replace(SPACE, " ").encode()
@@ -143,7 +152,7 @@ class Pieces:
         """Best scores from entry state (rows) to exit state (columns)."""
         first, middle, last = self.split(body, ahead)
         out = np.full((self.longest, self.longest), NONE)
-        for a in range(min(self.longest, len(body))):
+        for a in range(min(self.longest, len(body) + len(ahead) + 1)):  # a piece may also lie over the whole chunk
             if not last:
                 out[a] = self.exits(body + ahead, len(body), {a: 0.0})
             elif a <= first:
@@ -155,7 +164,7 @@ class Pieces:
         return out
 
     def ways(self, body: str, ahead: str, entry: list[float]) -> tuple[list, list]:
-        start = {a: v for a, v in enumerate(entry[:len(body)]) if v > NONE}
+        start = {a: v for a, v in enumerate(entry[:len(body) + len(ahead) + 1]) if v > NONE}
         return self.forward(body + ahead, start, len(body))
 
     def entries(self, body: str, ahead: str, entry: list[float]) -> list[int]:
