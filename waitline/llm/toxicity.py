@@ -34,7 +34,7 @@ SYMBOLS, OPEN, CLOSE = 41, 39, 40
 WINDOW = 30
 LANDMARKS, NEGATIVES, ROUNDS, PENALTY = 160, 12_000, 6, 4.0
 TELLING = 5  # a suspect word is so many times likelier in toxic texts than in others
-SAMPLE, TRAIN_CHARS = 3000, 200_000
+SAMPLE, TRAIN_CHARS = 2000, 200_000
 THRESHOLD = 0.3
 MEMO = 400_000
 #: Digits and signs read as the letters they stand for.
