@@ -21,42 +21,33 @@ class Params:
     older_weight: float = 1.0
     recent_weight: float = 2.0
     trend_strength: float = 0.5
-    scenarios: int = 200
-    confidence: float = 0.95
-    base_seed: int = 42000
     hold_minutes: int = 15
     hourly_cost: float = 35.0
     late_after_seconds: int = 300
     watermark: str = "30 minutes"
+    # Off: an event_id is never stored twice. On: a new event is only compared with stored ones that
+    # are not older than the watermark, so less is read, and an id sent again much later comes back.
+    bounded_dedup: bool = False
     # What to do when more customers are in service than there are stations:
     # "error" stops the job, "queue" lets the surplus hold the next free station.
     on_overflow: str = "error"
-    # Replays run per (lab, block of time); a block bounds what one task holds.
-    block_minutes: int = 360
 
     def __post_init__(self) -> None:
         checks = {
-            "queue_sla_minutes must be greater than 0": self.queue_sla_minutes > 0,
-            "target_sla_percentage must be between 0 and 100": 0 < self.target_sla_percentage <= 100,
-            "window_minutes must be greater than 0": self.window_minutes > 0,
-            "staff_count must be at least 1": self.staff_count >= 1,
-            "max_additional_staff cannot be negative": self.max_additional_staff >= 0,
-            "lookahead_minutes must be greater than 0": self.lookahead_minutes > 0,
-            "segment_minutes must be greater than 0": self.segment_minutes > 0,
-            "older_weight must be positive": self.older_weight > 0,
-            "recent_weight must be positive": self.recent_weight > 0,
-            "trend_strength cannot be negative": self.trend_strength >= 0,
-            "scenarios must be at least 1": self.scenarios >= 1,
-            "confidence must be between 0 and 1": 0.0 <= self.confidence <= 1.0,
-            "hourly_cost cannot be negative": self.hourly_cost >= 0,
-            "hold_minutes cannot be negative": self.hold_minutes >= 0,
-            "on_overflow must be 'error' or 'queue'": self.on_overflow in ("error", "queue"),
-            "lookahead_minutes must be a multiple of window_minutes":
-                self.lookahead_minutes % self.window_minutes == 0,
-            "segment_minutes must be a multiple of window_minutes":
-                self.segment_minutes % self.window_minutes == 0,
-            "block_minutes must be a multiple of window_minutes":
-                self.block_minutes % self.window_minutes == 0,
+            "the queue target needs a positive number of minutes": self.queue_sla_minutes > 0,
+            "the target share is a percentage above 0": 0 < self.target_sla_percentage <= 100,
+            "windows need a positive length": self.window_minutes > 0,
+            "a lab has one station or more": self.staff_count >= 1,
+            "extra staff is counted from 0": self.max_additional_staff >= 0,
+            "the lookahead needs a positive length": self.lookahead_minutes > 0,
+            "segments need a positive length": self.segment_minutes > 0,
+            "weights of both halves of the history are above 0": self.older_weight > 0 and self.recent_weight > 0,
+            "the trend only strengthens: 0 or more": self.trend_strength >= 0,
+            "an hour costs 0 or more": self.hourly_cost >= 0,
+            "a hold lasts 0 minutes or more": self.hold_minutes >= 0,
+            "surplus customers either stop the job (error) or wait (queue)": self.on_overflow in ("error", "queue"),
+            "the lookahead is a whole number of windows": self.lookahead_minutes % self.window_minutes == 0,
+            "a segment is a whole number of windows": self.segment_minutes % self.window_minutes == 0,
         }
         for message, holds in checks.items():
             if not holds:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Field names and types of the event contract.
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.StringType()),
     T.StructField("event_type", T.StringType()),
@@ -32,7 +33,7 @@ RECORD_SCHEMA = T.StructType([
 
 
 def topic_options(servers: str, topic: str) -> dict[str, str]:
-    """Options of a topic subscription that starts at the oldest record and survives lost ones."""
+    """Options of a topic subscription that starts at the oldest record and survives lost ones (fixed values)."""
     return {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
@@ -64,9 +65,9 @@ def bronze_records(records: DataFrame) -> DataFrame:
 
 
 def publishable(events: DataFrame) -> DataFrame:
-    """Key/value rows for a topic sink: one JSON document per event, keyed by event_id."""
-    return events.select(F.col("event_id").alias("key"),
-                         F.to_json(F.struct(*[F.col(c) for c in events.columns])).alias("value"))
+    """Key/value rows for a topic sink: one JSON document per event with every field, keyed by event_id."""
+    whole = F.struct(*[F.col(c) for c in events.columns])
+    return events.select(F.col("event_id").alias("key"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("value"))
 
 
 def publish(events: DataFrame, fmt: str = "kafka", path: str | None = None, **options: str) -> None:

@@ -13,10 +13,6 @@ from waitline.sources.session import shared_folder
 MARKER = "_current"
 
 
-def scan(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
-
-
 def workspace(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared folder."""
     return f"{shared_folder(spark)}/waitline-{uuid.uuid4().hex}"
@@ -24,12 +20,21 @@ def workspace(spark: SparkSession) -> str:
 
 def stage(df: DataFrame) -> DataFrame:
     """Store a costly intermediate table and read it back, so that later steps that use it
-    several times do not compute it again and a lost executor does not restart the chain."""
+    several times do not compute it again and a lost executor does not restart the chain.
+
+    The folder goes when the application ends."""
     folder = workspace(df.sparkSession)
     df.write.parquet(folder)
+    discard_later(df.sparkSession, folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard_later(spark: SparkSession, folder: str) -> None:
+    """Delete a staged folder when the application ends: on exit of its file system, which ends with the JVM."""
+    _, target, fs = _filesystem(spark, folder)
+    fs.deleteOnExit(target)
+
+
 BROADCAST_ROWS = 100_000
 
 
@@ -48,6 +53,11 @@ def _filesystem(spark: SparkSession, path: str):
     return jvm, target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    _, target, fs = _filesystem(spark, path)
+    return fs.exists(target)
+
+
 def read_marker(spark: SparkSession, root: str) -> dict | None:
     """Small JSON note naming the folder readers should use, or None before the first write."""
     _, target, fs = _filesystem(spark, f"{root}/{MARKER}")
@@ -61,22 +71,37 @@ def read_marker(spark: SparkSession, root: str) -> dict | None:
 
 
 def write_marker(spark: SparkSession, root: str, note: dict) -> None:
+    """Put a new note in place of the old one in a single rename: readers see either, never none."""
     jvm, target, fs = _filesystem(spark, f"{root}/{MARKER}")
-    staged = jvm.org.apache.hadoop.fs.Path(f"{root}/{MARKER}.next")
-    stream = fs.create(staged, True)
+    draft = jvm.org.apache.hadoop.fs.Path(f"{root}/{MARKER}.{uuid.uuid4().hex}")
+    stream = fs.create(draft, True)
     stream.write(bytearray(json.dumps(note).encode()))
     stream.close()
-    fs.delete(target, False)
-    fs.rename(staged, target)
+    fs_jvm = jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(fs_jvm.Options.Rename, 1)
+    options[0] = fs_jvm.Options.Rename.OVERWRITE
+    fs_jvm.FileContext.getFileContext(target.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(draft, target, options)
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """Version folders under a table's root, complete or not."""
+    _, target, fs = _filesystem(spark, root)
+    if not fs.exists(target):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(target)]
+    return sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
 
 
 def refresh(df: DataFrame, root: str) -> str:
-    """Replace a table's content and schema: write a new version, then point readers at it."""
+    """Replace a table's content and schema: write a new version, then point readers at it.
+
+    The number follows from the folders that are there, so a version that was half written or whose
+    marker was lost is never written into, and readers of an older version keep their files.
+    """
     spark = df.sparkSession
-    note = read_marker(spark, root) or {"version": 0}
-    version = note["version"] + 1
+    version = max([0, *versions(spark, root)]) + 1
     folder = f"{root}/v{version:06d}"
-    df.write.mode("overwrite").parquet(folder)
+    df.write.parquet(folder)
     write_marker(spark, root, {"version": version, "folder": folder})
     return folder
 

@@ -66,7 +66,7 @@ def events_of(v: DataFrame) -> DataFrame:
               for i, (column, kind) in enumerate(LIFECYCLE_EVENTS.items())]
     again = F.struct(F.lit(len(stages)).alias("seq"), F.lit("PATIENT_ARRIVAL").alias("event_type"),
                      (F.col("arrival_time") + F.expr("INTERVAL 2 MINUTES")).alias("event_time"))
-    repeat = F.substring("patient_id", 2, 20).cast("long") % 7 == 0
+    repeat = F.expr("substring(patient_id, 2)").cast("long") % 7 == 0
     rows = v.withColumn("e", F.explode(F.when(repeat, F.array(*stages, again)).otherwise(F.array(*stages))))
     return rows.select(
         F.concat_ws("_", "patient_id", "e.event_type").alias("event_id"),
@@ -90,7 +90,7 @@ def records_of(e: DataFrame) -> DataFrame:
     JSON, 3 lacks patient_id, 4 lacks lab_id, 5 has an unreadable event_time, 6 lacks event_type.
     Ingestion lags the event by (number modulo 13) minutes.
     """
-    number = F.substring("patient_id", 2, 20).cast("long")
+    number = F.expr("substring(patient_id, 2)").cast("long")
     fault = F.when(F.col("event_type") == "SERVICE_STARTED", number % 11).otherwise(F.lit(0))
     at = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss'Z'")
 

@@ -14,30 +14,38 @@ from waitline.params import Params
 
 OUTPUT = ("policy string, lab_id string, timestamp timestamp, instantaneous_recommendation int, "
           "policy_action string, staff_change int, active_additional_staff int, reason string")
+STATE = "active int, until long, times array<long>, asked array<int>"
 
 
 def hold_policy_stream(steps: DataFrame, p: Params = Params()) -> DataFrame:
     """Actions for a stream of (policy, lab_id, timestamp, instantaneous_recommendation).
 
-    Rows of a micro-batch are taken in time order; the deployed staff and the end of the hold
-    are kept between micro-batches.
+    Rows may come out of order by up to `p.watermark`: they wait in the state until the watermark has
+    passed them and are then taken in time order, whatever micro-batch brought them. Kept between
+    micro-batches are the deployed staff, the end of the hold and the rows that still wait.
     """
     hold = p.hold_minutes * 60_000_000
 
     def walk(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, until = state.get if state.exists else (0, -1)
-        rows = pd.concat(frames).sort_values("timestamp")
-        times = rows["timestamp"].dt.as_unit("us").astype("int64").tolist()
+        active, until, times, asked = state.get if state.exists else (0, -1, [], [])
+        waiting = [*zip(times, asked)]
+        if not state.hasTimedOut:
+            for rows in frames:
+                at = rows["timestamp"].dt.as_unit("us").astype("int64").tolist()
+                waiting += zip(at, rows["instantaneous_recommendation"].tolist())
+        passed = state.getCurrentWatermarkMs() * 1000
+        ready, waiting = sorted(x for x in waiting if x[0] < passed), sorted(x for x in waiting if x[0] >= passed)
         out = []
-        for at, asked in zip(times, rows["instantaneous_recommendation"].tolist()):
-            name, now, until = hold_step(at, asked, active, until, hold)
+        for at, wanted in ready:
+            name, now, until = hold_step(at, wanted, active, until, hold)
             action, reason = HOLD_STEPS[name]
-            out.append((action, now - active, now, reason))
+            out.append((*key, at, wanted, action, now - active, now, reason))
             active = now
-        state.update((active, until))
-        actions = pd.DataFrame(out, columns=["policy_action", "staff_change", "active_additional_staff", "reason"])
-        yield pd.concat([rows[["policy", "lab_id", "timestamp", "instantaneous_recommendation"]]
-                        .reset_index(drop=True), actions], axis=1)
-
-    return steps.groupBy("policy", "lab_id").applyInPandasWithState(
-        walk, OUTPUT, "active int, until long", "append", GroupStateTimeout.NoTimeout)
+        state.update((active, until, [t for t, _ in waiting], [a for _, a in waiting]))
+        if waiting:
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, passed // 1000 + 1))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in OUTPUT.split(", ")])
+        yield frame.assign(timestamp=pd.to_datetime(frame["timestamp"], unit="us"))
+
+    return steps.withWatermark("timestamp", p.watermark).groupBy("policy", "lab_id").applyInPandasWithState(
+        walk, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)

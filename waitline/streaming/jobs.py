@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from waitline.operators import ingest, lifecycle, windows
 from waitline.params import Params
 from waitline.sources.events import EVENT_SCHEMA, bronze_records
-from waitline.sources.tables import read_marker, write_marker
+from waitline.sources.tables import exists, read_marker, write_marker
 
 BRONZE_SCHEMA = T.StructType([
     T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()),
@@ -28,11 +28,11 @@ SILVER_SCHEMA = T.StructType([
 
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
-    """Follow a table another query appends to; the sink's log makes each file count once."""
+    """Follow a table another query appends to; the source's log makes each file count once."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(path).select(*schema.names)
 
 
 def append(df: DataFrame, path: str, checkpoint: str, drain: bool = False) -> StreamingQuery:
@@ -47,12 +47,66 @@ def bronze_job(records: DataFrame, root: str, drain: bool = False) -> StreamingQ
     return append(bronze_records(records), f"{root}/bronze", f"{root}/checkpoints/bronze", drain)
 
 
-def silver_jobs(bronze: DataFrame, root: str, p: Params = Params(), drain: bool = False) -> list[StreamingQuery]:
-    """Two queries over the same parse: accepted events, de-duplicated, and rejected records."""
-    parsed = ingest.parse(bronze)
-    events = ingest.first_of_each_stream(ingest.with_lag(ingest.accepted(parsed), p), p)
-    return [append(events, f"{root}/silver", f"{root}/checkpoints/silver", drain),
-            append(ingest.rejected(parsed), f"{root}/quarantine", f"{root}/checkpoints/quarantine", drain)]
+def store_once(df: DataFrame, folder: str) -> None:
+    """Write a batch's folder unless an earlier run of the batch has completed it."""
+    if not exists(df.sparkSession, f"{folder}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(folder)
+
+
+def new_events(events: DataFrame, root: str, batch_id: int, p: Params = Params()) -> DataFrame:
+    """The batch's events that are neither stored by an earlier batch nor behind the watermark.
+
+    Of copies within the batch the record read first stays; an id stored before always wins. The
+    watermark is what the earlier batches give, so running a batch again gives the same rows.
+    """
+    spark = events.sparkSession
+    events = ingest.first_of_each(events)
+    if batch_id == 0 or not exists(spark, f"{root}/silver"):
+        return events
+    stored = (spark.read.schema(T.StructType([*SILVER_SCHEMA, T.StructField("batch_id", T.LongType())]))
+              .parquet(f"{root}/silver").where(F.col("batch_id") < batch_id))
+    latest = stored.agg(F.max("event_time")).first()[0]
+    if latest is None:
+        return events
+    limit = F.lit(latest) - F.expr(f"INTERVAL {p.watermark}")
+    if p.bounded_dedup:
+        stored = stored.where(F.col("event_time") >= limit)
+    return events.where(F.col("event_time") >= limit).join(stored.select("event_id"), "event_id", "left_anti")
+
+
+def silver_job(bronze: DataFrame, root: str, p: Params = Params(), drain: bool = False) -> StreamingQuery:
+    """One query, one parse: accepted events, each id once, and rejected records.
+
+    A batch stores both under its number. If either write fails the query stops with that error, and
+    the batch is run again from the checkpoint; what it had completed is not written twice.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        parsed = ingest.parse(batch).persist()
+        try:
+            store_once(ingest.rejected(parsed), f"{root}/quarantine/batch_id={batch_id}")
+            events = ingest.with_lag(ingest.accepted(parsed), p)
+            store_once(new_events(events, root, batch_id, p).select(*SILVER_SCHEMA.names), f"{root}/silver/batch_id={batch_id}")
+        finally:
+            parsed.unpersist()
+
+    writer = bronze.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/checkpoints/silver")
+    if drain:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()
+
+
+def wait_for_any(spark: SparkSession, *queries: StreamingQuery) -> None:
+    """Run jobs side by side until one ends; if it failed, stop the others and raise its error."""
+    try:
+        while all(q.isActive for q in queries):
+            spark.streams.awaitAnyTermination(5)
+            spark.streams.resetTerminated()
+        for q in queries:
+            if not q.isActive and q.exception() is not None:
+                raise q.exception()
+    finally:
+        for q in queries:
+            q.stop()
 
 
 def window_count_job(silver: DataFrame, root: str, p: Params = Params(), drain: bool = False) -> StreamingQuery:
@@ -66,7 +120,8 @@ def upsert(root: str) -> Callable[[DataFrame, int], None]:
     again replaces only its own folder.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        lifecycle.lifecycle_state(batch).write.mode("overwrite").parquet(f"{root}/batches/batch_id={batch_id}")
+        if not batch.isEmpty():
+            lifecycle.lifecycle_state(batch).write.mode("overwrite").parquet(f"{root}/batches/batch_id={batch_id}")
 
     return store
 
