@@ -144,13 +144,3 @@ def compare_policies(full: DataFrame, p: Params = Params()) -> DataFrame:
     steps = stack_policies(full, {"STATIC_RULE": "rule_additional_staff",
                                   "COUNTERFACTUAL": "model_additional_staff"}, *carried)
     return apply_hold_policy(steps, p=p)
-
-
-def three_policies(full: DataFrame, forecast: DataFrame, p: Params = Params()) -> DataFrame:
-    """Static rule, oracle and forecast recommendations, all run through the hold policy."""
-    both = full.select("lab_id", "timestamp", "rule_additional_staff", "model_additional_staff").join(
-        forecast.select("lab_id", "timestamp", "forecast_additional_staff"), ["lab_id", "timestamp"], "left")
-    steps = stack_policies(both, {"STATIC_RULE": "rule_additional_staff",
-                                  "ORACLE_COUNTERFACTUAL": "model_additional_staff",
-                                  "FORECAST_PROBABILISTIC": "forecast_additional_staff"})
-    return apply_hold_policy(steps, p=p)

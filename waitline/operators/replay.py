@@ -1,271 +1,109 @@
-"""What-if replays of timeline points, run per (lab, block of time).
+"""What-if replays of timeline points with more staff, as DataFrame expressions.
 
-Every visit is shipped once per block it can matter to (almost always one), instead of once
-per timeline point. A task then slices its block's visits for each point. A block holds the
-visits of one lab over a few hours plus the lookahead, so its size follows elapsed time and
-not the length of the table.
+A visit names the windows in which it is in service, waits, or arrives within the lookahead. The jobs of a
+(lab, window) meet in one sorted array of a half hour's length, and a fold over the stations' free times serves
+them first come, first served for every number of extra staff. So the key space grows with the timeline, and
+a row with what is going on in one window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waitline.functions.clock import MINUTE_US, floor_cell, micros, stamp
-from waitline.functions.fcfs import (CELL_BUDGET, poisson_offsets, replay, stab, uniform, weighted_pick)
-from waitline.functions.spread import by_work
+from waitline.functions.clock import MINUTE_US, ceil_cell, cells, floor_cell, micros
 from waitline.params import Params
 
-SWEEP_SCHEMA = ("lab_id string, t bigint, initial_waiting int, initial_in_service int, future_arrivals int, "
-                "already_breached int, avg array<double>, p95 array<double>, max array<double>, sla array<double>")
-MONTE_CARLO_SCHEMA = ("lab_id string, t bigint, generated double, probability array<double>, "
-                      "avg_sla array<double>, avg_p95 array<double>, avg_wait array<double>")
-DRAWS_SCHEMA = ("lab_id string, t bigint, scenario int, arrival_number int, offset_minutes double, "
-                "patient_type string, service_minutes double")
-
-
-def blocks(metrics: DataFrame, timeline: DataFrame, p: Params, history_minutes: int, at: str,
-           *carried: str) -> tuple[DataFrame, DataFrame]:
-    """Timeline points and visits keyed by (lab_id, block)."""
-    size = p.block_minutes * MINUTE_US
-    points = timeline.select(F.col("lab_id").alias("lab"), micros(at).alias("t"), *carried).withColumn(
-        "block", floor_cell(F.col("t"), size))
-    a, d = micros("arrival_time"), micros("service_end_time")
-    first = floor_cell(F.least(a - p.lookahead_minutes * MINUTE_US, micros("queue_entry_time")), size)
-    last = floor_cell(F.greatest(a + history_minutes * MINUTE_US, d), size)
-    visits = metrics.select(
-        "lab_id", "patient_id", "patient_type", a.alias("a"), micros("queue_entry_time").alias("q"),
-        micros("service_start_time").alias("b"), d.alias("d"), "service_minutes",
-        F.explode(F.sequence(first, last)).alias("block"))
-    return points, visits
-
-
-def _per_block(points: DataFrame, visits: DataFrame, task: Callable, schema: str) -> DataFrame:
-    left = by_work(points, "lab", "block").groupBy("lab", "block")
-    right = by_work(visits, "lab_id", "block").groupBy("lab_id", "block")
-    return left.cogroup(right).applyInArrow(task, schema)
-
-
-class Block:
-    """Column arrays of one (lab, block): sorted points and visits in arrival order."""
-
-    def __init__(self, points: pa.Table, visits: pa.Table):
-        points = points.sort_by("t")
-        visits = visits.sort_by([("a", "ascending"), ("patient_id", "ascending")])
-        self.points, self.visits = points, visits
-        self.lab = points["lab"][0].as_py() if points.num_rows else None
-        self.t = points["t"].to_numpy()
-        self.a, self.q, self.b, self.d = (visits[c].to_numpy() for c in "aqbd")
-        self.service = visits["service_minutes"].to_numpy()
-        # Rank by id: ties in queue order are broken the same way everywhere.
-        rank = np.empty(visits.num_rows, np.int64)
-        ids = pa.compute.sort_indices(visits["patient_id"]).to_numpy()
-        rank[ids] = np.arange(len(ids))
-        self.rank = rank
-
-    def _sorted(self, point, visit, order):
-        o = np.lexsort((self.rank[visit], order[visit], point))
-        return point[o], visit[o]
+SERVING, WAITING, FUTURE = 0, 1, 2
 
-    def serving(self):
-        return self._sorted(*stab(self.t, self.b, self.d), self.b)
 
-    def waiting(self):
-        return self._sorted(*stab(self.t, self.q, self.b), self.q)
+def jobs_at(metrics: DataFrame, p: Params = Params()) -> DataFrame:
+    """lab_id, cell (window start) and one job per visit that matters there, by (phase, place in line, id)."""
+    step = p.step_us
+    a, q, b, d = (micros(c) for c in ("arrival_time", "queue_entry_time", "service_start_time", "service_end_time"))
+    minutes = lambda us: us / F.lit(float(MINUTE_US))
 
-    def future(self, minutes: int):
-        span = minutes * int(MINUTE_US)
-        return self._sorted(*stab(self.t, self.a - span + 1, self.a + 1), self.a)
+    def phase(number: int, low: Column, high: Column, place: Column, arrive, service, accrued) -> Column:
+        """The cells of one phase of a visit, as jobs. Times are in minutes from the cell."""
+        return F.transform(cells(low, high), lambda c: F.struct(c.alias("cell"), F.struct(
+            F.lit(number).alias("phase"), place.alias("place"), F.col("patient_id").alias("id"), arrive(c * step).alias("arrive"),
+            service(c * step).alias("service"), accrued(c * step).alias("accrued")).alias("job")))
 
-    def state_jobs(self, p: Params):
-        """Jobs already present at each point: those in service (unscored), then the queue."""
-        sp, sv = self.serving()
-        wp, wv = self.waiting()
-        if p.on_overflow == "error" and len(sp):
-            if np.bincount(sp).max() > p.staff_count:
-                raise ValueError("initial_services cannot exceed station_count")
-        column = np.concatenate((sp, wp))
-        service = np.concatenate(((self.d[sv] - self.t[sp]) / float(MINUTE_US), self.service[wv]))
-        accrued = np.concatenate((np.full(len(sp), np.inf), (self.t[wp] - self.q[wv]) / float(MINUTE_US)))
-        phase = np.concatenate((np.zeros(len(sp), np.int8), np.ones(len(wp), np.int8)))
-        order = np.lexsort((np.arange(len(column)), phase, column))
-        return column[order], service[order], accrued[order]
+    zero, none, length = lambda t: F.lit(0.0), lambda t: F.lit(None).cast("double"), lambda t: F.col("service_minutes")
+    everything = F.concat(
+        phase(SERVING, ceil_cell(b, step), ceil_cell(d, step) - 1, b, zero, lambda t: minutes(d - t), none),
+        phase(WAITING, ceil_cell(q, step), ceil_cell(b, step) - 1, q, zero, length, lambda t: minutes(t - q)),
+        phase(FUTURE, floor_cell(a - p.lookahead_minutes * MINUTE_US, step) + 1, floor_cell(a, step), a,
+              lambda t: minutes(a - t), length, zero))
+    return metrics.select("lab_id", F.explode(everything).alias("x")).select("lab_id", "x.cell", "x.job")
 
 
-def _lists(values: np.ndarray) -> pa.ListArray:
-    rows, width = values.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * width, pa.int32()),
-                                    pa.array(np.ascontiguousarray(values).ravel()))
+def served(jobs: Column, stations: Column) -> Column:
+    """Waits of the scored jobs of a sorted array, served in order by so many stations.
 
-
-def _append(columns: int, *parts) -> tuple:
-    """Concatenate (column, arrive, service, accrued) job sets, keeping their order per column."""
-    column = np.concatenate([x[0] for x in parts])
-    order = np.argsort(column, kind="stable")
-    return tuple(np.concatenate([x[i] for x in parts])[order] for i in range(4))
-
-
-def staffing_sweep(metrics: DataFrame, timeline: DataFrame, p: Params = Params(),
-                   at: str = "window_start") -> DataFrame:
-    """Replay the actual next half hour of each point with 0..max extra staff.
-
-    Arrays are indexed by extra staff. One row per timeline point.
+    The state is the sorted free times of the stations; the first job to come takes the earliest.
     """
-    points, visits = blocks(metrics, timeline, p, 0, at)
-    servers = [p.staff_count + x for x in range(p.max_additional_staff + 1)]
-
-    def task(_key, pts: pa.Table, vis: pa.Table) -> pa.Table:
-        blk = Block(pts, vis)
-        n = len(blk.t)
-        column, service, accrued = blk.state_jobs(p)
-        fp, fv = blk.future(p.lookahead_minutes)
-        offset = (blk.a[fv] - blk.t[fp]) / float(MINUTE_US)
-        jobs = _append(n, (column, np.zeros(len(column)), service, accrued),
-                       (fp, offset, blk.service[fv], np.zeros(len(fp))))
-        stats = replay(jobs[0], n, *jobs[1:], servers, p.queue_sla_minutes)
-        queued = np.isfinite(accrued)
-        count = lambda mask: pa.array(np.bincount(column[mask], minlength=n).astype(np.int32))
-        return pa.table({
-            "lab_id": pa.array([blk.lab] * n, pa.string()), "t": pa.array(blk.t),
-            "initial_waiting": count(queued), "initial_in_service": count(~queued),
-            "future_arrivals": pa.array(np.bincount(fp, minlength=n).astype(np.int32)),
-            "already_breached": count(queued & (accrued > p.queue_sla_minutes)),
-            **{k: _lists(stats[k]) for k in ("avg", "p95", "max", "sla")}})
-
-    swept = _per_block(points, visits, task, SWEEP_SCHEMA)
-    return swept.withColumn(at, stamp(F.col("t"), timeline.schema[at].dataType)).drop("t")
-
+    start = F.struct(F.transform(F.sequence(F.lit(1), stations), lambda _: F.lit(0.0)).alias("free"),
+                     F.array().cast("array<double>").alias("waits"))
 
-def _seeded(timeline: DataFrame, p: Params) -> DataFrame:
-    """Seed of each point: its number on the lab's timeline mixed with the lab's name."""
-    lab = F.conv(F.substring(F.md5("lab_id"), 1, 8), 16, 10).cast("long")
-    number = F.lit(p.base_seed) + F.col("timeline_index") * 1000
-    return timeline.withColumn("seed", F.pmod(lab + number, F.lit(4294967296)))
+    def step(state, job):
+        begin = F.greatest(F.element_at(state["free"], 1), job["arrive"])
+        rest = F.slice(state["free"], 2, F.size(state["free"]))
+        waits = F.when(job["accrued"].isNull(), state["waits"]).otherwise(
+            F.array_append(state["waits"], begin - job["arrive"] + job["accrued"]))
+        return F.struct(F.array_sort(F.array_append(rest, begin + job["service"])).alias("free"), waits.alias("waits"))
 
+    return F.aggregate(jobs, start, step, lambda state: F.array_sort(state["waits"]))
 
-def _histories(blk: Block, p: Params):
-    """Record range [first, first + n) of both segments of each point, and where the recent one starts."""
-    seg = p.segment_minutes * int(MINUTE_US)
-    lo = np.searchsorted(blk.a, blk.t - 2 * seg, "left")
-    mid = np.searchsorted(blk.a, blk.t - seg, "left")
-    hi = np.searchsorted(blk.a, blk.t, "left")
-    return lo, mid, hi
 
+def scores(waits: Column, p: Params) -> Column:
+    """Mean, floor-index P95, maximum and share within the target of sorted waits; 0, 0, 0, 100 without any."""
+    n = F.size(waits)
+    total = F.aggregate(waits, F.lit(0.0), lambda x, y: x + y)
+    rank = F.floor(F.lit(0.95) * (n - 1)).cast("int") + 1
+    within = F.size(F.filter(waits, lambda w: w <= p.queue_sla_minutes))
+    some = n > 0
+    return F.struct(F.when(some, total / n).otherwise(0.0).alias("avg"), F.when(some, F.get(waits, rank - 1)).otherwise(0.0).alias("p95"),
+                    F.when(some, F.get(waits, n - 1)).otherwise(0.0).alias("max"), F.when(some, within / n * 100).otherwise(100.0).alias("sla"))
 
-def _scenario_chunks(rate: np.ndarray, fixed: np.ndarray, p: Params):
-    """(point, scenario) pairs cut so that one chunk stays within the cell budget."""
-    expected = rate * p.lookahead_minutes
-    weight = np.repeat(expected + 4 * np.sqrt(expected) + fixed + 8, p.scenarios)
-    weight = np.cumsum(weight)
-    pieces = (weight // CELL_BUDGET).astype(np.int64)
-    pairs = np.arange(len(rate) * p.scenarios)
-    for piece in np.unique(pieces):
-        chosen = pairs[pieces == piece]
-        yield chosen // p.scenarios, chosen % p.scenarios
 
+def staffing_sweep(metrics: DataFrame, timeline: DataFrame, p: Params = Params(), at: str = "window_start") -> DataFrame:
+    """Replay the actual next half hour of each point with 0..max extra staff.
 
-def _draw(blk: Block, seeds, point, scenario, rate, p: Params, weighted: bool):
-    """Arrivals of (point, scenario) pairs and the history record each one copies."""
-    lo, mid, hi = _histories(blk, p)
-    pair, number, offset = poisson_offsets(seeds[point], scenario, rate[point], float(p.lookahead_minutes))
-    asked = np.unique(point)
-    local = np.searchsorted(asked, point)
-    n = (hi - lo)[asked]
-    owner = np.repeat(np.arange(len(asked)), n)
-    index = np.repeat(lo[asked] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    weight = np.ones(len(index))
-    if weighted:
-        weight = np.where(index < mid[asked][owner], p.older_weight, p.recent_weight)
-    first = np.cumsum(n) - n
-
-    def pick(stream):
-        u = uniform(seeds[point][pair], scenario[pair], number, stream)
-        return index[weighted_pick(local[pair], u, first, n, weight)]
-
-    record = pick(1)
-    return pair, number, offset, record, (record if weighted else pick(2))
-
-
-def _rates(blk: Block, p: Params, weighted: bool) -> np.ndarray:
-    lo, mid, hi = _histories(blk, p)
-    seg = float(p.segment_minutes)
-    if not weighted:
-        return (hi - lo) / (2 * seg)
-    older, recent = (mid - lo) / seg, (hi - mid) / seg
-    return (older * p.older_weight + recent * p.recent_weight) / (p.older_weight + p.recent_weight)
-
-
-def demand_scenarios(metrics: DataFrame, timeline: DataFrame, p: Params = Params(),
-                     weighted: bool = True, at: str = "timestamp") -> DataFrame:
-    """Simulated arrivals of every (point, scenario), one row each.
-
-    `weighted` copies type and service of one weighted history record; otherwise the two are
-    drawn independently. `timeline` carries `timeline_index`.
-    """
-    points, visits = blocks(metrics, _seeded(timeline, p), p, 2 * p.segment_minutes, at, "seed")
-
-    def task(_key, pts: pa.Table, vis: pa.Table):
-        blk = Block(pts, vis)
-        seeds, rate = blk.points["seed"].to_numpy(), _rates(blk, p, weighted)
-        found = [np.zeros(0, np.int64)] * 5
-        parts = []
-        for point, scenario in _scenario_chunks(rate, np.zeros(len(rate)), p):
-            pair, number, offset, record, kind = _draw(blk, seeds, point, scenario, rate, p, weighted)
-            parts.append((point[pair], scenario[pair], number, offset, record, kind))
-        point, scenario, number, offset, record, kind = (
-            map(np.concatenate, zip(*parts)) if parts else found + [np.zeros(0, np.int64)])
-        return pa.table({
-            "lab_id": pa.array([blk.lab] * len(point), pa.string()), "t": pa.array(blk.t[point]),
-            "scenario": pa.array(scenario.astype(np.int32)), "arrival_number": pa.array(number.astype(np.int32)),
-            "offset_minutes": pa.array(offset.astype(np.float64)),
-            "patient_type": blk.visits["patient_type"].combine_chunks().take(pa.array(kind.astype(np.int64))),
-            "service_minutes": pa.array(blk.service[record.astype(np.int64)])})
-
-    drawn = _per_block(points, visits, task, DRAWS_SCHEMA)
-    return drawn.withColumn(at, stamp(F.col("t"), timeline.schema[at].dataType)).drop("t")
-
-
-def monte_carlo_sweep(metrics: DataFrame, timeline: DataFrame, p: Params = Params(),
-                      at: str = "timestamp") -> DataFrame:
-    """Replay `scenarios` simulated half hours of each point with 0..max extra staff.
-
-    Per extra staff: share of scenarios that meet the target, mean SLA share, mean P95 and
-    mean wait. One row per timeline point; scenarios never leave the task.
+    Arrays are indexed by extra staff. One row per timeline point; points lie on window starts.
     """
-    points, visits = blocks(metrics, _seeded(timeline, p), p, 2 * p.segment_minutes, at, "seed")
-    servers = [p.staff_count + x for x in range(p.max_additional_staff + 1)]
-
-    def task(_key, pts: pa.Table, vis: pa.Table) -> pa.Table:
-        blk = Block(pts, vis)
-        n, levels = len(blk.t), len(servers)
-        seeds, rate = blk.points["seed"].to_numpy(), _rates(blk, p, True)
-        column, service, accrued = blk.state_jobs(p)
-        fixed = np.bincount(column, minlength=n)
-        start = np.cumsum(fixed) - fixed
-        sums = {k: np.zeros((n, levels)) for k in ("meets", "sla", "p95", "avg")}
-        generated = np.zeros(n)
-        for point, scenario in _scenario_chunks(rate, fixed, p):
-            pair, _, offset, record, _ = _draw(blk, seeds, point, scenario, rate, p, True)
-            held = fixed[point]
-            owner = np.repeat(np.arange(len(point)), held)
-            source = np.repeat(start[point] - (np.cumsum(held) - held), held) + np.arange(held.sum())
-            jobs = _append(len(point),
-                           (owner, np.zeros(len(owner)), service[source], accrued[source]),
-                           (pair, offset, blk.service[record], np.zeros(len(pair))))
-            stats = replay(jobs[0], len(point), *jobs[1:], servers, p.queue_sla_minutes)
-            stats["meets"] = (stats["sla"] >= p.target_sla_percentage).astype(float)
-            for key, total in sums.items():
-                np.add.at(total, point, stats[key])
-            generated += np.bincount(point[pair], minlength=n)
-        return pa.table({
-            "lab_id": pa.array([blk.lab] * n, pa.string()), "t": pa.array(blk.t),
-            "generated": pa.array(generated / p.scenarios),
-            "probability": _lists(sums["meets"] / p.scenarios), "avg_sla": _lists(sums["sla"] / p.scenarios),
-            "avg_p95": _lists(sums["p95"] / p.scenarios), "avg_wait": _lists(sums["avg"] / p.scenarios)})
-
-    swept = _per_block(points, visits, task, MONTE_CARLO_SCHEMA)
-    return swept.withColumn(at, stamp(F.col("t"), timeline.schema[at].dataType)).drop("t")
+    points = timeline.select("lab_id", F.col(at).alias("window_start"), floor_cell(micros(at), p.step_us).alias("cell"))
+    gathered = (jobs_at(metrics, p).join(points.select("lab_id", "cell").distinct(), ["lab_id", "cell"], "left_semi")
+                .groupBy("lab_id", "cell").agg(F.array_sort(F.collect_list("job")).alias("jobs")))
+    rows = points.join(gathered, ["lab_id", "cell"], "left").withColumn("jobs", F.coalesce("jobs", F.expr(
+        "cast(array() as array<struct<phase: int, place: bigint, id: string, arrive: double, service: double, accrued: double>>)")))
+    count = lambda test: F.size(F.filter("jobs", test))
+    serving = count(lambda j: j["phase"] == SERVING)
+    if p.on_overflow == "error":
+        fits = F.when(serving > p.staff_count, F.raise_error(F.lit("a window has more customers in service than stations")).cast("array<double>"))
+        rows = rows.where(F.coalesce(F.size(fits), F.lit(0)) <= 0)
+    levels = F.transform(F.sequence(F.lit(0), F.lit(p.max_additional_staff)),
+                         lambda x: scores_of(F.col("jobs"), x + p.staff_count, p))
+    out = rows.select("lab_id", "window_start", count(lambda j: j["phase"] == WAITING).alias("initial_waiting"),
+                      serving.alias("initial_in_service"), count(lambda j: j["phase"] == FUTURE).alias("future_arrivals"),
+                      count(lambda j: (j["phase"] == WAITING) & (j["accrued"] > p.queue_sla_minutes)).alias("already_breached"),
+                      levels.alias("levels"))
+    return out.select(*out.columns[:-1], *[F.col(f"levels.{c}").alias(c) for c in ("avg", "p95", "max", "sla")])
+
+
+def scores_of(jobs: Column, stations: Column, p: Params) -> Column:
+    """Scores of one number of stations; the waits are computed once and then named."""
+    return F.element_at(F.transform(F.array(served(jobs, stations)), lambda waits: scores(waits, p)), 1)
+
+
+def window_load(metrics: DataFrame, timeline: DataFrame, p: Params = Params(), at: str = "window_start") -> DataFrame:
+    """Waiting, already breached and arriving customers of each point: counts alone, no replay."""
+    points = timeline.select("lab_id", F.col(at).alias("window_start"), floor_cell(micros(at), p.step_us).alias("cell"))
+    job = jobs_at(metrics, p)
+    is_ = lambda number: F.col("job.phase") == number
+    counts = job.groupBy("lab_id", "cell").agg(
+        F.count_if(is_(WAITING)).cast("int").alias("initial_waiting"), F.count_if(is_(FUTURE)).cast("int").alias("future_arrivals"),
+        F.count_if(is_(WAITING) & (F.col("job.accrued") > p.queue_sla_minutes)).cast("int").alias("already_breached"))
+    names = ("initial_waiting", "future_arrivals", "already_breached")
+    return points.join(counts, ["lab_id", "cell"], "left").select(
+        "lab_id", "window_start", *[F.coalesce(c, F.lit(0)).alias(c) for c in names])

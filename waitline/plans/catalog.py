@@ -11,11 +11,10 @@ from pyspark.sql import types as T
 from waitline.functions.mmc import mmc
 from waitline.functions.ranks import wait_scorecard
 from waitline.functions.clock import micros
-from waitline.operators import (comparison, counterfactual, forecast, grid, ingest, lifecycle, planning, policy,
-                                probabilistic, replay, windows)
+from waitline.operators import comparison, counterfactual, forecast, gold, grid, ingest, lifecycle, policy, replay, windows
 from waitline.params import Params
 from waitline.plans import streams
-from waitline.sources.events import publishable
+from waitline.sources.events import bronze_records, publishable
 from waitline.sources.session import ship_package
 from waitline.sources.tables import head, stage
 from waitline.sources.visits import visit_events, visit_records, visits
@@ -99,24 +98,10 @@ def policies(s, d):
     return policy.compare_policies(full(s, d), P)
 
 
-def forecasts(s, d):
-    """The stored full timeline and the probabilistic one built on it."""
-    table = stage(full(s, d))
-    return table, probabilistic.probabilistic_timeline(metrics(s, d), table, P)
-
-
 def half_hours(s, d):
     return windows.window_metrics(metrics(s, d), P, 30)
 
 
-def capacity(s, d):
-    return planning.capacity_study(metrics(s, d), p=Params())
-
-
-def resilience(s, d):
-    return planning.resilience_study(metrics(s, d), p=Params())
-
-
 # Ingest ----------------------------------------------------------------------------------------
 
 @query
@@ -151,12 +136,25 @@ def event_window_counts(s, d):
     return windows.event_counts(silver(s, d), P)
 
 
+def published(s, d):
+    e = visit_events(s, d).select("event_id", "event_type", "patient_id", "lab_id", "priority", F.lit(None).cast("string").alias("appointment_id"))
+    return publishable(e)
+
+
 @query
 def published_events(s, d):
-    """Key/value rows as they go to a topic; checked by what they parse back to."""
-    e = visit_events(s, d).select("event_id", "event_type", "patient_id", "lab_id", "priority")
-    back = F.from_json("value", e.schema)
-    return publishable(e).select("key", back["event_type"].alias("event_type"), back["lab_id"].alias("lab_id"))
+    """Key/value rows as they go to a topic; fields without a value are written as null."""
+    return published(s, d)
+
+
+@query
+def bronze_envelope(s, d):
+    """Topic records as they are stored: the envelope's columns, key and value as text."""
+    number = F.regexp_extract("key", "^P([0-9]+)_", 1).cast("long")
+    records = published(s, d).select(
+        F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("visits").alias("topic"),
+        (number % 4).cast("int").alias("partition"), number.alias("offset"), F.timestamp_seconds(number).alias("timestamp"))
+    return bronze_records(records).drop("bronze_ingestion_timestamp")
 
 
 # Lifecycles ------------------------------------------------------------------------------------
@@ -383,25 +381,6 @@ def recent_demand_profile(s, d):
     return forecast.demand_profile(metrics(s, d), timeline(s, d), P, weighted=False)
 
 
-def _draw_summary(draws: DataFrame) -> DataFrame:
-    return draws.groupBy("lab_id", "timestamp").agg(
-        F.count("*").alias("arrivals"), F.count_distinct("scenario").alias("scenarios"),
-        F.avg("offset_minutes").alias("mean_offset"), F.avg("service_minutes").alias("mean_service"),
-        F.count_if(F.col("patient_type") == "WALK_IN").alias("walk_ins"))
-
-
-@query
-def simulated_demand(s, d):
-    """200 weighted scenarios per window, summarised per window."""
-    return _draw_summary(replay.demand_scenarios(metrics(s, d), timeline(s, d), P))
-
-
-@query
-def simulated_demand_independent(s, d):
-    """200 scenarios per window with type and duration drawn independently."""
-    return _draw_summary(replay.demand_scenarios(metrics(s, d), timeline(s, d), P, weighted=False))
-
-
 # Counterfactual replays ------------------------------------------------------------------------
 
 @query
@@ -412,9 +391,9 @@ def staffing_scenarios(s, d):
 
 @query
 def recoverability(s, d):
-    sweep = replay.staffing_sweep(metrics(s, d), points(s, d), P)
+    load = replay.window_load(metrics(s, d), points(s, d), P)
     r = counterfactual.recoverability(F.col("already_breached"), F.col("initial_waiting"), F.col("future_arrivals"), P)
-    return sweep.select("lab_id", "window_start", r.alias("r")).select("lab_id", "window_start", "r.*")
+    return load.select("lab_id", "window_start", r.alias("r")).select("lab_id", "window_start", "r.*")
 
 
 @query
@@ -483,40 +462,6 @@ def active_staff_windows(s, d):
         "policy", "lab_id", "timestamp", "active_additional_staff", "policy_action")
 
 
-# Monte Carlo -------------------------------------------------------------------------------------
-
-@query
-def monte_carlo_levels(s, d):
-    return probabilistic.level_rows(replay.monte_carlo_sweep(metrics(s, d), timeline(s, d), P), P)
-
-
-@query
-def probabilistic_timeline(s, d):
-    return forecasts(s, d)[1]
-
-
-@query
-def forecast_versus_oracle(s, d):
-    table, predicted = forecasts(s, d)
-    return probabilistic.forecast_versus_oracle(metrics(s, d), table, stage(predicted), P)
-
-
-@query
-def three_policy_resources(s, d):
-    return policy.resource_use(policy.three_policies(*forecasts(s, d), P), P)
-
-
-@query
-def confidence_frontier(s, d):
-    return probabilistic.confidence_frontier(metrics(s, d), stage(full(s, d)), P)
-
-
-@query
-def recommended_confidence(s, d):
-    """Cheapest confidence whose realised SLA rate reaches the target (often none on these tables)."""
-    return probabilistic.recommended_confidence(probabilistic.confidence_frontier(metrics(s, d), stage(full(s, d)), P), P)
-
-
 # Queueing theory -----------------------------------------------------------------------------------
 
 @query
@@ -553,45 +498,35 @@ def theory_validation(s, d):
     return comparison.validation_summary(comparison.compare(half_hours(s, d), 2))
 
 
-# Planning ------------------------------------------------------------------------------------------
-
-@query
-def scaled_demand(s, d):
-    return planning.scale_demand(metrics(s, d), p=P).select(
-        "lab_id", "scenario", "patient_id", "copy", "arrival_time", "service_minutes")
+# Gold tables: one chain from recorded events ---------------------------------------------------------
 
-
-@query
-def station_assignments(s, d):
-    """First-come-first-served assignment of each lab's day to one to three stations."""
-    jobs = metrics(s, d).select("lab_id", F.to_date("arrival_time").alias("day"), "patient_id",
-                                F.col("queue_entry_time").alias("queue_time"), "service_minutes")
-    return planning.assign_stations(jobs, ["lab_id", "day"], (1, 2, 3))
+def chain(s, d):
+    return gold.tables(silver(s, d), P)
 
 
 @query
-def capacity_study(s, d):
-    return capacity(s, d)
+def gold_patient_metrics(s, d):
+    return chain(s, d)["patient_metrics"]
 
 
 @query
-def cheapest_staffing(s, d):
-    return planning.cheapest_staffing(capacity(s, d), ["lab_id", "day", "scenario"])
+def gold_operational_metrics(s, d):
+    return chain(s, d)["operational_metrics"]
 
 
 @query
-def minimum_staffing(s, d):
-    return planning.minimum_staffing(capacity(s, d), ["lab_id", "day", "scenario"])
+def gold_queue_metrics(s, d):
+    return chain(s, d)["queue_metrics"]
 
 
 @query
-def resilience_study(s, d):
-    return resilience(s, d)
+def gold_operational_state(s, d):
+    return chain(s, d)["operational_state"]
 
 
 @query
-def resilience_matrix(s, d):
-    return planning.resilience_matrix(resilience(s, d))
+def gold_staffing_decisions(s, d):
+    return chain(s, d)["staffing_decisions"]
 
 
 # Streams -------------------------------------------------------------------------------------------

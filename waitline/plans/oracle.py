@@ -28,15 +28,6 @@ def severity(prefix: str = "") -> str:
             f"WHEN {u} >= 100 AND {w} > 0 THEN 'WATCH' ELSE 'NORMAL' END")
 
 
-def mix(x: str) -> str:
-    """One 32-bit murmur3 finalizer step chain, spelled out."""
-    m = "4294967295::UBIGINT"
-    a = f"xor({x}, {x} >> 16)"
-    b = f"(({a} * 2246822507::UBIGINT) & {m})"
-    c = f"xor({b}, {b} >> 13)"
-    return f"(({c} * 3266489909::UBIGINT) & {m})"
-
-
 CTES: dict[str, str] = {}
 
 CTES["lc"] = """
@@ -360,110 +351,6 @@ FROM z"""
 
 CTES["cmp"], CTES["cmpl"] = theory(False), theory(True)
 
-CTES["demand"] = """
-WITH d AS (SELECT pm.*, lv.scenario, lv.multiplier FROM pm, (VALUES ('Baseline', 1.0::DOUBLE), ('Demand +20%', 1.2::DOUBLE),
-                ('Demand +40%', 1.4::DOUBLE), ('Demand +60%', 1.6::DOUBLE)) lv(scenario, multiplier)),
-n AS (SELECT *, floor(multiplier)::INT + CASE WHEN (('0x' || substr(md5(patient_id || '|copy'), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296
-                < round(multiplier - floor(multiplier), 9) THEN 1 ELSE 0 END AS copies FROM d),
-c AS (SELECT *, unnest(range(0, copies))::INT AS "copy" FROM n)
-SELECT lab_id, scenario, multiplier, patient_id, "copy", service_minutes,
-       CASE WHEN "copy" = 0 THEN arrival_time ELSE time_bucket(INTERVAL 5 MINUTE, arrival_time)
-            + floor((('0x' || substr(md5(patient_id || '|' || "copy"), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296 * 300)::INT * INTERVAL 1 SECOND
-       END AS arrival_time
-FROM c"""
-
-CTES["cjobs"] = """
-SELECT *, row_number() OVER (PARTITION BY lab_id, day, scenario ORDER BY arrival_time, patient_id, "copy") AS k
-FROM (SELECT *, arrival_time::DATE AS day FROM demand)"""
-
-
-def capacity_fold(counts: str) -> str:
-    return f"""
-SELECT lab_id, day, scenario, multiplier, c, 0::BIGINT AS k, list_resize([]::BIGINT[], c, 0::BIGINT) AS free, NULL::BIGINT AS wait
-FROM (SELECT DISTINCT lab_id, day, scenario, multiplier FROM cjobs), (VALUES {counts}) s(c)
-UNION ALL
-SELECT f.lab_id, f.day, f.scenario, f.multiplier, f.c, j.k,
-       list_sort(list_append(f.free[2:], greatest(f.free[1], epoch_us(j.arrival_time)) + (j.service_minutes * 60000000)::BIGINT)),
-       greatest(f.free[1], epoch_us(j.arrival_time)) - epoch_us(j.arrival_time)
-FROM cfold f JOIN cjobs j ON j.lab_id = f.lab_id AND j.day = f.day AND j.scenario = f.scenario AND j.k = f.k + 1"""
-
-
-CTES["cfold"] = capacity_fold("(2), (3), (4), (5), (6), (7), (8), (9)")
-
-CTES["ccard"] = """
-SELECT f.*, w.work FROM (
-    SELECT lab_id, day, scenario, multiplier, c, count(*) AS patients, avg(wait / 60000000.0::DOUBLE) AS average_wait_minutes,
-           list_sort(list(wait))[1 + floor(0.95::DOUBLE * (count(*) - 1))::BIGINT] / 60000000.0::DOUBLE AS p95_wait_minutes,
-           max(wait) / 60000000.0::DOUBLE AS max_wait_minutes, count(*) FILTER (wait <= 900000000) / count(*) * 100 AS sla_percentage
-    FROM cfold WHERE k > 0 GROUP BY 1, 2, 3, 4, 5) f
-JOIN (SELECT lab_id, day, scenario, sum(service_minutes) AS work FROM cjobs GROUP BY 1, 2, 3) w USING (lab_id, day, scenario)"""
-
-CTES["cap"] = f"""
-SELECT lab_id, day, scenario, {r('multiplier', 'multiplier')}, c::INT AS staff_count, patients, {r('average_wait_minutes', 'average_wait_minutes')},
-       {r('p95_wait_minutes', 'p95_wait_minutes')}, {r('max_wait_minutes', 'max_wait_minutes')}, {r('sla_percentage', 'sla_percentage')},
-       sla_percentage >= 95 AS meets_sla, {r('work / (1440 * c)::DOUBLE * 100', 'utilization_percentage')},
-       {r('c * 35.0::DOUBLE', 'hourly_staffing_cost')}
-FROM ccard WHERE c BETWEEN 3 AND 7"""
-
-CTES["resil"] = f"""
-SELECT lab_id, day, scenario, {r('multiplier', 'multiplier')}, n::INT AS planned_staff, x::INT AS unavailable_staff, (n - x)::INT AS available_staff,
-       patients, {r('sla_percentage', 'sla_percentage')}, {r('average_wait_minutes', 'average_wait_minutes')},
-       {r('p95_wait_minutes', 'p95_wait_minutes')}, sla_percentage >= 95 AS meets_sla
-FROM range(4, 10) a(n), range(0, 3) b(x), ccard WHERE c = n - x AND x < n"""
-
-CTES["sjobs"] = """
-SELECT lab_id, arrival_time::DATE AS day, patient_id, queue_entry_time AS queue_time, service_minutes, epoch_us(queue_entry_time) AS at,
-       row_number() OVER (PARTITION BY lab_id, arrival_time::DATE ORDER BY queue_entry_time, patient_id) AS k FROM pm"""
-
-CTES["sfold"] = """
-SELECT lab_id, day, c, 0::BIGINT AS k,
-       list_transform(range(1, c + 1), lambda i: {'ready': 0::BIGINT, 'station': i}) AS free, 0::BIGINT AS start, 0::BIGINT AS station
-FROM (SELECT DISTINCT lab_id, day FROM sjobs), (VALUES (1), (2), (3)) s(c)
-UNION ALL
-SELECT f.lab_id, f.day, f.c, j.k,
-       list_sort(list_append(f.free[2:], {'ready': greatest(f.free[1].ready, j.at) + (j.service_minutes * 60000000)::BIGINT, 'station': f.free[1].station})),
-       greatest(f.free[1].ready, j.at), f.free[1].station
-FROM sfold f JOIN sjobs j ON j.lab_id = f.lab_id AND j.day = f.day AND j.k = f.k + 1"""
-
-# Simulated demand: one recursion step per drawn arrival.
-_SCENARIO = mix("((seed + scenario * 2654435761::UBIGINT) & 4294967295::UBIGINT)")
-
-
-def draw(k: str, stream: int) -> str:
-    x = f"((h + ({k})::UBIGINT * 2246822519::UBIGINT + {stream * 3266489917 % 2**32}::UBIGINT) & 4294967295::UBIGINT)"
-    return f"""(SELECT (xor(h2, h2 >> 16)::DOUBLE + 0.5) / 4294967296 FROM (SELECT {mix('x')} AS h2 FROM (SELECT {x} AS x)))"""
-
-
-def simulated(weighted: bool) -> str:
-    rate = "(o.n / 15.0::DOUBLE + c.n / 15.0::DOUBLE * 2.0) / 3.0" if weighted else "(o.n + c.n) / 30.0::DOUBLE"
-    weight = "CASE WHEN pm.arrival_time < tl.t - INTERVAL 15 MINUTE THEN 1.0 ELSE 2.0 END" if weighted else "1.0"
-    kind = "p" if weighted else "q"
-    return f"""
-WITH RECURSIVE base AS MATERIALIZED (
-    SELECT o.lab_id, o.t, {rate} AS rate,
-           ((('0x' || substr(md5(o.lab_id), 1, 8))::BIGINT + 42000 + timeline_index * 1000) % 4294967296)::UBIGINT AS seed
-    FROM older o JOIN recent c USING (lab_id, t) JOIN idx USING (lab_id, t) WHERE o.n + c.n > 0),
-sc AS MATERIALIZED (SELECT lab_id, t, rate, scenario, xor(g, g >> 16) AS h
-                    FROM (SELECT *, {_SCENARIO} AS g FROM base, (SELECT range::UBIGINT AS scenario FROM range(0, 200)))),
-draws AS (
-    SELECT lab_id, t, scenario, h, rate, 0 AS k, -ln(1 - {draw('0', 0)}) / rate AS clock FROM sc
-    UNION ALL
-    SELECT lab_id, t, scenario, h, rate, k + 1, clock - ln(1 - {draw('k + 1', 0)}) / rate FROM draws WHERE clock < 30),
-hist AS MATERIALIZED (
-    SELECT lab_id, t, service_minutes, patient_type, sum(w) OVER o AS cum, sum(w) OVER o - w AS below, sum(w) OVER (PARTITION BY lab_id, t) AS total
-    FROM (SELECT tl.lab_id, tl.t, pm.arrival_time, pm.patient_id, service_minutes, patient_type, {weight}::DOUBLE AS w
-          FROM tl JOIN pm ON pm.lab_id = tl.lab_id AND pm.arrival_time >= tl.t - INTERVAL 30 MINUTE AND pm.arrival_time < tl.t)
-    WINDOW o AS (PARTITION BY lab_id, t ORDER BY arrival_time, patient_id)),
-picks AS (SELECT lab_id, t, scenario, clock, {draw('k', 1)} AS u, {draw('k', 2)} AS v FROM draws WHERE clock < 30)
-SELECT d.lab_id, d.t AS timestamp, count(*) AS arrivals, count(DISTINCT d.scenario) AS scenarios, {r('avg(d.clock)', 'mean_offset')},
-       {r('avg(p.service_minutes)', 'mean_service')}, count(*) FILTER ({kind}.patient_type = 'WALK_IN') AS walk_ins
-FROM picks d JOIN hist p ON p.lab_id = d.lab_id AND p.t = d.t AND d.u * p.total >= p.below AND d.u * p.total < p.cum
-{"" if weighted else "JOIN hist q ON q.lab_id = d.lab_id AND q.t = d.t AND d.v * q.total >= q.below AND d.v * q.total < q.cum"}
-GROUP BY 1, 2"""
-
-
-CTES["sim"], CTES["simi"] = simulated(True), simulated(False)
-
 CTES["merged"] = """
 SELECT patient_id, lab_id, arg_max(event_time, seq) FILTER (event_type = 'PATIENT_ARRIVAL') AS arrival_time,
        arg_max(event_time, seq) FILTER (event_type = 'REGISTRATION_COMPLETED') AS registration_completed_time,
@@ -481,19 +368,27 @@ def _words(text: str) -> set[str]:
     return set(re.findall(r"[a-z_][a-z0-9_]*", text))
 
 
-MATERIALIZED = {"pm", "ev", "om", "qs", "st", "jobs", "card", "ft", "steps", "pol", "cjobs", "sjobs", "demand", "silver", "walk", "ccard"}
+MATERIALIZED = {"pm", "ev", "om", "qs", "st", "jobs", "card", "ft", "steps", "pol", "silver", "states", "walk"}
+
+
+def _place(name: str, other: dict[str, str]) -> float:
+    """Definition order; a part given anew comes after `states`, which it may read."""
+    at = [*CTES].index(name)
+    return [*CTES].index("states") + 0.5 if name in other else at
 
 
-def statement(select: str) -> str:
-    """A full statement: the named parts it needs, in definition order, then the select."""
+def statement(select: str, **other: str) -> str:
+    """A full statement: the named parts it needs, in definition order, then the select. Parts may be given anew."""
+    known = CTES | other
+    order = sorted(known, key=lambda n: _place(n, other))
     needed: set[str] = set()
     todo = [select]
     while todo:
-        for name in _words(todo.pop()) & set(CTES):
+        for name in _words(todo.pop()) & set(known):
             if name not in needed:
                 needed.add(name)
-                todo.append(CTES[name])
-    parts = [f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED and n not in ('walk',) else ''}({CTES[n]})" for n in CTES if n in needed]
+                todo.append(known[name])
+    parts = [f"{n} AS {'MATERIALIZED ' if n in MATERIALIZED and n not in ('walk',) else ''}({known[n]})" for n in order if n in needed]
     return f"WITH RECURSIVE {', '.join(parts)} {select}" if parts else select
 
 
@@ -517,6 +412,9 @@ REASONS = """CASE decision WHEN 'DAMAGE_CONTROL' THEN 'The SLA target is no long
     WHEN 'SEARCH_LIMIT_REACHED' THEN 'The SLA is theoretically recoverable, but no tested staffing level restored it. The best resource-aware scenario within the configured search range was returned.'
     ELSE 'The minimum feasible staffing scenario capable of restoring the SLA was identified.' END AS reason"""
 
+JSON = """to_json({'event_id': event_id, 'event_type': event_type, 'patient_id': patient_id, 'lab_id': lab_id,
+    'priority': priority, 'appointment_id': NULL})::VARCHAR"""
+
 SELECTS: dict[str, str] = {
     "quarantined_records": "SELECT * FROM rejected",
     "quarantine_counts": "SELECT quarantine_reason, count(*) AS n FROM rejected GROUP BY 1",
@@ -528,7 +426,9 @@ SELECTS: dict[str, str] = {
         count(*) FILTER (event_type = 'PATIENT_ARRIVAL') AS arrivals, count(*) FILTER (event_type = 'SERVICE_STARTED') AS services_started,
         count(*) FILTER (event_type = 'SERVICE_COMPLETED') AS services_completed, count(*) FILTER (event_type = 'PATIENT_DEPARTED') AS departures,
         {r('avg(lag)', 'avg_event_lag_seconds')}, count(*) FILTER (is_late) AS late_event_count FROM silver GROUP BY 1, 2, 3""",
-    "published_events": "SELECT event_id AS key, event_type, lab_id FROM ev",
+    "published_events": f"SELECT event_id AS key, {JSON} AS value FROM ev",
+    "bronze_envelope": f"""SELECT 'visits' AS topic, (num % 4)::INT AS "partition", num AS "offset",
+        make_timestamp(num * 1000000) AS kafka_timestamp, event_id AS event_key, {JSON} AS event_json FROM ev""",
     "lifecycle_states": f"SELECT {STATE_COLS} FROM states",
     "merged_lifecycles": f"SELECT {STATE_COLS} FROM merged",
     "finished_lifecycles": """SELECT patient_id, lab_id, arrival_time, service_start_time, departure_time FROM states
@@ -604,8 +504,6 @@ SELECTS: dict[str, str] = {
         {r('(older.n / 15.0::DOUBLE + recent.n / 15.0::DOUBLE * 2) / 3', 'arrival_rate_per_minute')} FROM older JOIN recent USING (lab_id, t)""",
     "recent_demand_profile": f"""SELECT lab_id, t AS timestamp, older.n AS older_count, recent.n AS recent_count,
         {r('(older.n + recent.n) / 30.0::DOUBLE', 'arrival_rate_per_minute')} FROM older JOIN recent USING (lab_id, t)""",
-    "simulated_demand": "SELECT * FROM sim",
-    "simulated_demand_independent": "SELECT * FROM simi",
     "staffing_scenarios": f"SELECT {CARD} FROM card",
     "recoverability": f"""SELECT lab_id, t AS window_start, initial_waiting + future_arrivals AS total_patients, breached AS already_breached_patients,
         {r('best', 'maximum_possible_sla_percentage')}, best >= 95 AS is_recoverable FROM info""",
@@ -654,27 +552,25 @@ SELECTS: dict[str, str] = {
         {r('coalesce(avg(observed_wait_minutes) FILTER (used), 0)', 'observed_mean_wait_minutes')}
         FROM (SELECT *, system_stable AND theoretical_wait_minutes IS NOT NULL AS used,
                      CASE WHEN system_stable THEN observed_wait_minutes - theoretical_wait_minutes END AS e FROM cmpl)""",
-    "scaled_demand": f"""SELECT lab_id, scenario, patient_id, "copy", arrival_time, {r('service_minutes', 'service_minutes')} FROM demand""",
-    "station_assignments": f"""SELECT j.lab_id, j.day, j.patient_id, j.queue_time, {r('j.service_minutes', 'service_minutes')}, f.c::INT AS servers,
-        'STAFF_' || lpad(f.station::VARCHAR, 2, '0') AS station_id, make_timestamp(f.start) AS service_start,
-        make_timestamp(f.start + (j.service_minutes * 60000000)::BIGINT) AS service_end, {r('(f.start - j.at) / 60000000.0::DOUBLE', 'wait_minutes')}
-        FROM sfold f JOIN sjobs j USING (lab_id, day, k)""",
-    "capacity_study": "SELECT * FROM cap",
-    "cheapest_staffing": """SELECT * FROM cap WHERE meets_sla
-        QUALIFY row_number() OVER (PARTITION BY lab_id, day, scenario ORDER BY hourly_staffing_cost, staff_count) = 1""",
-    "minimum_staffing": "SELECT lab_id, day, scenario, min(staff_count) FILTER (meets_sla) AS minimum_staff FROM cap GROUP BY 1, 2, 3",
-    "resilience_study": "SELECT * FROM resil",
-    "resilience_matrix": """SELECT lab_id, day, scenario, min(planned_staff) FILTER (meets_sla AND unavailable_staff = 0) AS absent_0,
-        min(planned_staff) FILTER (meets_sla AND unavailable_staff = 1) AS absent_1,
-        min(planned_staff) FILTER (meets_sla AND unavailable_staff = 2) AS absent_2 FROM resil GROUP BY 1, 2, 3""",
-    "streamed_silver_events": "SELECT event_id, event_type, patient_id, lab_id, lag AS event_lag_seconds, is_late FROM silver",
+    "streamed_silver_events": """SELECT event_id, event_type, patient_id, lab_id, event_time, "partition", "offset",
+        ingested AS kafka_timestamp, priority, staff_id, lag AS event_lag_seconds, is_late FROM silver""",
     "streamed_lifecycles": f"SELECT {STATE_COLS} FROM states",
     "streamed_hold_policy": """SELECT policy, lab_id, timestamp, instantaneous_recommendation, policy_action, staff_change,
-        active_additional_staff, reason FROM pol WHERE policy = 'STATIC_RULE'""",
+        active_additional_staff, reason FROM pol WHERE policy = 'STATIC_RULE'
+        AND timestamp < (SELECT max(timestamp) - INTERVAL 30 MINUTE FROM pol)""",
 }
 # Append mode emits a window once the watermark, 30 minutes behind the newest event, has passed its end.
 SELECTS["streamed_window_counts"] = f"""SELECT * FROM ({SELECTS['event_window_counts']})
     WHERE window_end <= (SELECT max(event_time) - INTERVAL 30 MINUTE FROM silver)"""
 
 
+# The gold chain starts from recorded events: durations come from the lifecycles these give.
+CHAIN = CTES["pm"].replace("service_end_time AS departure_time", "departure_time").replace("FROM lc", """FROM states
+WHERE arrival_time IS NOT NULL AND queue_entry_time IS NOT NULL AND service_start_time IS NOT NULL
+  AND service_end_time IS NOT NULL AND departure_time IS NOT NULL""").replace(
+    "minutes('arrival_time', 'service_end_time')", "minutes('arrival_time', 'departure_time')")
+GOLD = {"gold_patient_metrics": "patient_metrics", "gold_operational_metrics": "operational_metrics", "gold_queue_metrics": "queue_snapshots",
+        "gold_operational_state": "operational_state", "gold_staffing_decisions": "staffing_decisions"}
+
 ORACLES: dict[str, str] = {name: statement(select) for name, select in SELECTS.items()}
+ORACLES |= {name: statement(SELECTS[same], pm=CHAIN) for name, same in GOLD.items()}
