@@ -18,8 +18,8 @@ sys.path.insert(0, ROOT)
 HEADLINE = [
     "silver_events", "event_window_counts", "lifecycle_states", "patient_metrics", "operational_metrics",
     "queue_snapshots", "operational_state", "staffing_decisions", "hourly_windows", "strategy_errors", "lookback_errors",
-    "theory_comparison_local", "recommendations", "full_timeline_backtest", "policy_resources", "capacity_study",
-    "resilience_matrix", "probabilistic_timeline", "confidence_frontier", "streamed_window_counts",
+    "theory_comparison_local", "recommendations", "full_timeline_backtest", "policy_resources", "gold_staffing_decisions",
+    "streamed_silver_events", "streamed_window_counts",
 ]
 
 

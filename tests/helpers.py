@@ -91,3 +91,17 @@ def rounded(rows, digits: int = 6):
 
 def frame(df) -> pd.DataFrame:
     return df.toPandas()
+
+
+def fold_scores(spark, cases, stations):
+    """(mean, P95, maximum, share) per case and number of stations, from the replay's own expressions."""
+    from pyspark.sql import functions as F
+
+    from waitline.operators import replay
+    from waitline.params import Params
+
+    schema = "n int, jobs array<struct<arrive: double, service: double, accrued: double>>"
+    rows = [(i, [(float(a), float(s), None if w is None else float(w)) for a, s, w in jobs]) for i, jobs in enumerate(cases)]
+    df = spark.createDataFrame(rows, schema).select("n", *[
+        replay.scores_of(F.col("jobs"), F.lit(c), Params()).alias(f"c{c}") for c in stations]).orderBy("n")
+    return [[tuple(r[f"c{c}"]) for c in stations] for r in df.collect()]

@@ -1,36 +1,28 @@
 """Random visits: Spark results against plain restatements."""
 
 import random
-from collections import defaultdict
 
-import numpy as np
 import pytest
-from helpers import (arrivals_between, at, heap_waits, minutes, random_visits, rounded, scorecard, state_jobs, visit,
+from helpers import (arrivals_between, at, fold_scores, heap_waits, minutes, random_visits, rounded, scorecard, state_jobs, visit,
                      visit_frame)
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from waitline.functions.fcfs import poisson_offsets, replay, uniform
 from waitline.functions.ranks import wait_scorecard
 from waitline.functions.spread import running
-from waitline.operators import counterfactual, forecast, grid, lifecycle, planning, policy, probabilistic, windows
-from waitline.operators import replay as blocks
+from waitline.operators import counterfactual, forecast, gold, grid, lifecycle, policy, replay, windows
 from waitline.params import Params
+from waitline.sources.tables import current
 
-P = Params(staff_count=1, max_additional_staff=3, on_overflow="queue", scenarios=12, block_minutes=60)
+P = Params(staff_count=1, max_additional_staff=3, on_overflow="queue")
 
 
-@given(st.lists(st.tuples(st.integers(0, 20), st.integers(0, 9), st.one_of(st.none(), st.integers(0, 20))), min_size=1, max_size=25))
-@settings(max_examples=60, deadline=None)
-def test_waits_match_a_heap(jobs):
-    jobs = sorted(jobs, key=lambda j: j[0])
-    a, s = (np.array([float(j[i]) for j in jobs]) for i in (0, 1))
-    w = np.array([np.inf if j[2] is None else float(j[2]) for j in jobs])
-    got = replay(np.zeros(len(jobs), int), 1, a, s, w, [1, 2, 3, 5], 15.0)
-    for level, c in enumerate([1, 2, 3, 5]):
-        want = scorecard(heap_waits([(float(x), float(y), z) for x, y, z in jobs], c))
-        assert [got[k][0, level] for k in ("avg", "p95", "max", "sla")] == pytest.approx(list(want))
+def test_waits_match_a_heap(spark):
+    rng = random.Random(4)
+    cases = [sorted([(rng.randint(0, 20), rng.randint(0, 9), rng.choice([None, rng.randint(0, 20)])) for _ in range(rng.randint(0, 25))],
+                    key=lambda j: j[0]) for _ in range(80)]
+    for jobs, levels in zip(cases, fold_scores(spark, cases, [1, 2, 3, 5])):
+        for c, got in zip([1, 2, 3, 5], levels):
+            assert list(got) == pytest.approx(list(scorecard(heap_waits([(float(x), float(y), z) for x, y, z in jobs], c))))
 
 
 @pytest.fixture(scope="module")
@@ -75,13 +67,15 @@ def test_snapshot_at_one_instant(rows, metrics):
         assert pair == (sum(w is not None for *_, w in jobs), sum(w is None for *_, w in jobs))
 
 
-@pytest.mark.parametrize("block", [30, 60, 1440])
-def test_staffing_sweep(rows, metrics, points, block):
-    """Whatever the block size, every window replays its own state and next half hour."""
-    p = Params(staff_count=1, max_additional_staff=3, on_overflow="queue", block_minutes=block)
-    got = blocks.staffing_sweep(metrics, points, p).collect()
-    assert len(got) == points.count()
-    for r in got[::5] if block != 60 else got:
+def test_staffing_sweep(rows, metrics, points):
+    """Every window replays its own state and next half hour."""
+    got = replay.staffing_sweep(metrics, points, P).collect()
+    load = {(r.lab_id, r.window_start): r for r in replay.window_load(metrics, points, P).collect()}
+    assert len(got) == points.count() == len(load)
+    for r in got:
+        assert r.initial_waiting == load[r.lab_id, r.window_start].initial_waiting
+        assert r.already_breached == load[r.lab_id, r.window_start].already_breached
+        assert r.future_arrivals == load[r.lab_id, r.window_start].future_arrivals
         t = r.window_start
         jobs = state_jobs(rows, r.lab_id, t)
         future = arrivals_between(rows, r.lab_id, t, at(minutes(at(0), t) + 30))
@@ -101,84 +95,6 @@ def test_episode_is_one_instant_of_the_report(metrics, points):
     assert chosen and all(r["count"] == 1 for r in chosen)
 
 
-def test_draws_are_poisson_and_repeatable():
-    n = 4000
-    seed, scenario, rate = np.full(n, 99), np.arange(n), np.full(n, 0.4)
-    column, number, offset = poisson_offsets(seed, scenario, rate, 30.0)
-    again = poisson_offsets(seed[:10], scenario[:10], rate[:10], 30.0)
-    assert (offset[column < 10] == again[2]).all()
-    counts = np.bincount(column, minlength=n)
-    assert counts.mean() == pytest.approx(12, rel=0.02) and counts.var() == pytest.approx(12, rel=0.1)
-    assert (np.diff(offset)[np.diff(column) == 0] > 0).all() and offset.max() < 30
-    u = uniform(seed, scenario, np.zeros(n), 1)
-    assert u.mean() == pytest.approx(0.5, abs=0.02) and 0 < u.min() and u.max() < 1
-    assert len(poisson_offsets(seed[:3], scenario[:3], np.zeros(3), 30.0)[0]) == 0
-
-
-def test_monte_carlo(rows, metrics, points):
-    """Replaying the emitted scenarios one by one gives the sweep's probabilities."""
-    timeline = forecast.timeline_index(points.withColumnRenamed("window_start", "timestamp"), P).cache()
-    draws = defaultdict(list)
-    for d in blocks.demand_scenarios(metrics, timeline, P).collect():
-        draws[d.lab_id, d.timestamp, d.scenario].append((d.arrival_number, d.offset_minutes, d.service_minutes, d.patient_type))
-    got = blocks.monte_carlo_sweep(metrics, timeline, P).collect()
-    assert len(got) == timeline.count()
-    for r in got[::3]:
-        t = r.timestamp
-        lab = [v for v in rows if v["lab_id"] == r.lab_id]
-        history = {(minutes(v["service_start_time"], v["service_end_time"]), v["patient_type"])
-                   for v in arrivals_between(lab, r.lab_id, at(minutes(at(0), t) - 30), t)}
-        state = state_jobs(rows, r.lab_id, t)
-        cards = defaultdict(list)
-        generated = 0
-        for s in range(P.scenarios):
-            drawn = sorted(draws[r.lab_id, t, s])
-            generated += len(drawn)
-            assert all((d[2], d[3]) in history for d in drawn)
-            jobs = state + [(d[1], d[2], 0.0) for d in drawn]
-            for x in range(4):
-                cards[x].append(scorecard(heap_waits(jobs, 1 + x)))
-        assert r.generated == pytest.approx(generated / P.scenarios)
-        for x, found in cards.items():
-            mean = lambda i: sum(c[i] for c in found) / len(found)
-            assert r.probability[x] == pytest.approx(sum(c[3] >= 95 for c in found) / len(found))
-            assert [r.avg_sla[x], r.avg_p95[x], r.avg_wait[x]] == pytest.approx([mean(3), mean(1), mean(0)], abs=1e-7)
-
-
-def test_probabilistic_timeline_and_frontier(metrics):
-    state = windows.operational_state(windows.operational_metrics(metrics), grid.queue_snapshots(metrics, P))
-    full = counterfactual.full_timeline(metrics, state, counterfactual.staffing_decisions(state), P).cache()
-    table = probabilistic.probabilistic_timeline(metrics, full, P).cache()
-    sweep = {(r.lab_id, r.timestamp): r for r in blocks.monte_carlo_sweep(
-        metrics, forecast.timeline_index(full.select("lab_id", "timestamp"), P), P).collect()}
-    rows = table.collect()
-    warm = [r for r in rows if not r.forecast_eligible]
-    assert warm and all(r.forecast_decision == "RULE_FALLBACK_WARMUP" and r.selected_sla_success_probability is None for r in warm)
-    for r in rows:
-        if r.forecast_eligible:
-            m = sweep[r.lab_id, r.timestamp]
-            ok = [x for x in range(4) if m.probability[x] >= 0.95]
-            best = max(range(4), key=lambda x: (m.probability[x], m.avg_sla[x], -x))
-            assert r.forecast_additional_staff == (ok[0] if ok else best)
-            assert r.expected_future_arrivals == pytest.approx(30 * r.estimated_arrival_rate_per_minute)
-    frontier = {r.threshold: r for r in probabilistic.confidence_frontier(metrics, full, P, (0.5, 0.95)).collect()}
-    agreed = probabilistic.forecast_versus_oracle(metrics, full, table, P).first()
-    f = frontier[0.95]
-    assert (f.windows, f.over, f.under) == (agreed.windows, agreed.over, agreed.under)
-    assert f.actual_sla_rate == pytest.approx(agreed.actual_sla_rate)
-    assert f.staff_mae == pytest.approx(agreed.mean_absolute_difference)
-    assert frontier[0.5].staff_hours <= f.staff_hours
-    held = policy.three_policies(full, table, P).filter("policy = 'FORECAST_PROBABILISTIC'")
-    assert held.count() == full.count()
-
-
-def test_recommended_confidence(spark):
-    rows = [(0.8, 5.0, 175.0, 94.0), (0.9, 7.0, 245.0, 96.0), (0.95, 7.0, 245.0, 97.0), (0.99, 9.0, 315.0, 99.0)]
-    df = spark.createDataFrame(rows, "threshold double, staff_hours double, cost double, actual_sla_rate double")
-    assert [r.threshold for r in probabilistic.recommended_confidence(df).collect()] == [0.95]
-    assert probabilistic.recommended_confidence(df.filter("actual_sla_rate < 95")).count() == 0
-
-
 def test_hold_policy_on_long_sparse_timelines(spark):
     """Episodes change nothing: the result is that of walking each timeline from its start."""
     rng = random.Random(3)
@@ -255,27 +171,21 @@ def test_floor_index_differs_from_rank(spark):
     assert df.agg(F.percentile_approx("w", 0.95)).first()[0] == 10.0
 
 
-def test_scaled_demand(spark, rows, metrics):
-    scaled = planning.scale_demand(metrics, [("half", 0.5), ("same", 1.0), ("more", 2.3)])
-    counts = {r.scenario: r["count"] for r in scaled.groupBy("scenario").count().collect()}
-    assert counts["same"] == len(rows)
-    assert counts["half"] == pytest.approx(len(rows) * 0.5, rel=0.2) and counts["more"] == pytest.approx(len(rows) * 2.3, rel=0.1)
-    original = {v["patient_id"]: v["arrival_time"] for v in rows}
-    for r in scaled.filter("copy > 0").collect():
-        assert minutes(at(0), r.arrival_time) // 5 == minutes(at(0), original[r.patient_id]) // 5
-    with pytest.raises(ValueError):
-        planning.scale_demand(metrics, [("none", 0.0)])
-
-
-def test_capacity_study(rows, metrics):
-    got = planning.capacity_study(metrics, [("same", 1.0)], (1, 2, 4)).collect()
-    for r in got:
-        jobs = [(minutes(at(0), v["arrival_time"]), minutes(v["service_start_time"], v["service_end_time"]), 0.0)
-                for v in arrivals_between(rows, r.lab_id, at(0), at(10_000)) if v["arrival_time"].date() == r.day]
-        want = scorecard(heap_waits(jobs, r.staff_count))
-        assert [r.average_wait_minutes, r.p95_wait_minutes, r.max_wait_minutes, r.sla_percentage] == pytest.approx(list(want), abs=1e-6)
-        assert r.utilization_percentage == pytest.approx(sum(j[1] for j in jobs) / (1440 * r.staff_count) * 100)
-    assert len(got) == 6
+def test_gold_tables_are_refreshed_and_read_back(spark, tmp_path, rows):
+    """Unfinished lifecycles stay out; a second refresh replaces all five tables."""
+    root = str(tmp_path)
+    lifecycles = visit_frame(spark, rows)
+    open_ = lifecycles.limit(9).withColumn("departure_time", F.lit(None).cast("timestamp")).withColumn("patient_id", F.concat("patient_id", F.lit("x")))
+    for n, given in ((1, lifecycles.limit(40)), (2, lifecycles.unionByName(open_))):
+        gold.refresh_tables(spark, given, root, P)
+        stored = {name: current(spark, f"{root}/{name}") for name in gold.NAMES}
+    m = lifecycle.patient_metrics(lifecycles, P)
+    om, qs = windows.operational_metrics(m, P), grid.queue_snapshots(m, P)
+    state = windows.operational_state(om, qs)
+    want = dict(zip(gold.NAMES, (m, om, qs, state, counterfactual.staffing_decisions(state))))
+    for name, df in want.items():
+        assert sorted(map(str, stored[name].select(*df.columns).collect())) == sorted(map(str, df.collect())), name
+    assert stored["patient_metrics"].count() == len(rows)
 
 
 def test_recorded_order_decides_offline_twin(spark):

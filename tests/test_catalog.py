@@ -6,9 +6,9 @@ from check_oracles import compare, connect
 import __spark_entry__ as entry
 
 SMALL = "/root/testdata/sf0.001"
-SAMPLE = ["silver_events", "event_window_counts", "operational_state", "hourly_windows", "strategy_errors", "simulated_demand",
-          "full_timeline_backtest", "policy_timeline", "theory_comparison", "capacity_study", "station_assignments",
-          "streamed_window_counts"]
+SAMPLE = ["silver_events", "event_window_counts", "published_events", "bronze_envelope", "operational_state", "hourly_windows",
+          "strategy_errors", "recommendations", "full_timeline_backtest", "policy_timeline", "theory_comparison",
+          "gold_staffing_decisions", "streamed_window_counts", "streamed_silver_events", "streamed_hold_policy"]
 
 
 def test_every_statement_has_a_query():

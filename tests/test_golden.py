@@ -1,23 +1,15 @@
 """Small cases with known answers."""
 
-import numpy as np
 import pytest
-from helpers import at, visit, visit_frame
+from helpers import at, fold_scores, visit, visit_frame
 from pyspark.sql import functions as F
 
 from waitline.functions import scalars
-from waitline.functions.fcfs import replay
 from waitline.functions.mmc import mmc
-from waitline.operators import comparison, counterfactual, forecast, lifecycle, planning, policy, probabilistic, windows
-from waitline.operators import replay as blocks
+from waitline.operators import comparison, counterfactual, forecast, lifecycle, policy, replay, windows
 from waitline.params import Params
 
 
-def run_replay(jobs, servers):
-    a, s, w = (np.array(x, float) for x in zip(*jobs))
-    return {k: v[0].tolist() for k, v in replay(np.zeros(len(a), int), 1, a, s, w, servers, 15.0).items()}
-
-
 def one(df):
     return df.collect()[0]
 
@@ -34,19 +26,16 @@ def test_mmc(spark):
     assert rows[3].r.probability_wait == pytest.approx(0.5)
 
 
-def test_replay_three_together():
-    r = run_replay([(0, 10, 0)] * 3, [2])
-    assert (r["max"], r["avg"]) == ([10.0], [pytest.approx(10 / 3)])
+def test_replay_three_together(spark):
+    assert fold_scores(spark, [[(0, 10, 0)] * 3], [2]) == [[(pytest.approx(10 / 3), 0.0, 10.0, 100.0)]]
 
 
-def test_replay_keeps_accrued_wait():
-    assert run_replay([(0, 5, np.inf), (0, 4, 12)], [1])["max"] == [17.0]
+def test_replay_keeps_accrued_wait(spark):
+    assert fold_scores(spark, [[(0, 5, None), (0, 4, 12)]], [1])[0][0][2] == 17.0
 
 
-def test_replay_without_jobs():
-    empty = np.zeros(0)
-    r = replay(np.zeros(0, int), 1, empty, empty, empty, [1, 2], 15.0)
-    assert r["sla"].tolist() == [[100.0, 100.0]] and r["avg"].tolist() == [[0.0, 0.0]]
+def test_replay_without_jobs(spark):
+    assert fold_scores(spark, [[]], [1, 2]) == [[(0.0, 0.0, 0.0, 100.0)] * 2]
 
 
 def test_damage_control_case(spark):
@@ -55,7 +44,7 @@ def test_damage_control_case(spark):
     m = lifecycle.patient_metrics(visit_frame(spark, rows))
     points = spark.createDataFrame([("LAB_A", at(0))], "lab_id string, window_start timestamp")
     p = Params(max_additional_staff=6)
-    r = one(counterfactual.recommend(blocks.staffing_sweep(m, points, p), p))
+    r = one(counterfactual.recommend(replay.staffing_sweep(m, points, p), p))
     assert r.decision == "DAMAGE_CONTROL" and r.already_breached == 2 and len(r.scenarios) == 7
     assert r.maximum_possible_sla_percentage == pytest.approx(100 / 3)
 
@@ -159,37 +148,6 @@ def test_validation_summary(spark):
     assert tuple(s) == (3, 2, 1, 1.0, 1.0, 1.0, 3.0, 4.0)
 
 
-def study(spark, rows):
-    return spark.createDataFrame(rows, "scenario string, staff_count int, hourly_staffing_cost double, meets_sla boolean")
-
-
-def test_staffing_choice(spark):
-    df = study(spark, [("b", n, n * 35.0, n >= 4) for n in (2, 3, 4, 5)] + [("x", 5, 175.0, False)])
-    cheap = planning.cheapest_staffing(df, ["scenario"]).collect()
-    assert [(r.scenario, r.staff_count, r.hourly_staffing_cost) for r in cheap] == [("b", 4, 140.0)]
-    least = {r.scenario: r.minimum_staff for r in planning.minimum_staffing(df, ["scenario"]).collect()}
-    assert least == {"b": 4, "x": None}
-
-
-def test_resilience_matrix(spark):
-    rows = [("b", n, x, n - x >= 4) for n, x, _ in planning.absence_grid((4, 5, 6), (0, 1, 2))]
-    df = spark.createDataFrame(rows, "scenario string, planned_staff int, unavailable_staff int, meets_sla boolean")
-    r = one(planning.resilience_matrix(df, ["scenario"]))
-    assert (r.absent_0, r.absent_1, r.absent_2) == (4, 5, 6)
-    assert planning.absence_grid((2,), (0, 1, 2)) == [(2, 0, 2), (2, 1, 1)]
-    with pytest.raises(ValueError):
-        planning.absence_grid((0,), (0,))
-
-
-def test_station_assignment(spark):
-    """Five customers at once, four stations, ten minutes each: the fifth waits ten minutes."""
-    jobs = spark.createDataFrame([("L", f"P{i}", at(0), 10.0) for i in range(5)],
-                                 "lab_id string, patient_id string, queue_time timestamp, service_minutes double")
-    r = planning.assign_stations(jobs, ["lab_id"], [4]).orderBy("patient_id").collect()
-    assert [x.station_id for x in r] == ["STAFF_01", "STAFF_02", "STAFF_03", "STAFF_04", "STAFF_01"]
-    assert [x.wait_minutes for x in r] == [0.0, 0.0, 0.0, 0.0, 10.0] and r[4].service_start == at(10)
-
-
 def test_cost(spark):
     df = spark.createDataFrame([(2.25,)], "h double")
     assert one(df.select(scalars.staffing_cost(F.col("h"), 35.0).alias("c"))).c == 78.75
@@ -199,25 +157,17 @@ def test_cost(spark):
         df.select(scalars.staffing_cost(-F.col("h"), 35.0)).collect()
 
 
-def test_confident_level(spark):
-    rows = [(0, 0.5, 90.0), (1, 0.9, 95.0), (2, 0.9, 97.0), (3, 0.9, 97.0)]
-    df = spark.createDataFrame([(rows,)], "v array<struct<additional_staff:int,sla_success_probability:double,average_sla_percentage:double>>")
-    r = one(df.select(probabilistic.confident_level(F.col("v"), F.lit(0.9)).alias("a"), probabilistic.confident_level(F.col("v"), F.lit(0.95)).alias("b"),
-                      probabilistic.best_effort(F.col("v")).alias("c")))
-    assert r.a.additional_staff == 1 and r.b is None and r.c.additional_staff == 2
-
-
 def test_overflow_is_an_error_by_default(spark):
     rows = [visit(i, -5, 0, 10) for i in range(3)]
     m = lifecycle.patient_metrics(visit_frame(spark, rows))
     points = spark.createDataFrame([("LAB_A", at(0))], "lab_id string, window_start timestamp")
-    with pytest.raises(Exception, match="cannot exceed station_count"):
-        blocks.staffing_sweep(m, points, Params(staff_count=2)).collect()
-    assert blocks.staffing_sweep(m, points, Params(staff_count=2, on_overflow="queue")).count() == 1
+    with pytest.raises(Exception, match="more customers in service than stations"):
+        replay.staffing_sweep(m, points, Params(staff_count=2)).collect()
+    assert replay.staffing_sweep(m, points, Params(staff_count=2, on_overflow="queue")).count() == 1
 
 
 @pytest.mark.parametrize("bad", [{"staff_count": 0}, {"queue_sla_minutes": 0}, {"target_sla_percentage": 101}, {"older_weight": 0},
-                                 {"confidence": 1.5}, {"hourly_cost": -1}, {"trend_strength": -0.1}, {"segment_minutes": 7},
+                                 {"hourly_cost": -1}, {"trend_strength": -0.1}, {"segment_minutes": 7},
                                  {"on_overflow": "drop"}])
 def test_parameter_checks(bad):
     with pytest.raises(ValueError):
