@@ -22,6 +22,8 @@ def event_lag_seconds(ingested: str, event_time: str) -> Column:
             - F.unix_timestamp(F.col(event_time).cast("timestamp")))
 
 
+# The limits of pressure, status and severity below.
+
 def queue_pressure(waiting: Column) -> Column:
     return (F.when(waiting == 0, "NONE").when(waiting <= 3, "LOW")
             .when(waiting <= 7, "MODERATE").otherwise("HIGH"))
@@ -60,8 +62,8 @@ def rule_versus_model(decision: Column, rule_staff: Column, model_staff: Column)
 def staffing_cost(staff_hours: Column, hourly_cost: float) -> Column:
     """Cost of staff hours; negative hours stop the job."""
     if hourly_cost < 0:
-        raise ValueError("hourly_cost_per_staff cannot be negative")
-    return (F.when(staff_hours < 0, F.raise_error(F.lit("staff_hours cannot be negative")).cast("double"))
+        raise ValueError("an hour of staff costs 0 or more")
+    return (F.when(staff_hours < 0, F.raise_error(F.lit("hours of staff below 0")).cast("double"))
             .otherwise(staff_hours * F.lit(float(hourly_cost))))
 
 

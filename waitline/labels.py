@@ -80,16 +80,5 @@ HOLD_STEPS = {
 
 STAFF_CHANGES = ("DEPLOY", "ESCALATE", "DEESCALATE", "RELEASE")
 
-# Probabilistic timeline decisions.
-WARMUP = "RULE_FALLBACK_WARMUP"
-FORECAST_NO_ACTION = "NO_ACTION_REQUIRED"
-FORECAST_INTERVENTION = "PROBABILISTIC_INTERVENTION"
-FORECAST_BEST_EFFORT = "BEST_EFFORT_CONFIDENCE_NOT_REACHED"
-
-# Confidence thresholds of the frontier study, demand and staffing levels of the planning studies.
-CONFIDENCE_THRESHOLDS = (0.80, 0.85, 0.90, 0.95, 0.975, 0.99)
-DEMAND_LEVELS = (("Baseline", 1.0), ("Demand +20%", 1.2), ("Demand +40%", 1.4), ("Demand +60%", 1.6))
-CAPACITY_STAFF = (3, 4, 5, 6, 7)
-PLANNED_STAFF = (4, 5, 6, 7, 8, 9)
-ABSENCES = (0, 1, 2)
+# Lookbacks of the forecast comparison, in minutes.
 LOOKBACKS = (30, 60, 90, 120)

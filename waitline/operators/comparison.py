@@ -32,7 +32,7 @@ def compare(windows: DataFrame, servers: int, metrics: DataFrame | None = None)
     a local rate have their own outcomes.
     """
     if servers < 1:
-        raise ValueError("server_count must be at least 1")
+        raise ValueError("a queue has one server or more")
     local = metrics is None
     w = window_service_rate(windows) if local else windows.join(service_rate(metrics), "lab_id")
     hours = (micros("window_end") - micros("window_start")) / F.lit(float(HOUR_US))

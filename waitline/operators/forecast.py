@@ -11,6 +11,19 @@ from waitline.functions.clock import MINUTE_US, floor_cell, micros, stamp
 from waitline.functions.spread import running, with_block, with_neighbours
 from waitline.labels import LOOKBACKS
 from waitline.params import Params
+from waitline.sources.tables import stage
+
+
+def arrival_cells(metrics: DataFrame, p: Params = Params()) -> DataFrame:
+    """One row per lab and window with arrivals: their count, the first and the last. Stored, as counts,
+    timeline points and edges of the data are all read from it."""
+    return stage(metrics.groupBy("lab_id", floor_cell(micros("arrival_time"), p.step_us).alias("cell")).agg(
+        F.count("*").alias("n"), F.min("arrival_time").alias("first"), F.max("arrival_time").alias("last")))
+
+
+def cell_points(cells: DataFrame, p: Params = Params(), at: str = "window_start") -> DataFrame:
+    """The windows of arrival cells as timeline points."""
+    return cells.select("lab_id", stamp(F.col("cell") * p.step_us, cells.schema["first"].dataType).alias(at))
 
 
 def arrivals_around(metrics: DataFrame, timeline: DataFrame, spans: dict[str, tuple[int, int]],
@@ -19,12 +32,14 @@ def arrivals_around(metrics: DataFrame, timeline: DataFrame, spans: dict[str, tu
 
     Arrivals are counted per cell first; the spans are then bounded windows over the counts,
     evaluated in blocks of cells with the neighbouring cells copied in. One job for all spans.
+    `metrics`: patient metrics, or the arrival cells made from them.
     """
     step = p.step_us
     ahead = max([to // p.window_minutes for _, to in spans.values()] + [0])
     back = max([-start // p.window_minutes for start, _ in spans.values()] + [0])
-    counts = metrics.groupBy("lab_id", floor_cell(micros("arrival_time"), step).alias("cell")).agg(
-        F.count("*").alias("n"))
+    counts = metrics if "cell" in metrics.columns else metrics.groupBy(
+        "lab_id", floor_cell(micros("arrival_time"), step).alias("cell")).agg(F.count("*").alias("n"))
+    counts = counts.select("lab_id", "cell", "n")
     points = timeline.select("lab_id", floor_cell(micros(at), step).alias("cell")).distinct()
     merged = (counts.withColumn("asked", F.lit(False))
               .unionByName(points.select("lab_id", "cell", F.lit(0).alias("n"), F.lit(True).alias("asked")))
@@ -55,7 +70,8 @@ def trend_rate(older: Column, recent: Column, p: Params = Params()) -> Column:
 
 
 def _arrival_edges(metrics: DataFrame) -> DataFrame:
-    return metrics.groupBy("lab_id").agg(F.min("arrival_time").alias("_first"), F.max("arrival_time").alias("_last"))
+    first, last = ("first", "last") if "cell" in metrics.columns else ("arrival_time", "arrival_time")
+    return metrics.groupBy("lab_id").agg(F.min(first).alias("_first"), F.max(last).alias("_last"))
 
 
 def eligible_points(points: DataFrame, metrics: DataFrame, lookback: int, horizon: int,
@@ -127,9 +143,9 @@ def best_forecast(errors: DataFrame, name: str) -> DataFrame:
 
 
 def timeline_index(timeline: DataFrame, p: Params = Params(), at: str = "timestamp") -> DataFrame:
-    """1-based position of each point on its lab's timeline."""
+    """1-based position of each point on its lab's timeline. The points are stored, as block totals and rows both read them."""
     cell = timeline.withColumn("cell", floor_cell(micros(at), p.step_us)).withColumn("_one", F.lit(1).cast("long"))
-    return running(cell, ["lab_id"], {"_one": "timeline_index"}).drop("cell", "_one")
+    return running(stage(cell), ["lab_id"], {"_one": "timeline_index"}).drop("cell", "_one")
 
 
 def demand_profile(metrics: DataFrame, timeline: DataFrame, p: Params = Params(),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,8 +80,12 @@ def first_of_each_stream(events: DataFrame, p: Params = Params()) -> DataFrame:
     return marked.dropDuplicates(["event_id"])
 
 
-def silver(records: DataFrame, p: Params = Params(), strict_json: bool = False) -> DataFrame:
+def silver(records: DataFrame, p: Params = Params(), strict_json: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """Validated events, each id once. `columns`: what the caller needs; only that and the order of reading are shuffled."""
     events = with_lag(accepted(parse(records, strict_json)), p)
     if records.isStreaming:
         return first_of_each_stream(events, p)
-    return first_of_each(events)
+    if columns is None:
+        return first_of_each(events)
+    order = ("kafka_timestamp", "partition", "offset")
+    return first_of_each(events.select(*dict.fromkeys(["event_id", *columns, *order]))).select(*columns)

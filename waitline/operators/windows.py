@@ -41,7 +41,7 @@ def operational_metrics(metrics: DataFrame, p: Params = Params()) -> DataFrame:
         F.count("*").alias("patients_arrived"),
         F.sum(F.when(F.col("waited"), 1).otherwise(0)).alias("patients_who_waited"),
         F.avg("queue_wait_minutes").alias("avg_queue_wait_minutes"),
-        F.percentile_approx("queue_wait_minutes", 0.95).alias("p95_queue_wait_minutes"),
+        F.percentile_approx("queue_wait_minutes", 0.95, p.p95_accuracy).alias("p95_queue_wait_minutes"),
         F.max("queue_wait_minutes").alias("max_queue_wait_minutes"),
         F.avg("registration_minutes").alias("avg_registration_minutes"),
         F.avg("service_minutes").alias("avg_service_minutes"),
@@ -101,10 +101,10 @@ def window_metrics(metrics: DataFrame, p: Params = Params(), window_minutes: int
     the hour of its first arrival to its last departure.
     """
     if window_minutes <= 0:
-        raise ValueError("window_minutes must be greater than 0")
+        raise ValueError("fixed windows need a positive length")
     stations = p.staff_count if servers is None else servers
     if stations <= 0:
-        raise ValueError("station_count must be greater than 0")
+        raise ValueError("utilisation needs one station or more")
     step = window_minutes * MINUTE_US
     dtype = metrics.schema["arrival_time"].dataType
     limits = metrics.groupBy("lab_id").agg(

@@ -28,6 +28,9 @@ class Params:
     # Off: an event_id is never stored twice. On: a new event is only compared with stored ones that
     # are not older than the watermark, so less is read, and an id sent again much later comes back.
     bounded_dedup: bool = False
+    # Accuracy of the approximate P95 of a window's waits: exact while a (lab, window) holds no more
+    # distinct waits than this, and within 1/accuracy of the rank beyond.
+    p95_accuracy: int = 10_000
     # What to do when more customers are in service than there are stations:
     # "error" stops the job, "queue" lets the surplus hold the next free station.
     on_overflow: str = "error"

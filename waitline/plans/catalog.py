@@ -81,8 +81,14 @@ def points(s, d):
     return operational(s, d).select("lab_id", "window_start")
 
 
-def timeline(s, d):
-    return forecast.timeline_index(points(s, d).withColumnRenamed("window_start", "timestamp"), P)
+def arrivals(s, d):
+    """Arrival cells and the timeline points they make, from one scan."""
+    cells = forecast.arrival_cells(metrics(s, d), P)
+    return cells, forecast.cell_points(cells, P)
+
+
+def indexed(cells):
+    return forecast.timeline_index(forecast.cell_points(cells, P, "timestamp"), P)
 
 
 def full(s, d):
@@ -133,7 +139,8 @@ def silver_events(s, d):
 
 @query
 def event_window_counts(s, d):
-    return windows.event_counts(silver(s, d), P)
+    needed = ("event_type", "lab_id", "event_time", "event_lag_seconds", "is_late")
+    return windows.event_counts(ingest.silver(visit_records(s, d), P, columns=needed), P)
 
 
 def published(s, d):
@@ -338,47 +345,49 @@ def history_before_windows(s, d):
 @query
 def arrival_counts_around(s, d):
     spans = {f"last_{m}": (-m, 0) for m in (30, 60, 90, 120)}
-    return forecast.arrivals_around(metrics(s, d), points(s, d), {**spans, "next_30": (0, 30)}, P)
+    return forecast.arrivals_around(*arrivals(s, d), {**spans, "next_30": (0, 30)}, P)
 
 
 @query
 def strategy_forecasts(s, d):
-    return forecast.strategy_forecasts(metrics(s, d), points(s, d), P)
+    return forecast.strategy_forecasts(*arrivals(s, d), P)
 
 
 @query
 def strategy_errors(s, d):
-    return forecast.compare_strategies(metrics(s, d), points(s, d), P)
+    return forecast.compare_strategies(*arrivals(s, d), P)
 
 
 @query
 def best_strategy(s, d):
-    return forecast.best_forecast(forecast.compare_strategies(metrics(s, d), points(s, d), P), "strategy")
+    return forecast.best_forecast(forecast.compare_strategies(*arrivals(s, d), P), "strategy")
 
 
 @query
 def lookback_errors(s, d):
-    return forecast.compare_lookbacks(metrics(s, d), points(s, d), P)
+    return forecast.compare_lookbacks(*arrivals(s, d), P)
 
 
 @query
 def best_lookback(s, d):
-    return forecast.best_forecast(forecast.compare_lookbacks(metrics(s, d), points(s, d), P), "lookback_minutes")
+    return forecast.best_forecast(forecast.compare_lookbacks(*arrivals(s, d), P), "lookback_minutes")
 
 
 @query
 def timeline_positions(s, d):
-    return timeline(s, d)
+    return indexed(arrivals(s, d)[0])
 
 
 @query
 def weighted_demand_profile(s, d):
-    return forecast.demand_profile(metrics(s, d), timeline(s, d), P)
+    cells, _ = arrivals(s, d)
+    return forecast.demand_profile(cells, indexed(cells), P)
 
 
 @query
 def recent_demand_profile(s, d):
-    return forecast.demand_profile(metrics(s, d), timeline(s, d), P, weighted=False)
+    cells, _ = arrivals(s, d)
+    return forecast.demand_profile(cells, indexed(cells), P, weighted=False)
 
 
 # Counterfactual replays ------------------------------------------------------------------------
