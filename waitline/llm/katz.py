@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from waitline.llm.common import texts, word_hashes
 from waitline.sources.session import ship_package
-from waitline.sources.tables import stage, workspace
+from waitline.sources.tables import discard_later, stage, workspace
 
 BLOCK_BYTES = 12 << 20
 TOP = 5  # largest discounted count
@@ -177,7 +177,9 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
     # Bucketed by block, so that the three passes over the texts need no shuffle of them.
     name = f"katz_{uuid.uuid4().hex}"
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
-    placed.write.bucketBy(blocks, "block").option("path", workspace(spark)).saveAsTable(name)
+    folder = workspace(spark)
+    placed.write.bucketBy(blocks, "block").option("path", folder).saveAsTable(name)
+    discard_later(spark, folder)
     table = spark.table(name)
 
     def ask_words(key, held):
