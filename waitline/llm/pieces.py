@@ -22,6 +22,7 @@ import hashlib
 import math
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from waitline.sources.tables import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
-MEMO = 400_000
+MEMO = 500_000
 UNITS, SHIFT = 1 << 20, 100
 SPACE = "▁"
 NONE = -np.inf
@@ -65,45 +66,49 @@ class Pieces:
             self.raw[i] = piece.replace(SPACE, " ").encode()
         for piece, i in self.bytes.items():
             self.raw[i] = bytes([int(piece[3:5], 16)])
-        self.heads = {p[:k] for p in self.known for k in range(1, len(p) + 1)}
-        # A boundary is certain before a space mark after other characters if no piece goes over it,
-        # and on both sides of a line end if no piece holds one.
-        plain = all(SPACE not in p.lstrip(SPACE) for p in self.known) and not any("\n" in p for p in self.known)
-        self.parts = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if plain else "(?s).+")
+        # Scores by prefix: 0 for the beginning of longer pieces only.
+        self.prefix = dict.fromkeys((p[:k] for p in self.known for k in range(1, len(p))), 0.0)
+        self.prefix |= {p: score for p, (score, _) in self.known.items()}
+        # Parts of a text between certain boundaries: space marks go with what follows; letters apart from
+        # other signs, or all up to the next space mark, or no parts; the finest way that splits no piece.
+        signs = {c for p in self.known for c in p} - {SPACE}
+        one = lambda kind: "[" + "".join(map(re.escape, sorted(c for c in signs if kind(c)))) + "]"
+        ways = [f"{SPACE}*{one(str.isalpha)}+|{SPACE}*{one(lambda c: not c.isalpha())}+|{SPACE}+|(?s:.)",
+                f"{SPACE}*{one(bool)}+|{SPACE}+|(?s:.)", "(?s).+"]
+        self.parts = next(r for r in map(re.compile, ways) if all(len(r.findall(p)) == 1 for p in self.known))
         self.memo: dict[str, tuple[float, bytes]] = {}
 
-    def from_(self, s: str, i: int):
-        """(end, score) of the pieces that start at i."""
-        single = False
-        for j in range(i + 1, min(len(s), i + self.longest) + 1):
-            found = self.known.get(s[i:j])
-            if found:
-                single |= j == i + 1
-                yield j, found[0]
-            elif s[i:j] not in self.heads:
-                break
-        if not single:
-            yield i + 1, self.unknown
-
     def ids(self, s: str, bounds: list[int]) -> bytes:
         """Ids (32 bit) of the pieces between consecutive bounds."""
-        out: list[int] = []
+        out = array("i")
         for i, j in zip(bounds, bounds[1:]):
             found = self.known.get(s[i:j])
-            out += [found[1]] if found else [self.byte[b] for b in s[i:j].encode("utf-8", "surrogatepass")]
-        return np.array(out, np.int32).tobytes()
+            if found:
+                out.append(found[1])
+            else:
+                out.extend([self.byte[b] for b in s[i:j].encode("utf-8", "surrogatepass")])
+        return out.tobytes()
 
     def forward(self, s: str, start: dict[int, float], stop: int) -> tuple[list, list]:
         """Best score of each boundary and where its last piece began (-1: before s). Pieces start before stop."""
         best, back = [NONE] * (len(s) + 1), [-1] * (len(s) + 1)
         for a, score in start.items():
             best[a] = score
+        scores, n, unknown = self.prefix, len(s), self.unknown
         for i in range(stop):
             here = best[i]
             if here > NONE:
-                for j, score in self.from_(s, i):
-                    if here + score > best[j]:
-                        best[j], back[j] = here + score, i
+                single = False
+                for j in range(i + 1, n + 1):
+                    score = scores.get(s[i:j])
+                    if score is None:
+                        break
+                    if score:
+                        single |= j == i + 1
+                        if here + score > best[j]:
+                            best[j], back[j] = here + score, i
+                if not single and here + unknown > best[i + 1]:
+                    best[i + 1], back[i + 1] = here + unknown, i
         return best, back
 
     @staticmethod
@@ -135,8 +140,7 @@ class Pieces:
 
         Without one, all is the first part and the last is empty.
         """
-        cuts = [m.start() for m in self.parts.finditer(body)]
-        cuts = [c for c in cuts if c and (body[c] == "\n" or body[c - 1] == "\n" or body[c - 1] != SPACE)]
+        cuts = [m.start() for m in self.parts.finditer(body)][1:]
         if not cuts:
             return len(body), [], ""
         return cuts[0], [body[a:b] for a, b in zip(cuts, cuts[1:])], body[cuts[-1]:] + ahead
