@@ -41,7 +41,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: how byte-level BPE parts a text before merging.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 8192, 0x5DEECE66D, 6
-MEMO = 300_000
 UNIT_TOKENS = 1 << 20
 ROWS = ("slot long, sequence long, shard int, byte_offset long, n_tokens int, sha256 string, doc_ids array<long>, starts array<int>")
 
@@ -53,29 +52,15 @@ PIECE_ROWS = "shard long, tokens binary, " + ", ".join(f"{c} array<long>" for c
 
 
 class Encoder:
-    """Byte-level BPE ids as 16-bit values. A text parts before every single space, where no token crosses."""
+    """Byte-level BPE ids as 16-bit values; end is the first free id."""
 
     def __init__(self, vocabulary: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.inner = tiktoken.Encoding("stream", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.end = len(ranks)
-        self.memo: dict[str, bytes] = {}
-
-    def plain(self, text: str) -> bytes:
-        return np.array(self.inner.encode_ordinary(text), np.uint16).tobytes()
-
-    def part(self, text: str) -> bytes:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        found = self.memo[text] = self.plain(text)
-        return found
 
     def encode(self, text: str) -> bytes:
-        if "   " in text:  # a run of spaces is not parted at each
-            return b"".join(map(self.plain, [text]))
-        head, *rest = text.split(" ")
-        memo, part = self.memo, self.part
-        return part(head) + b"".join([memo.get(p) or part(p) for p in map(" ".__add__, rest)])
+        return np.array(self.inner.encode_ordinary(text), np.uint16).tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.inner.decode_bytes(ids.tolist())
