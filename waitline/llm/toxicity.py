@@ -181,10 +181,31 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return max(a, 1e-3), b
 
 
+def evidence(toxic: int, clean: int, share: float) -> float:
+    """Log-likelihood ratio of a word's own share of toxic texts against the overall one."""
+    n = toxic + clean
+    return toxic * np.log(toxic / n / share) + (clean * np.log(clean / n / (1 - share)) if clean else 0.0)
+
+
+def distinct(bags: list[list[str]]) -> list[int]:
+    """Indices of bags that are neither empty nor near copies of earlier ones: none of eight keys of three minima is taken."""
+    multipliers = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    taken: set = set()
+    out = []
+    for i, b in enumerate(bags):
+        if b:
+            hashes = np.fromiter(map(hash_of, b), np.uint64, len(b))
+            low = (hashes[:, None] * multipliers).min(axis=0).tolist()
+            keys = {(k, *low[k:k + 3]) for k in range(0, 24, 3)}
+            if not keys & taken:
+                out.append(i)
+            taken |= keys
+    return out
+
+
 def train(bags: list[list[str]], toxic: np.ndarray, prior: float) -> Model | None:
     """Model from bags of units and their labels; prior: share of toxic texts among all labelled ones."""
-    seen: set = set()
-    fresh = [i for i, b in enumerate(bags) if b and not (frozenset(b) in seen or seen.add(frozenset(b)))]
+    fresh = distinct(bags)
     bags, toxic = [bags[i] for i in fresh], toxic[fresh].astype(bool)
     n_pos, n_neg = int(toxic.sum()), int((~toxic).sum())
     if not n_pos or not n_neg:
@@ -199,13 +220,18 @@ def train(bags: list[list[str]], toxic: np.ndarray, prior: float) -> Model | Non
     if not guilty:
         return None
     suspects = sorted({u for b in guilty for u in b})
+    # Words that chance cannot put into so many toxic texts and so few others count all; the other texts
+    # have one word each that makes them toxic.
+    share = n_pos / (n_pos + n_neg)
+    proven = {u: pos[u] for u in suspects if evidence(pos[u], neg[u], share) > np.log(20 * len(pos))}
+    guilty = [b for b in guilty if not proven.keys() & b]
     witness = [max(b, key=lambda u: (odds[u], u)) for b in guilty]
     clean = sorted(neg, key=lambda u: (hash_of(u), u))
     usual = [u for u, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0]))[:NEGATIVES // 3]]
     negatives = [*dict.fromkeys([*usual, *clean[:NEGATIVES // 3]])]
     model, hard = None, []
     for step in range(ROUNDS):
-        chosen = Counter(witness)
+        chosen = Counter(witness) + Counter(proven)
         marks = [u for u, _ in sorted(chosen.items(), key=lambda x: (-x[1], x[0]))][:LANDMARKS * 3 // 4]
         marks += [u for u in dict.fromkeys([*hard[:LANDMARKS // 8], *usual]) if u not in chosen][:LANDMARKS - len(marks)]
         tables = landmark_tables(marks)
@@ -214,8 +240,8 @@ def train(bags: list[list[str]], toxic: np.ndarray, prior: float) -> Model | Non
         white = vectors[:, good] / np.sqrt(values[good])
         units = [*chosen, *(u for u in dict.fromkeys([*negatives, *hard]) if u not in chosen)]
         y = np.where(np.arange(len(units)) < len(chosen), 1.0, -1.0)
-        share = np.array([*chosen.values()], float)
-        weight = np.concatenate([share / share.sum(), np.full(len(units) - len(chosen), 1.0 / max(1, len(units) - len(chosen)))])
+        count = np.array([*chosen.values()], float)
+        weight = np.concatenate([count / count.sum(), np.full(len(units) - len(chosen), 1.0 / max(1, len(units) - len(chosen)))])
         w = squared_hinge(project(units, tables) @ white, y, weight * len(units))
         table = tables @ (white @ w[:-1])
         model = table, w[-1]
