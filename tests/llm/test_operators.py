@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from waitline.llm import (components, exact_dedup, fingerprint, katz, licenses, lines, minhash, mixing, pieces, queries, shards,
+from waitline.llm import (common, components, exact_dedup, fingerprint, katz, licenses, lines, minhash, mixing, pieces, queries, shards,
                           toxicity)
 
 SMALL = "/root/testdata/sf0.001"
@@ -74,11 +74,17 @@ def test_edited_texts_and_next_documents(request, which):
     assert all(len(r.fingerprint) % 16 == 0 for r in got)
 
 
-def test_next_document_over_many_blocks(spark):
-    rows = [(i * 7919 % 10_007, f"text number {i}", "s") for i in range(1500)]
-    got = {r.doc_id: r.next_text for r in fingerprint.with_next(table(spark, rows), per_block=10).collect()}
+@pytest.mark.parametrize("clusters", [False, True])
+def test_next_document_over_many_blocks(spark, clusters):
+    """Also with ids in clusters far apart, where an even cut would put nearly all into one block."""
+    far = (lambda i: i + (i % 3 - 1) * 2 ** 62) if clusters else (lambda i: i)
+    rows = [(far(i * 7919 % 10_007), f"text number {i}", "s") for i in range(1500)]
+    df = table(spark, rows)
+    got = {r.doc_id: r.next_text for r in fingerprint.with_next(df, per_block=10).collect()}
     order = sorted(rows, reverse=True)
     assert got == {a[0]: order[(k + 1) % len(order)][1] for k, a in enumerate(order)}
+    placed = common.id_blocks(df, "doc_id", 10)(df).groupBy("_block").count().agg({"count": "max"}).first()[0]
+    assert placed <= 40
 
 
 def test_equal_texts_have_equal_fingerprints_and_estimates_follow_containment(spark):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waitline.sources.tables import lookup
+
 LOWEST = -(1 << 63)
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -37,19 +41,32 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def id_blocks(keys: DataFrame, key: str, per_block: int = 2048) -> Column:
-    """Block number of a long key, about per_block rows each when keys are spread evenly.
+def id_blocks(keys: DataFrame, key: str, per_block: int = 2048) -> Callable[[DataFrame], DataFrame]:
+    """Adds `_block`, a number that keeps the order of a long key, with about per_block rows each.
 
-    One pass for the least and largest key and the row count; blocks keep the order of the key.
+    The key's range is cut evenly; a part of it that holds far more rows than that (ids in clusters far
+    apart) is cut evenly once more. Only three numbers come to the driver.
     """
     low, high, n = keys.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     if not n:
-        return F.lit(0).cast("long")
-    blocks = max(1, -(-n // per_block))
-    width = max(1, -(-(high - low + 1) // blocks))
-    # Decimal arithmetic: ids may span the whole range of a long.
-    return F.floor((F.col(key).cast("decimal(38,0)") - F.lit(str(low)).cast("decimal(38,0)"))
-                   / F.lit(str(width)).cast("decimal(38,0)")).cast("long")
+        return lambda df: df.withColumn("_block", F.lit(0).cast("long"))
+    wide = lambda x: x.cast("decimal(38,0)")  # noqa: E731  ids may span the whole range of a long
+    outer = F.floor((wide(F.col(key)) - wide(F.lit(str(low)))) / wide(F.lit(str(_width(low, high, n, per_block))))).cast("long")
+    crowded = keys.groupBy(outer.alias("_outer")).agg(
+        F.min(key).alias("_low"), F.max(key).alias("_high"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 4 * per_block)
+    crowded = lookup(crowded)
+    if crowded.isEmpty():
+        return lambda df: df.withColumn("_block", outer)
+    parts = F.ceil(F.col("_n") / per_block)
+    width = F.greatest(F.lit(1), F.ceil((wide(F.col("_high")) - wide(F.col("_low")) + 1) / wide(parts)))
+    inner = F.coalesce(F.floor((wide(F.col(key)) - wide(F.col("_low"))) / wide(width)), F.lit(0)).cast("long")
+    # Fewer than 2**31 outer and 2**32 inner parts.
+    return lambda df: (df.withColumn("_outer", outer).join(crowded, "_outer", "left")
+                       .withColumn("_block", F.shiftleft("_outer", 32) + inner).drop("_outer", "_low", "_high", "_n"))
+
+
+def _width(low: int, high: int, n: int, per_block: int) -> int:
+    return max(1, -(-(high - low + 1) // max(1, -(-n // per_block))))
 
 
 def offsets(totals: DataFrame, block: str, size: str, fan: int = 4096) -> DataFrame:

@@ -67,8 +67,8 @@ def with_next(docs: DataFrame, per_block: int = 2048) -> DataFrame:
     """
     rows = texts(docs).withColumn("_key", F.coalesce("doc_id", F.lit(LOWEST)))
     keys = rows.select("_key")
-    block = id_blocks(keys, "_key", per_block)
-    tops = keys.groupBy(block.alias("_block")).agg(F.max("_key").alias("_top"))
+    placed_in = id_blocks(keys, "_key", per_block)
+    tops = placed_in(keys).groupBy("_block").agg(F.max("_key").alias("_top"))
     # The block below, by two levels of windows: within a span of blocks, and between spans.
     spans = tops.withColumn("_span", F.floor(F.col("_block") / 4096))
     ends = spans.groupBy("_span").agg(F.max("_block").alias("_last"), F.min("_block").alias("_first"))
@@ -80,7 +80,7 @@ def with_next(docs: DataFrame, per_block: int = 2048) -> DataFrame:
         "_block", F.coalesce("_inner", "_outer").alias("_below"))
     halo = lookup(below.join(tops.withColumnRenamed("_block", "_below"), "_below").select(
         F.col("_top").alias("_key"), F.col("_block").alias("_to")))
-    seen = rows.withColumn("sketch", sketch(F.col("text"))).withColumn("_block", block).join(halo, "_key", "left")
+    seen = placed_in(rows.withColumn("sketch", sketch(F.col("text")))).join(halo, "_key", "left")
     own = F.struct(F.col("_block").alias("block"), F.lit(True).alias("own"))
     copy = F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("block"), F.lit(False).alias("own")))
     placed = (seen.withColumn("_at", F.explode(F.array_compact(F.array(own, copy))))
