@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from waitline.sources.tables import lookup
 
 LOWEST = -(1 << 63)
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "[\\x20\\x09-\\x0D]+"
 
 
@@ -27,10 +26,6 @@ def word_array(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: F.length(w) > 0)
 
 
-def lower_ascii(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def word_count(text: Column) -> Column:
     """Number of words without building them: starts of runs of other than ASCII white space."""
     return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+"))

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from waitline.llm.common import chunks, texts
 from waitline.sources.session import ship_package
+from waitline.sources.tables import stage
 
 SPAN, DECAY = 6, 0.6
 SYMBOLS, OPEN, CLOSE = 41, 39, 40
@@ -268,12 +269,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = T
     """Train on a bounded sample of labelled texts. labels: doc_id, toxic."""
     ship_package(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    usable = texts(docs).where(F.length("text").between(1, chars))
+    # Labels of other texts than these neither use up the sample nor count.
+    present = stage(known.join(usable.select("doc_id"), "doc_id", "left_semi"))
+    counts = {r["toxic"]: r["count"] for r in present.groupBy("toxic").count().collect()}
     if not counts.get(0) or not counts.get(1):
         return None
-    usable = texts(docs).where(F.length("text").between(1, chars))
-    # Labels without a text do not use up the sample.
-    present = known.join(usable.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = present.where("toxic = 1").orderBy(*order).limit(sample).unionByName(
         present.where("toxic = 0").orderBy(*order).limit(sample))
