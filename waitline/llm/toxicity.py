@@ -18,7 +18,6 @@ rows are scored alike; no rows give no rows; other columns are not read.
 
 from __future__ import annotations
 
-from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
@@ -114,8 +113,8 @@ def by_width(units: list[str]):
     lengths = np.fromiter(map(len, units), np.int64, len(units))
     for low, high in ((0, 8), (8, 14), (14, 22), (22, WINDOW)):
         at = np.flatnonzero((lengths > low) & (lengths <= high))
-        for k in range(0, len(at), 20_000):
-            yield at[k:k + 20_000]
+        for k in range(0, len(at), 5000):
+            yield at[k:k + 5000]
 
 
 def project(units: list[str], tables: np.ndarray) -> np.ndarray:
@@ -141,7 +140,7 @@ def evaluate(units: list[str], table: np.ndarray) -> np.ndarray:
 
 def landmark_tables(landmarks: list[str]) -> np.ndarray:
     """Columns: normalised triple weights of each landmark."""
-    out = np.zeros((SYMBOLS ** 3, len(landmarks)))
+    out = np.zeros((SYMBOLS ** 3, len(landmarks)), np.float32)
     for k, u in enumerate(landmarks):
         m = codes([u])
         for keys, weight in triples(m):
@@ -182,21 +181,21 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, f
     return max(a, 1e-3), b
 
 
-def evidence(toxic: int, clean: int, share: float) -> float:
-    """Log-likelihood ratio of a word's own share of toxic texts against the overall one."""
-    n = toxic + clean
-    return toxic * np.log(toxic / n / share) + (clean * np.log(clean / n / (1 - share)) if clean else 0.0)
+def evidence(toxic: np.ndarray, clean: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of words' own shares of toxic texts against the overall one."""
+    n = np.maximum(toxic + clean, 1)
+    log = lambda x: np.log(np.maximum(x, 1e-300))
+    return toxic * log(toxic / n / share) + clean * log(clean / n / (1 - share))
 
 
-def distinct(bags: list[list[str]]) -> list[int]:
+def distinct(bags: list[np.ndarray], hashes: np.ndarray) -> list[int]:
     """Indices of bags that are neither empty nor near copies of earlier ones: none of eight keys of three minima is taken."""
     multipliers = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 63, 24, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     taken: set = set()
     out = []
     for i, b in enumerate(bags):
-        if b:
-            hashes = np.fromiter(map(hash_of, b), np.uint64, len(b))
-            low = (hashes[:, None] * multipliers).min(axis=0).tolist()
+        if len(b):
+            low = [int((hashes[b] * m).min()) for m in multipliers]
             keys = {(k, *low[k:k + 3]) for k in range(0, 24, 3)}
             if not keys & taken:
                 out.append(i)
@@ -204,58 +203,60 @@ def distinct(bags: list[list[str]]) -> list[int]:
     return out
 
 
-def train(bags: list[list[str]], toxic: np.ndarray, prior: float) -> Model | None:
-    """Model from bags of units and their labels; prior: share of toxic texts among all labelled ones."""
-    fresh = distinct(bags)
+def train(words: list[str], bags: list[np.ndarray], toxic: np.ndarray, prior: float) -> Model | None:
+    """Model from the sorted distinct units, bags of their numbers, and the bags' labels.
+
+    prior: share of toxic texts among all labelled ones.
+    """
+    hashes = np.fromiter(map(hash_of, words), np.uint64, len(words))
+    fresh = distinct(bags, hashes)
     bags, toxic = [bags[i] for i in fresh], toxic[fresh].astype(bool)
     n_pos, n_neg = int(toxic.sum()), int((~toxic).sum())
     if not n_pos or not n_neg:
         return None
-    pos, neg = Counter(), Counter()
-    for b, t in zip(bags, toxic):
-        (pos if t else neg).update(b)
-    odds = {u: c * (np.log((c + 0.5) / (n_pos + 1)) - np.log((neg[u] + 0.5) / (n_neg + 1))) for u, c in pos.items()}
+    pos, neg = (np.bincount(np.concatenate([b for b, t in zip(bags, toxic) if t == side]), minlength=len(words)) for side in (True, False))
+    odds = pos * (np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1)))
     # A word that clean texts hold as well cannot be what makes a text toxic.
-    guilty = [b for b, t in zip(bags, toxic) if t]
-    guilty = [b for b in ([u for u in b if odds[u] > pos[u] * np.log(TELLING)] for b in guilty) if b]
-    if not guilty:
-        return None
-    suspects = sorted({u for b in guilty for u in b})
+    suspect = odds > pos * np.log(TELLING)
     # Words that chance cannot put into so many toxic texts and so few others count all; the other texts
     # have one word each that makes them toxic.
-    share = n_pos / (n_pos + n_neg)
-    proven = {u: pos[u] for u in suspects if evidence(pos[u], neg[u], share) > np.log(20 * len(pos))}
-    guilty = [b for b in guilty if not proven.keys() & b]
-    witness = [max(b, key=lambda u: (odds[u], u)) for b in guilty]
-    clean = sorted(neg, key=lambda u: (hash_of(u), u))
-    usual = [u for u, _ in sorted(neg.items(), key=lambda x: (-x[1], x[0]))[:NEGATIVES // 3]]
-    negatives = [*dict.fromkeys([*usual, *clean[:NEGATIVES // 3]])]
-    model, hard = None, []
+    proven = suspect & (evidence(pos, neg, n_pos / (n_pos + n_neg)) > np.log(20 * max(1, (pos > 0).sum())))
+    guilty = [b[suspect[b]] for b, t in zip(bags, toxic) if t and suspect[b].any() and not proven[b].any()]
+    if not guilty and not proven.any():
+        return None
+    text_of = lambda at: [words[i] for i in at]
+    weight = np.where(proven, pos, 0) + np.bincount([b[odds[b].argmax()] for b in guilty], minlength=len(words))
+    clean = np.flatnonzero(neg)
+    clean = clean[np.argsort(hashes[clean], kind="stable")]
+    usual = clean[np.argsort(-neg[clean], kind="stable")][:NEGATIVES // 3]
+    hard = clean[:0]
+    first = lambda *parts: np.array([*dict.fromkeys(np.concatenate(parts).tolist())], np.int64)
     for step in range(ROUNDS):
-        chosen = Counter(witness) + Counter(proven)
-        marks = [u for u, _ in sorted(chosen.items(), key=lambda x: (-x[1], x[0]))][:LANDMARKS * 3 // 4]
-        marks += [u for u in dict.fromkeys([*hard[:LANDMARKS // 8], *usual]) if u not in chosen][:LANDMARKS - len(marks)]
-        tables = landmark_tables(marks)
-        values, vectors = np.linalg.eigh(project(marks, tables))
+        chosen = np.flatnonzero(weight)
+        marks = chosen[np.argsort(-weight[chosen], kind="stable")][:LANDMARKS * 3 // 4]
+        others = first(hard[:LANDMARKS // 8], usual)
+        marks = first(marks, others[weight[others] == 0][:LANDMARKS - len(marks)])
+        tables = landmark_tables(text_of(marks))
+        values, vectors = np.linalg.eigh(project(text_of(marks), tables))
         good = values > 1e-6 * values[-1]
         white = vectors[:, good] / np.sqrt(values[good])
-        units = [*chosen, *(u for u in dict.fromkeys([*negatives, *hard]) if u not in chosen)]
-        y = np.where(np.arange(len(units)) < len(chosen), 1.0, -1.0)
-        count = np.array([*chosen.values()], float)
-        weight = np.concatenate([count / count.sum(), np.full(len(units) - len(chosen), 1.0 / max(1, len(units) - len(chosen)))])
-        w = squared_hinge(project(units, tables) @ white, y, weight * len(units))
-        table = tables @ (white @ w[:-1])
-        model = table, w[-1]
-        hard = [clean[i] for i in np.argsort(-evaluate(clean, table), kind="stable")[:NEGATIVES // 3]]
-        if step % 2:  # every other round: words are chosen anew once the nearest clean words have been learnt
-            score = dict(zip(suspects, evaluate(suspects, table)))
-            witness = [max(b, key=lambda u: (score[u], u)) for b in guilty]
-    table, bias = model
-    every = [*dict.fromkeys(u for b in bags for u in b)]
-    score = dict(zip(every, evaluate(every, table) + bias))
-    x = np.array([max(map(score.__getitem__, b)) for b in bags])
-    weight = np.where(toxic, prior / n_pos, (1 - prior) / n_neg) * len(bags)
-    slope, shift = logistic(x, toxic.astype(float), weight)
+        against = first(usual, clean[:NEGATIVES // 3], hard)
+        against = against[weight[against] == 0]
+        y = np.repeat([1.0, -1.0], [len(chosen), len(against)])
+        each = np.concatenate([weight[chosen] / weight[chosen].sum(), np.full(len(against), 1.0 / max(1, len(against)))])
+        w = squared_hinge(project(text_of([*chosen, *against]), tables) @ white, y, each * len(y))
+        table, bias = tables @ (white @ w[:-1]), w[-1]
+        del tables
+        hard = clean[np.argsort(-evaluate(text_of(clean), table), kind="stable")[:NEGATIVES // 3]]
+        if step % 2 and guilty:  # every other round: words are chosen anew once the nearest clean words have been learnt
+            held = np.unique(np.concatenate(guilty))
+            score = np.zeros(len(words))
+            score[held] = evaluate(text_of(held), table)
+            weight = np.where(proven, pos, 0) + np.bincount([b[score[b].argmax()] for b in guilty], minlength=len(words))
+    score = evaluate(words, table) + bias
+    x = np.array([score[b].max() for b in bags])
+    share = np.where(toxic, prior / n_pos, (1 - prior) / n_neg) * len(bags)
+    slope, shift = logistic(x, toxic.astype(float), share)
     return Model(table, float(bias), float(slope), float(shift))
 
 
@@ -286,10 +287,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = T
 
     picked = F.broadcast(chosen)  # 2 * sample rows at most
     table = usable.join(picked, "doc_id").select("text", "toxic").mapInArrow(bags_of, "toxic int, units array<string>").toArrow()
-    toxic = table["toxic"].to_numpy()
-    bags = table["units"].to_pylist()
-    order = sorted(range(len(bags)), key=lambda i: (bags[i], toxic[i]))  # the same whatever task comes first
-    return train([bags[i] for i in order], toxic[order], counts[1] / (counts[0] + counts[1]))
+    toxic, units = table["toxic"].to_numpy(), table["units"].combine_chunks()
+    coded = units.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    place = np.argsort(np.array(names, object), kind="stable") if names else np.zeros(0, np.int64)
+    number = np.empty(len(names), np.int32)
+    number[place] = np.arange(len(names), dtype=np.int32)
+    cuts = np.cumsum(units.value_lengths().to_numpy(zero_copy_only=False))
+    bags = np.split(number[coded.indices.to_numpy(zero_copy_only=False)], cuts[:-1]) if len(cuts) else []
+    # The same whatever task came first.
+    order = sorted(range(len(bags)), key=lambda i: (bags[i].tobytes(), toxic[i]))
+    return train([names[i] for i in place], [bags[i] for i in order], toxic[order], counts[1] / (counts[0] + counts[1]))
 
 
 class Scorer:
