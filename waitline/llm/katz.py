@@ -103,11 +103,14 @@ class Block:
 
     def __init__(self, docs: pa.Table):
         self.ids, self.train = docs["doc_id"].to_pylist(), np.array(docs["train"].to_pylist(), bool)
-        parts = []
+        parts, end = [], np.array([END], np.uint64)
         for text in docs["text"]:
-            parts += [word_hashes(text.as_py().encode("utf-8", "surrogatepass").lower().split()), np.array([END], np.uint64)]
+            parts += [word_hashes(text.as_py().encode("utf-8", "surrogatepass").lower().split()), end]
         self.length = np.array([len(p) + 1 for p in parts[::2]], np.int64)
-        self.words, self.token = np.unique(np.concatenate(parts), return_inverse=True)
+        tokens = np.concatenate(parts)
+        del parts
+        self.words, token = np.unique(tokens, return_inverse=True)
+        self.token = token.astype(np.int32)
         self.from_train = np.repeat(self.train, self.length)
 
     def asked(self, buckets: int):
@@ -125,10 +128,14 @@ class Block:
     def pair(self, total: int, begins: int, buckets: int) -> None:
         """Distinct bigrams, under group keys (history, and for a frequent one a salt from the word)."""
         n = len(self.words) + 1
-        history = np.concatenate([[n - 1], self.token[:-1]])
-        first = np.concatenate([[0], np.cumsum(self.length)[:-1]])
-        history[first] = n - 1
-        keys, self.bigram = np.unique(history * n + self.token, return_inverse=True)
+        number = np.empty(len(self.token), np.int64)
+        number[1:] = self.token[:-1]
+        number[np.concatenate([[0], np.cumsum(self.length)[:-1]])] = n - 1
+        number *= n
+        number += self.token
+        keys, bigram = np.unique(number, return_inverse=True)
+        self.bigram = bigram.astype(np.int32)
+        del number, bigram
         self.times = np.bincount(self.bigram, weights=self.from_train, minlength=len(keys)).astype(np.int64)
         self.h, self.w = keys // n, keys % n
         self.h_count = np.append(self.count, begins)
@@ -224,22 +231,24 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
 
     def answer_bigrams(key, held):
         asked = [unpack(x.as_py()) for x in held["payload"]]
-        groups = np.concatenate([a[0] for a in asked])
-        keys, group = np.unique(groups, return_inverse=True)
-        ends = np.cumsum([len(a[0]) for a in asked])
-        pairs = np.cumsum([len(a[4]) for a in asked])
-        of = np.concatenate([np.repeat(g, a[1]) for g, a in zip(np.split(group, ends[:-1]), asked)])
-        word = np.concatenate([from_planes(a[2])[a[4]] for a in asked])
-        n = np.concatenate([a[5] for a in asked])
-        order = np.lexsort((word, of))
-        new = np.ones(len(order), bool)
-        new[1:] = (of[order][1:] != of[order][:-1]) | (word[order][1:] != word[order][:-1])
-        at = np.empty(len(order), np.int64)
-        at[order] = np.cumsum(new) - 1
-        c = np.bincount(at, weights=n).astype(np.int64) if len(at) else np.zeros(0, np.int64)
-        first = order[new]
-        p = base.p(np.concatenate([a[3][a[4]] for a in asked])[first])
-        owner = of[first]
+        keys, group = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
+        words, word = np.unique(np.concatenate([from_planes(a[2]) for a in asked]), return_inverse=True)
+        count = np.zeros(len(words), np.int64)
+        count[word] = np.concatenate([a[3] for a in asked])
+        ends, word_ends, pairs = (np.cumsum([len(a[k]) if k != 2 else a[k].shape[1] for a in asked]) for k in (0, 2, 4))
+        # One number for a bigram: its group and word among those of this partition.
+        number = np.empty(pairs[-1], np.int64)
+        times = np.empty(pairs[-1], np.uint32)
+        for i, (a, g, w) in enumerate(zip(asked, np.split(group, ends[:-1]), np.split(word, word_ends[:-1]))):
+            part = slice(pairs[i] - len(a[4]), pairs[i])
+            number[part] = np.repeat(g, a[1]) * len(words) + w[a[4]]
+            times[part] = a[5]
+        del asked, a, word
+        found, at = np.unique(number, return_inverse=True)
+        del number
+        at = at.astype(np.int32)
+        c = np.bincount(at, weights=times, minlength=len(found)).astype(np.int64)
+        owner, p = found // len(words), base.p(count[found % len(words)]) if len(found) else np.zeros(0)
         low = np.stack([np.bincount(owner[c == r], minlength=len(keys)) for r in range(1, TOP + 1)], axis=1).astype(np.uint32)
         mass = np.bincount(owner[c > 0], weights=p[c > 0], minlength=len(keys))
         out = [message(block.as_py(), key[0].as_py(), pack(c[part].astype(np.uint32), low[g], mass[g]))
