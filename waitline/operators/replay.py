@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waitline.functions.clock import MINUTE_US, ceil_cell, cells, floor_cell, micros
+from waitline.functions.spread import by_work
 from waitline.params import Params
 
 SERVING, WAITING, FUTURE = 0, 1, 2
@@ -77,6 +78,7 @@ def staffing_sweep(metrics: DataFrame, timeline: DataFrame, p: Params = Params()
                 .groupBy("lab_id", "cell").agg(F.array_sort(F.collect_list("job")).alias("jobs")))
     rows = points.join(gathered, ["lab_id", "cell"], "left").withColumn("jobs", F.coalesce("jobs", F.expr(
         "cast(array() as array<struct<phase: int, place: bigint, id: string, arrive: double, service: double, accrued: double>>)")))
+    rows = by_work(rows, "lab_id", "cell")
     count = lambda test: F.size(F.filter("jobs", test))
     serving = count(lambda j: j["phase"] == SERVING)
     if p.on_overflow == "error":
