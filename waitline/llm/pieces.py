@@ -36,7 +36,7 @@ from waitline.sources.tables import stage
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
-MEMO = 500_000
+MEMO = 350_000
 UNITS, SHIFT = 1 << 20, 100
 SPACE = "▁"
 NONE = -np.inf
