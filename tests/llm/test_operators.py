@@ -298,6 +298,35 @@ def test_changed_licence_text_is_still_found(spark):
     assert [s.start for s in r.spans if s.label == "mit"][0] == 1
 
 
+def test_later_paragraphs_and_whole_licence_texts(spark):
+    """Each text as a whole, and a document that holds one later paragraph only, with a few words changed."""
+    rows, expected = [], {}
+    for label, name in licenses.WHOLE:
+        text = licenses.whole_text(name)
+        rows.append((len(rows), text, "s"))
+        expected[len(rows) - 1] = (label, len(licenses.scan_words(text)), 0)
+        part = [w.decode() for w in licenses.passages(text)[-2 if name in ("MIT", "BSD") else -1]]
+        rows.append((len(rows), " ".join(["intro", "words", "xyzzy", *part[:9], "oops", *part[9:], "plugh"]), "s"))
+        expected[len(rows) - 1] = (label, len(part), 3)
+    rows.append((len(rows), "We met on the river bank and the terms of the day were good for a walk to the house of the old man.", "s"))
+    got = {r.doc_id: r for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    for i, (label, n, start) in expected.items():
+        assert label in got[i].labels.split(","), (i, label, got[i].labels)
+        span = max((s for s in got[i].spans if s.label == label), key=lambda s: s.stop - s.start)
+        assert span.stop - span.start >= 0.9 * n and span.cover >= 0.9, (i, label, span)
+        assert span.start == start, (i, label, span)
+    assert got[len(rows) - 1].labels == "" and got[len(rows) - 1].score < licenses.COVER
+
+
+def test_shared_passages_give_the_label_of_the_longer_text(spark):
+    names = {"GPL-2": "gpl", "GPL-3": "gpl", "Apache-2.0": "apache-2.0", "MIT": "mit", "ISC": "isc", "CC0-1.0": "cc0", "EPL-1.0": "epl"}
+    notice = next(t for label, t in licenses.TEMPLATES if label == "agpl")
+    rows = [(0, notice, "s"), *((k + 1, licenses.whole_text(n), "s") for k, n in enumerate(names))]
+    got = {r.doc_id: r.labels for r in licenses.scan_licenses(table(spark, rows)).collect()}
+    # The fixed phrase "general public license" stands in the AGPL's name as well.
+    assert got == {0: "agpl,gpl"} | {k + 1: label for k, label in enumerate(names.values())}
+
+
 # Lines ---------------------------------------------------------------------------------------
 
 def test_boilerplate_lines_per_host(spark):
