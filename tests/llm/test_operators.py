@@ -97,6 +97,27 @@ def test_equal_texts_have_equal_fingerprints_and_estimates_follow_containment(sp
     assert sorted(set(s[1]) | set(s[2])) == s[1]
 
 
+def test_short_texts_are_found_in_a_long_one(spark):
+    """Also texts of one shingle or less, most of which have no hash under the threshold."""
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(40):
+        n = 1 + k % 12
+        rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(words[5 * k:5 * k + n]), "s")]
+    rows += [(80, "", "s"), (81, "something else entirely", "s"), (82, "", "s")]
+    got = {r.doc_id: r for r in fingerprint.edited_fingerprints(table(spark, rows)).collect()}
+    assert [got[i].near_next for i in range(1, 80)] == [1.0] * 79
+    assert got[81].near_next == got[82].near_next == 0 and got[80].near_next == 0
+    assert all(len(got[i].fingerprint) >= 16 for i in range(80)) and got[80].fingerprint == ""
+    F = fingerprint.F
+    pair = table(spark, [(k, f"{rows[2 * k + 1][1]}", "s") for k in range(40)]).select(
+        fingerprint.merge(fingerprint.sketch(F.col("text")), fingerprint.sketch(F.lit(rows[0][1]))).alias("m"))
+    whole = spark.range(1).select(fingerprint.sketch(F.lit(rows[0][1])).alias("m")).first().m
+    short = [k for k in range(40) if 1 + k % 12 >= fingerprint.SHINGLE]
+    merged = [r.m for r in pair.collect()]
+    assert all(merged[k] == whole for k in short)
+
+
 # Exact dedup ---------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("weak", [False, True])

@@ -3,10 +3,12 @@
 A document's sketch holds every distinct shingle hash in the lowest 1/fraction of the hash range.
 Sketches of unequal sizes stay comparable and merge by union, since each hash is kept or not by its
 own value; the containment of one document in another is the share of its kept hashes found there.
+Where one of two sketches holds a hash at most (short texts), all shingles of both texts are compared.
 
 Defined cases: a null text counts as empty and has an empty sketch; a text of fewer words than a
-shingle is one shingle; a text none of whose hashes lies under the threshold keeps its smallest one,
-so that short texts stay distinguishable; rows that repeat an id are ordered by text; a null id comes
+shingle is one shingle, and is sought in another text by shingles of its own width; the printed
+fingerprint of a text none of whose hashes lies under the threshold is its smallest one, so that short
+texts stay distinguishable (its sketch is empty); rows that repeat an id are ordered by text; a null id comes
 after all others in descending order; no rows give no rows; other columns are not read.
 """
 
@@ -21,25 +23,29 @@ from waitline.sources.tables import lookup
 SHINGLE, FRACTION = 5, 4
 
 
+def once(value: Column, use) -> Column:
+    """Name an intermediate value inside one expression, so that it is computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def shingles(words: Column, width: Column | int) -> Column:
+    """Hashes of all runs of width words; of all words if they are fewer."""
+    whole = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (width - 1)), lambda i: F.xxhash64(F.slice(words, i, width)))
+    return F.when(F.size(words) >= width, hashes).otherwise(whole)
+
+
 def sketch(text: Column, shingle: int = SHINGLE, fraction: int = FRACTION) -> Column:
     """Sorted distinct shingle hashes under the threshold, from the whole text."""
     limit = LOWEST + (1 << 64) // fraction
+    low = F.filter(once(word_array(text), lambda w: shingles(w, shingle)), lambda h: h < F.lit(limit))
+    return F.array_sort(F.array_distinct(low))
 
-    def kept(words: Column) -> Column:
-        whole = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-        hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (shingle - 1)),
-                             lambda i: F.xxhash64(F.slice(words, i, shingle)))
-        return F.when(F.size(words) >= shingle, hashes).otherwise(whole)
-
-    def thin(hashes: Column) -> Column:
-        low = F.filter(hashes, lambda h: h < F.lit(limit))
-        return F.when((F.size(low) > 0) | (F.size(hashes) == 0), low).otherwise(F.array(F.array_min(hashes)))
 
-    def once(value: Column, use) -> Column:
-        """Name an intermediate array inside one expression, so that it is computed once."""
-        return F.element_at(F.transform(F.array(value), use), 1)
-
-    return F.array_sort(F.array_distinct(once(once(word_array(text), kept), thin)))
+def printed(text: Column, kept: Column, shingle: int = SHINGLE) -> Column:
+    """The sketch of a text as its fingerprint: of an empty one, the text's smallest hash."""
+    smallest = F.array_min(once(word_array(text), lambda w: shingles(w, shingle)))
+    return as_text(F.when(F.size(kept) > 0, kept).otherwise(F.array_compact(F.array(smallest))))
 
 
 def as_text(hashes: Column) -> Column:
@@ -54,6 +60,19 @@ def containment(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when(least == 0, 0.0).otherwise(shared)
 
 
+def text_containment(text_a: Column, a: Column, text_b: Column, b: Column, shingle: int = SHINGLE) -> Column:
+    """Containment by the sketches a and b of two texts; by all shingles where a sketch holds one hash at most."""
+    def exact(w: Column) -> Column:
+        # Empty texts have no width; shingles() then gives no hash for them.
+        width = F.greatest(F.lit(1), F.least(F.lit(shingle), F.when(F.size(w["a"]) > 0, F.size(w["a"])), F.when(F.size(w["b"]) > 0, F.size(w["b"]))))
+        both = once(F.struct(w["a"].alias("a"), w["b"].alias("b"), width.alias("n")), lambda x: F.struct(
+            F.array_distinct(shingles(x["a"], x["n"])).alias("a"), F.array_distinct(shingles(x["b"], x["n"])).alias("b")))
+        return once(both, lambda x: containment(F.array_sort(x["a"]), F.array_sort(x["b"])))
+
+    words = F.struct(word_array(text_a).alias("a"), word_array(text_b).alias("b"))
+    return F.when(F.least(F.size(a), F.size(b)) <= 1, once(words, exact)).otherwise(containment(a, b))
+
+
 def merge(a: Column, b: Column) -> Column:
     """Sketch of both documents together."""
     return F.array_sort(F.array_union(a, b))
@@ -95,10 +114,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     n = F.length("text").cast("long")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (n - third).cast("int")), F.substring("next_text", F.lit(1), third))
-    both = with_next(docs).select("doc_id", n.alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+    both = with_next(docs).select("doc_id", "text", "next_text", n.alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
     both = both.withColumn("edited_sketch", sketch(F.col("edited")))
     return both.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"), as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        containment(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        containment(F.col("sketch"), F.col("next_sketch")).alias("near_next"))
+        printed(F.col("text"), F.col("sketch")).alias("fingerprint"),
+        printed(F.col("edited"), F.col("edited_sketch")).alias("edited_fingerprint"),
+        text_containment(F.col("text"), F.col("sketch"), F.col("edited"), F.col("edited_sketch")).alias("near_edited"),
+        text_containment(F.col("text"), F.col("sketch"), F.col("next_text"), F.col("next_sketch")).alias("near_next"))
