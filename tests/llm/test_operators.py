@@ -523,6 +523,27 @@ def test_overlapping_sources(spark):
     assert sum(r.taken for r in got) == pytest.approx(500, abs=2)  # both sources' sizes
 
 
+def test_more_sources_than_the_driver_takes(spark, monkeypatch):
+    """The same mix by joins; only patterns that share a source count as overlapping ones."""
+    F = mixing.F
+    df = table(spark, [(i, "w " * (1 + i * i % 37 * (20 if i % 40 == 3 else 1)), None if i % 40 == 7 else f"s{i % 40}") for i in range(400)])
+    lists = F.when(F.col("doc_id") % 40 == 5, F.array(F.lit("s5"), F.lit("s6"))).otherwise(F.array("source"))
+    for sources in (None, lists):
+        expected = Counter(mixing.mix(df, sources).collect())
+        monkeypatch.setattr(mixing, "NODES", 5)
+        assert Counter(mixing.mix(df, sources).collect()) == expected
+        monkeypatch.undo()
+    sizes = Counter()
+    for i, t, source in df.select("doc_id", "text", "source").collect():
+        sizes[source] += len(t.split())
+    goal = mixing.targets(list(sizes.items()))
+    assert any(goal[s] == 3 * n for s, n in sizes.items()) and any(goal[s] < n for s, n in sizes.items())
+    taken = Counter()
+    for r, in mixing.mix(df).join(df.select("doc_id", "source"), "doc_id").select(F.struct("source", "taken")).collect():
+        taken[r.source] += r.taken
+    assert taken == {s: round(goal[s]) for s in sizes}
+
+
 # Toxicity ------------------------------------------------------------------------------------
 
 def toxic_table(spark, n=400):

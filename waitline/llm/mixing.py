@@ -4,7 +4,8 @@ Documents are first added up by membership pattern (the set of sources that list
 network has one node per pattern and one per source: words run from patterns to source quotas, and each
 further repetition of a pattern costs more (0, 1, 3 a word), so repeats are used only where a quota needs
 them. The flow then says how many words each pattern gives to each source; documents are chosen for it in
-seeded order.
+seeded order. A pattern of one source that no other pattern lists needs no flow: it gives what the source's
+target asks for, by a join, for any number of sources. Only the other patterns come to the driver.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, last in order;
 rows that repeat an id are documents of their own with the same place in the seeded order (ties by text
@@ -18,13 +19,14 @@ from collections import deque
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waitline.llm.common import word_count
-from waitline.sources.tables import stage
+from waitline.llm.common import offsets, word_count
+from waitline.sources.tables import lookup, stage
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 COSTS = (0, 1, 3)
 SEED = 20
+#: At most so many patterns that overlap others, and so many sources whose targets are found on the driver.
 NODES = 20_000
 
 
@@ -50,6 +52,40 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, cap: int = CAP
     return out
 
 
+def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
+    """source, size, target and place (in order) of every row of sizes; the targets of `targets`, for any number of sources."""
+    spark = sizes.sparkSession
+    sizes = stage(sizes)
+    schema = "source string, size long, target double, place long"
+    few = sizes.limit(NODES + 1).collect()
+    if len(few) <= NODES:
+        goal = targets([(r["source"], r["size"]) for r in few], weights, cap)
+        order = sorted(few, key=lambda r: (r["source"] is None, r["source"] or ""))
+        return spark.createDataFrame([(r["source"], r["size"], goal[r["source"]], i) for i, r in enumerate(order)], schema)
+    by = F.col("source").asc_nulls_last()
+    parts = stage(sizes.repartitionByRange(by).withColumn("part", F.spark_partition_id()))
+    before = offsets(parts.groupBy("part").agg(F.count(F.lit(1)).alias("rows")), "part", "rows")
+    place = F.col("offset") + F.row_number().over(Window.partitionBy("part").orderBy(by)) - 1
+    rows = parts.join(F.broadcast(before), "part").withColumn("place", place.cast("long"))  # one row per partition
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    rows = stage(rows.select("source", "size", "place", weight.alias("weight")))
+    words, shares, n = rows.agg(F.sum("size"), F.sum("weight"), F.count(F.lit(1))).first()
+    # The level (left / total) only rises from round to round, so each round's full sources hold those of the last.
+    left, total, held = words, shares, 0
+    while True:
+        share = F.lit(float(left)) * F.col("weight") / F.lit(total)
+        full = share > cap * F.col("size")
+        cut, gone, count = rows.where(full).agg(F.sum("size"), F.sum("weight"), F.count(F.lit(1))).first()
+        if count == held:
+            break
+        if count == n:
+            full = F.lit(True)
+            break
+        left, total, held = words - cap * cut, shares - gone, count
+    goal = F.when(full, (cap * F.col("size")).cast("double")).otherwise(share)
+    return stage(rows.select("source", "size", goal.alias("target"), "place"))
+
+
 def min_cost_flow(supply: dict, quota: dict, members: dict, costs=COSTS) -> dict:
     """Words from each pattern to each source: {(pattern, source): words}.
 
@@ -103,8 +139,8 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, weight
     """doc_id, size, source_size, target, taken and copies of every document; with whole, also its row as struct `doc`.
 
     sources: array of the sources that list a document (default: its own one). source_size and target
-    are sums over these. Only one row per pattern comes to the driver: patterns are few next to
-    documents, and more than NODES of them are refused.
+    are sums over these. Patterns that share a source with another come to the driver, one row each, and
+    more than NODES of them are refused.
     """
     spark = docs.sparkSession
     listed = F.array_sort(F.array_distinct(F.array("source") if sources is None else sources))
@@ -113,24 +149,8 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, weight
         listed.alias("sources"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("rank"),
         F.xxhash64("text").alias("tie"), *([F.struct("*").alias("doc")] if whole else []))
     lean = stage(rows.drop("doc"))
-    found = lean.groupBy("sources").agg(F.sum("size").alias("words")).limit(NODES + 1).collect()
-    if len(found) > NODES:
-        raise ValueError(f"more than {NODES} membership patterns")
-    found = sorted(found, key=lambda r: str(r["sources"]))
-    size: dict = {}
-    for r in found:
-        for s in r["sources"]:
-            size[s] = size.get(s, 0) + r["words"]
-    goal = targets(list(size.items()), weights, cap)
-    flow = min_cost_flow({i: r["words"] for i, r in enumerate(found)}, {s: round(t) for s, t in goal.items()},
-                         {i: r["sources"] for i, r in enumerate(found)}, COSTS[:cap])
-    given = dict.fromkeys(range(len(found)), 0)
-    for (i, _), words in flow.items():
-        given[i] += words
-    plan = [(r["sources"], i, given[i] // r["words"] if r["words"] else 0, given[i] % r["words"] if r["words"] else 0,
-             sum(size[s] for s in r["sources"]), float(sum(goal[s] for s in r["sources"]))) for i, r in enumerate(found)]
-    schema = "of array<string>, pattern int, rounds long, rest long, source_size long, target double"
-    quota = F.broadcast(spark.createDataFrame(plan, schema))  # at most NODES rows
+    found = stage(lean.groupBy("sources").agg(F.sum("size").alias("words")))
+    quota = lookup(_plan(found, weights, cap))
     lean = lean.join(quota, F.col("sources").eqNullSafe(F.col("of")))
     outer = _edges(lean, F.shiftright("rank", 52), F.lit(0))
     # Inside the range where a pattern's rest runs out, the next 12 bits cut again.
@@ -140,6 +160,39 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, weight
     return _choose(base, inner)
 
 
+def _plan(found: DataFrame, weights, cap: int) -> DataFrame:
+    """Rounds and rest of every pattern, with the sizes and targets of its sources."""
+    spark = found.sparkSession
+    goals = source_targets(found.select(F.explode("sources").alias("source"), "words").groupBy("source").agg(
+        F.sum("words").alias("size")), weights, cap)
+    costs = COSTS[:cap]
+    many = F.coalesce(F.size("sources"), F.lit(0)) != 1
+    shared = lookup(found.where(many).select(F.explode("sources").alias("shared")).distinct())
+    single = found.where(~many).withColumn("source", F.element_at("sources", 1))
+    is_shared = F.col("source").eqNullSafe(F.col("shared"))
+    listed = F.col("source").eqNullSafe(F.col("of_source"))
+    alone = single.join(shared, is_shared, "left_anti").join(goals.withColumnRenamed("source", "of_source"), listed)
+    given = F.least(F.rint("target").cast("long"), F.lit(len(costs)) * F.col("words"))
+    alone = alone.withColumn("given", given).selectExpr(
+        "sources AS of", "place AS pattern", "if(words > 0, given div words, 0) AS rounds", "if(words > 0, given % words, 0) AS rest",
+        "size AS source_size", "target")
+
+    net = found.where(many).unionByName(single.join(shared, is_shared, "left_semi").drop("source")).limit(NODES + 1).collect()
+    if len(net) > NODES:
+        raise ValueError(f"more than {NODES} overlapping membership patterns")
+    net = sorted(net, key=lambda r: str(r["sources"]))
+    goal = {r["source"]: r for r in goals.join(shared, is_shared, "left_semi").collect()} if net else {}
+    members = {i: r["sources"] or [] for i, r in enumerate(net)}
+    flow = min_cost_flow({i: r["words"] for i, r in enumerate(net)}, {s: round(r["target"]) for s, r in goal.items()}, members, costs)
+    given = dict.fromkeys(members, 0)
+    for (i, _), words in flow.items():
+        given[i] += words
+    plan = [(r["sources"], -1 - i, given[i] // r["words"] if r["words"] else 0, given[i] % r["words"] if r["words"] else 0,
+             sum(goal[s]["size"] for s in members[i]), float(sum(goal[s]["target"] for s in members[i]))) for i, r in enumerate(net)]
+    schema = "of array<string>, pattern long, rounds long, rest long, source_size long, target double"
+    return alone.unionByName(spark.createDataFrame(plan, schema))
+
+
 def _edges(rows: DataFrame, bucket: Column, filled: Column) -> DataFrame:
     """Per pattern, the range of the seeded order in which its rest runs out, and the words before it."""
     sums = rows.groupBy("pattern", bucket.alias("bucket")).agg(
@@ -147,7 +200,7 @@ def _edges(rows: DataFrame, bucket: Column, filled: Column) -> DataFrame:
     upto = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.col("start") + F.coalesce(F.sum("words").over(upto), F.lit(0)))
     cut = sums.where("before < rest and before + words >= rest")
-    return F.broadcast(stage(cut.select("pattern", F.col("bucket").alias("edge"), F.col("before").alias("filled"))))
+    return lookup(cut.select("pattern", F.col("bucket").alias("edge"), F.col("before").alias("filled")))
 
 
 def _choose(rows: DataFrame, edges: DataFrame) -> DataFrame:
