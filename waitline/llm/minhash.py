@@ -8,7 +8,8 @@ entries, corrected for chance matches. Pairs that the estimate does not rule out
 Inside a band bucket nobody is compared with everybody. First each member meets the bucket's hub (chosen
 anew by hash in every band). Where a bucket still spans several components, members of different ones
 meet in a second pass, whose join confirms pairs in its condition. So a link is lost only if a pair shares
-no band (5e-5 at similarity 0.8).
+no band (5e-5 at similarity 0.8), or shares one and the estimate rules it out (1.4e-4; together 1.9e-4,
+for independent minima).
 
 Defined cases: a null text counts as empty; no words, no set: linked with nothing; fewer words than a
 shingle: the whole sequence is one; rows that repeat an id are one document with all their links; a null
