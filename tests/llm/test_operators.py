@@ -363,6 +363,12 @@ def test_boilerplate_lines_per_host(spark):
     assert by[22, "c.example", 0, 0, ""] == 1 and by[23, "", 0, 0, ""] == 1
 
 
+def test_a_host_of_two_pages_loses_its_menu(spark):
+    rows = [(k, f"http://two.example/{k}", f"<p>menu</p><p>own {k}</p><p>foot</p>") for k in range(2)] + [(2, "http://one.example", "<p>menu</p>")]
+    got = lines.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {(r.page_id, r.n_dropped, r.text) for r in got} == {(0, 2, "own 0"), (1, 2, "own 1"), (2, 0, "menu")}
+
+
 # Shards --------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000, 4097])

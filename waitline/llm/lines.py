@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from waitline.sources.tables import lookup
 
-RATIO, LEAST = 0.1, 3
+RATIO, LEAST = 0.1, 2  # a line on one page is never repeated
 
 
 def host(url: Column) -> Column:
