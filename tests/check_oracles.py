@@ -33,7 +33,7 @@ def canonical(df: pd.DataFrame) -> list[tuple]:
 
 
 def _cell(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "NULL"
     if isinstance(v, float):
         return f"{v:.6f}"
@@ -47,6 +47,9 @@ def compare(spark_df: pd.DataFrame, sql_df: pd.DataFrame) -> str:
         return f"columns differ: {sorted(set(spark_df.columns) ^ set(sql_df.columns))}"
     if len(spark_df) != len(sql_df):
         return f"rows differ: {len(spark_df)} vs {len(sql_df)}"
+    for c in sql_df.columns:  # whole numbers with nulls come as floating ones on one side
+        if pd.api.types.is_integer_dtype(sql_df[c]) and pd.api.types.is_float_dtype(spark_df[c]):
+            spark_df = spark_df.assign(**{c: spark_df[c].astype("Int64")})
     a, b = canonical(spark_df), canonical(sql_df)
     bad = [(x, y) for x, y in zip(a, b) if x != y]
     return f"{len(bad)} rows differ, first: {bad[0]}" if bad else "ok"
