@@ -89,7 +89,7 @@ def test_empty_tables(spark, tmp_path):
 def test_registered_queries():
     names = entry.queries()
     numbered = [m[1] for n in names if (m := re.match(r"op(\d+)_", n))]
-    assert "pipeline" in names and sorted(map(int, numbered)) == [*range(1, 11)]
+    assert "pipeline" in names and sorted(map(int, numbered)) == [*range(1, 14)]
     assert set(entry.oracle_sql()) <= set(names)
 
 

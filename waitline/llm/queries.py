@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waitline.llm import exact_dedup, fingerprint, katz, licenses, lines, minhash, mixing, pieces, shards, toxicity
+from waitline.llm import (exact_dedup, fill_middle, fingerprint, katz, licenses, lines, minhash, mixing, pieces, shards, spelling,
+                          token_counts, toxicity)
 from waitline.llm.common import remainder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +78,21 @@ def op3_katz(s, d):
 @query
 def op7_training_order(s, d):
     return shards.write_shards(table(s, d, "documents"))
+
+
+@query
+def op11_token_counts(s, d):
+    return token_counts.count_tokens(table(s, d, "documents"))
+
+
+@query
+def op12_fill_middle(s, d):
+    out = fill_middle.fill_middle(table(s, d, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                      digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+@query
+def op13_spelling(s, d):
+    return spelling.spelling_variants(table(s, d, "documents"))
