@@ -70,8 +70,35 @@ def test_edited_texts_and_next_documents(request, which):
         expected[i, len(t), hashlib.sha256(edited.encode()).hexdigest()] += 1
     got = fingerprint.edited_fingerprints(df).collect()
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in got) == expected
-    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
     assert all(len(r.fingerprint) % 16 == 0 for r in got)
+    # Likeness follows from the printed fingerprints; every kept hash is one of the text's shingles.
+    split = lambda h: [h[i:i + 16] for i in range(0, len(h), 16)]
+
+    def likeness(a, b):
+        a, b = split(a), split(b)
+        return 1.0 if a == b else len({*a} & {*b}) / min(len(a), len(b)) if a and b else 0.0
+
+    shown = {(r.doc_id, r.n_chars, r.fingerprint) for r in got}
+    for k, (i, t) in enumerate(rows):
+        following, third = rows[(k + 1) % len(rows)][1], len(t) // 3
+        sha = hashlib.sha256((t[:len(t) - third] + following[:third]).encode()).hexdigest()
+        mine = [r for r in got if (r.doc_id, r.n_chars, r.edited_sha256) == (i, len(t), sha)]
+        next_ids = {f for j, n, f in shown if j == rows[(k + 1) % len(rows)][0] and n == len(following)}
+        assert all(r.near_edited == pytest.approx(likeness(r.fingerprint, r.edited_fingerprint)) for r in mine)
+        assert all(any(r.near_next == pytest.approx(likeness(r.fingerprint, f)) for f in next_ids) for r in mine)
+
+
+def test_sketches_hold_the_shingles_under_the_threshold(spark, docs):
+    """Against shingles cut in Python and hashed one by one."""
+    F = fingerprint.F
+    rows = [t for _, t in texts_of(docs)]
+    cut = lambda t: [w for w in re.split("[\x20\x09-\x0d]+", t) if w]
+    pieces_ = [(n, w[i:i + 5] if len(w) >= 5 else w) for n, w in enumerate(map(cut, rows)) for i in range(max(1, len(w) - 4) if w else 0)]
+    hashed = spark.createDataFrame(pieces_, "n int, w array<string>").select("n", F.xxhash64("w").alias("h")).collect()
+    limit = -(1 << 63) + (1 << 64) // fingerprint.FRACTION
+    want = {n: sorted({r.h for r in hashed if r.n == n and r.h < limit}) for n in range(len(rows))}
+    got = spark.createDataFrame(list(enumerate(rows)), "n int, text string").select("n", fingerprint.sketch(F.col("text")).alias("k"))
+    assert {r.n: r.k for r in got.collect()} == want
 
 
 @pytest.mark.parametrize("clusters", [False, True])
@@ -106,8 +133,9 @@ def test_short_texts_are_found_in_a_long_one(spark):
         rows += [(2 * k, " ".join(words), "s"), (2 * k + 1, " ".join(words[5 * k:5 * k + n]), "s")]
     rows += [(80, "", "s"), (81, "something else entirely", "s"), (82, "", "s")]
     got = {r.doc_id: r for r in fingerprint.edited_fingerprints(table(spark, rows)).collect()}
-    assert [got[i].near_next for i in range(1, 80)] == [1.0] * 79
-    assert got[81].near_next == got[82].near_next == 0 and got[80].near_next == 0
+    assert all(got[i].exact_next == 1.0 for i in range(1, 80) if got[i].exact_next is not None or got[i].near_next < 1)
+    assert sum(got[i].exact_next is not None for i in range(1, 80)) > 40
+    assert got[81].exact_next == got[82].exact_next == 0 and got[80].exact_next == 0
     assert all(len(got[i].fingerprint) >= 16 for i in range(80)) and got[80].fingerprint == ""
     F = fingerprint.F
     pair = table(spark, [(k, f"{rows[2 * k + 1][1]}", "s") for k in range(40)]).select(
@@ -580,6 +608,79 @@ def test_insults_are_found_also_with_gaps(spark):
     assert all(0 <= r.score <= 1 for r in got.values()) and got[5].score == got[6].score == 0
 
 
+def test_insults_in_other_scripts(spark):
+    """Letters outside ASCII are told apart."""
+    rng = np.random.default_rng(1)
+    word = lambda: "".join(rng.choice(["ма", "ло", "ри", "те", "нку", "со"], rng.integers(1, 4)))
+    rows = [(i, " ".join([word() for _ in range(20)] + (["дурбень"] if i % 4 == 0 else [])), "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.fit(table(spark, rows).where("doc_id < 300"), labels)
+    extra = [(1000, "мало рите дур-бень", "s"), (1001, "мало рите нкусо", "s"), (1002, "аааааа мммм", "s")]
+    got = {r.doc_id: r.predicted for r in toxicity.score_texts(table(spark, rows + extra), model).collect()}
+    assert all(got[i] == int(i % 4 == 0) for i in range(300, 400))
+    assert (got[1000], got[1001], got[1002]) == (1, 0, 0)
+
+
+def test_rows_are_rejected_by_their_own_text(spark):
+    """Rows without an id, or with one that other rows share, and whole rows that repeat."""
+    rows, labels = toxic_table(spark)
+    clean, toxic = "tari molensu kaper", "tari grobzak kaper"
+    extra = [(None, toxic, "s"), (None, clean, "s"), (6000, toxic, "s"), (6000, clean, "s"), (6001, clean, "s"), (6001, clean, "s"), (None, None, None)]
+    df = table(spark, rows + extra)
+    kept = toxicity.reject(df, labels)
+    assert kept.columns == df.columns
+    left = [(r.doc_id, r.text) for r in kept.collect() if r.doc_id is None or r.doc_id >= 6000]
+    assert sorted(left, key=str) == sorted([(None, clean), (6000, clean), (6001, clean), (6001, clean), (None, None)], key=str)
+    scores = {(r.doc_id, r.predicted) for r in toxicity.score_texts(df, toxicity.fit(df, labels)).collect() if r.doc_id == 6000}
+    assert scores == {(6000, 0), (6000, 1)}
+
+
+def test_pairs_with_and_without_the_insult_are_both_learnt(spark):
+    """Near copies are passed over within one label only."""
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(["ta", "ri", "mo", "len", "su", "ka", "per", "di"], rng.integers(2, 5)))
+    base = [" ".join(word() for _ in range(25)) for _ in range(100)]
+    rows = [(2 * i, t, "s") for i, t in enumerate(base)] + [(2 * i + 1, t + " grobzak", "s") for i, t in enumerate(base)]
+    words = sorted({w for _, t, _ in rows for w in t.split()})
+    bags = [np.array(sorted(words.index(w) for w in {*t.split()})) for _, t, _ in rows]
+    hashes = np.array([toxicity.hash_of(w) for w in words], np.uint64)
+    kept = toxicity.distinct(bags, hashes, np.array([k % 2 for k, _, _ in rows]))
+    assert sum(rows[i][0] % 2 for i in kept) > 90 and sum(1 - rows[i][0] % 2 for i in kept) > 90
+    assert len(toxicity.distinct(bags + bags, hashes, np.array([k % 2 for k, _, _ in rows] * 2))) == len(kept)
+    labels = spark.createDataFrame([(k, k % 2) for k, _, _ in rows], "doc_id long, toxic int")
+    df = table(spark, rows)
+    got = {r.doc_id: r.predicted for r in toxicity.score_texts(df, toxicity.fit(df, labels)).collect()}
+    assert all(got[k] == k % 2 for k, _, _ in rows)
+
+
+def test_scores_against_a_plain_restatement(spark):
+    """The score of a text is the logistic of its most toxic word, summed subsequence by subsequence."""
+    rows, labels = toxic_table(spark)
+    df = table(spark, rows)
+    model = toxicity.fit(df, labels)
+    values = dict(zip(model.keys.tolist(), model.values.tolist()))
+    symbol = lambda c: ord(c) - 96 if c.islower() else 27 + int(c)
+
+    def word_score(w):
+        s = [toxicity.OPEN, *map(symbol, w), toxicity.CLOSE]
+        total = sum(toxicity.DECAY ** (k - i + 1) * values.get((s[i] * 128 + s[j]) * 128 + s[k], 0.0)
+                    for i in range(len(s)) for j in range(i + 1, len(s)) for k in range(j + 1, min(len(s), i + toxicity.SPAN)))
+        return total / _norm(w) + model.bias
+
+    got = {r.doc_id: r.score for r in toxicity.score_texts(df, model).collect()}
+    for key, text, _ in rows[:60]:
+        top = max(word_score(w) for w in text.split())
+        assert got[key] == pytest.approx(1 / (1 + math.exp(-(model.slope * top + model.shift))), abs=1e-6)
+
+
+def test_labels_that_no_word_tells_apart_give_no_model(spark):
+    df = table(spark, [(i, "the same words", "s") for i in range(20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    with pytest.warns(UserWarning, match="every score is 0"):
+        assert toxicity.fit(df, labels) is None
+    assert toxicity.reject(df, labels).count() == 20
+
+
 def test_kernel_table_equals_subsequence_sums():
     x, z = "grobzak", "grobxzak"
     weights = lambda s: Counter({u: 0.0 for u in ()}) if not s else _subsequences(s)
