@@ -3,12 +3,14 @@
 A document's sketch holds every distinct shingle hash in the lowest 1/fraction of the hash range.
 Sketches of unequal sizes stay comparable and merge by union, since each hash is kept or not by its
 own value; the containment of one document in another is the share of its kept hashes found there.
-Where one of two sketches holds a hash at most (short texts), all shingles of both texts are compared.
+A sketch of one hash at most (short texts) says little; the exact containment of such texts by all shingles
+is a column of its own.
 
 Defined cases: a null text counts as empty and has an empty sketch; a text of fewer words than a
 shingle is one shingle, and is sought in another text by shingles of its own width; the printed
 fingerprint of a text none of whose hashes lies under the threshold is its smallest one, so that short
-texts stay distinguishable (its sketch is empty); rows that repeat an id are ordered by text; a null id comes
+texts stay distinguishable (its sketch is empty); a very long text is hashed whole, in memory
+of some ten times its size; rows that repeat an id are ordered by text; a null id comes
 after all others in descending order; no rows give no rows; other columns are not read.
 """
 
@@ -43,9 +45,12 @@ def sketch(text: Column, shingle: int = SHINGLE, fraction: int = FRACTION) -> Co
 
 
 def printed(text: Column, kept: Column, shingle: int = SHINGLE) -> Column:
-    """The sketch of a text as its fingerprint: of an empty one, the text's smallest hash."""
+    """The hashes a fingerprint shows: the sketch or, of an empty one, the text's smallest hash.
+
+    That hash lies above the threshold, so it is in no sketch and meets its equal only.
+    """
     smallest = F.array_min(once(word_array(text), lambda w: shingles(w, shingle)))
-    return as_text(F.when(F.size(kept) > 0, kept).otherwise(F.array_compact(F.array(smallest))))
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array_compact(F.array(smallest)))
 
 
 def as_text(hashes: Column) -> Column:
@@ -61,7 +66,7 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def text_containment(text_a: Column, a: Column, text_b: Column, b: Column, shingle: int = SHINGLE) -> Column:
-    """Containment by the sketches a and b of two texts; by all shingles where a sketch holds one hash at most."""
+    """Containment by all shingles of two texts where one of their sketches a and b holds one hash at most, else null."""
     def exact(w: Column) -> Column:
         # Empty texts have no width; shingles() then gives no hash for them.
         width = F.greatest(F.lit(1), F.least(F.lit(shingle), F.when(F.size(w["a"]) > 0, F.size(w["a"])), F.when(F.size(w["b"]) > 0, F.size(w["b"]))))
@@ -70,7 +75,7 @@ def text_containment(text_a: Column, a: Column, text_b: Column, b: Column, shing
         return once(both, lambda x: containment(F.array_sort(x["a"]), F.array_sort(x["b"])))
 
     words = F.struct(word_array(text_a).alias("a"), word_array(text_b).alias("b"))
-    return F.when(F.least(F.size(a), F.size(b)) <= 1, once(words, exact)).otherwise(containment(a, b))
+    return F.when(F.least(F.size(a), F.size(b)) <= 1, once(words, exact))
 
 
 def merge(a: Column, b: Column) -> Column:
@@ -110,15 +115,23 @@ def with_next(docs: DataFrame, per_block: int = 2048) -> DataFrame:
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprint of each document and of its text with the last third replaced by the next document's beginning."""
+    """Fingerprint of each document and of its text with the last third replaced by the next document's beginning.
+
+    near_edited and near_next follow from the fingerprints alone. exact_edited and exact_next are the containment by
+    all shingles where a sketch is too small to tell (one hash at most), else null.
+    """
     n = F.length("text").cast("long")
     third = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (n - third).cast("int")), F.substring("next_text", F.lit(1), third))
     both = with_next(docs).select("doc_id", "text", "next_text", n.alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
     both = both.withColumn("edited_sketch", sketch(F.col("edited")))
-    return both.select(
+    shown = both.select(
+        "*", printed(F.col("text"), F.col("sketch")).alias("shown"), printed(F.col("edited"), F.col("edited_sketch")).alias("shown_edited"),
+        printed(F.col("next_text"), F.col("next_sketch")).alias("shown_next"))
+    return shown.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        printed(F.col("text"), F.col("sketch")).alias("fingerprint"),
-        printed(F.col("edited"), F.col("edited_sketch")).alias("edited_fingerprint"),
-        text_containment(F.col("text"), F.col("sketch"), F.col("edited"), F.col("edited_sketch")).alias("near_edited"),
-        text_containment(F.col("text"), F.col("sketch"), F.col("next_text"), F.col("next_sketch")).alias("near_next"))
+        as_text(F.col("shown")).alias("fingerprint"), as_text(F.col("shown_edited")).alias("edited_fingerprint"),
+        containment(F.col("shown"), F.col("shown_edited")).alias("near_edited"),
+        containment(F.col("shown"), F.col("shown_next")).alias("near_next"),
+        text_containment(F.col("text"), F.col("sketch"), F.col("edited"), F.col("edited_sketch")).alias("exact_edited"),
+        text_containment(F.col("text"), F.col("sketch"), F.col("next_text"), F.col("next_sketch")).alias("exact_next"))
