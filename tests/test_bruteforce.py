@@ -11,7 +11,7 @@ from waitline.functions.ranks import wait_scorecard
 from waitline.functions.spread import running
 from waitline.operators import counterfactual, forecast, gold, grid, lifecycle, policy, replay, windows
 from waitline.params import Params
-from waitline.sources.tables import current
+from waitline.sources import versions
 
 P = Params(staff_count=1, max_additional_staff=3, on_overflow="queue")
 
@@ -176,9 +176,11 @@ def test_gold_tables_are_refreshed_and_read_back(spark, tmp_path, rows):
     root = str(tmp_path)
     lifecycles = visit_frame(spark, rows)
     open_ = lifecycles.limit(9).withColumn("departure_time", F.lit(None).cast("timestamp")).withColumn("patient_id", F.concat("patient_id", F.lit("x")))
-    for n, given in ((1, lifecycles.limit(40)), (2, lifecycles.unionByName(open_))):
-        gold.refresh_tables(spark, given, root, P)
-        stored = {name: current(spark, f"{root}/{name}") for name in gold.NAMES}
+    assert gold.refresh_tables(spark, lifecycles.limit(40), root, P) == 0
+    assert gold.refresh_tables(spark, lifecycles.unionByName(open_), root, P) == 1
+    with gold.snapshot(spark, root) as tables:
+        stored = {name: df.cache() for name, df in tables.items()}
+        assert all(df.count() > 0 for df in stored.values())
     m = lifecycle.patient_metrics(lifecycles, P)
     om, qs = windows.operational_metrics(m, P), grid.queue_snapshots(m, P)
     state = windows.operational_state(om, qs)
@@ -188,6 +190,26 @@ def test_gold_tables_are_refreshed_and_read_back(spark, tmp_path, rows):
     assert stored["patient_metrics"].count() == len(rows)
 
 
+def test_a_reader_keeps_its_version_while_the_tables_are_refreshed(spark, tmp_path, rows):
+    """All tables of a snapshot are of one version; files that nobody needs go, so ten refreshes take the place of two."""
+    root = str(tmp_path)
+    lifecycles = visit_frame(spark, rows)
+    size = lambda: sum(f.stat().st_size for f in tmp_path.rglob("*.parquet"))
+    few = lifecycles.where("patient_id < 'P0020'")
+    gold.refresh_tables(spark, few, root, P)
+    one = size()
+    with gold.snapshot(spark, root) as tables:
+        for _ in range(4):
+            gold.refresh_tables(spark, lifecycles, root, P, keep=1)
+        assert tables["patient_metrics"].count() == few.count()
+        arrived = tables["operational_metrics"].agg(F.sum("patients_arrived")).first()[0]
+        assert arrived == few.count() and tables["staffing_decisions"].count() == tables["operational_state"].count()
+    for _ in range(5):
+        gold.refresh_tables(spark, few, root, P, keep=2)
+    assert versions.versions(spark, root) == [8, 9] and size() < 3 * one
+    assert not list((tmp_path / versions.LEASES).glob("*.json"))
+
+
 def test_recorded_order_decides_offline_twin(spark):
     schema = "patient_id string, lab_id string, event_type string, event_time timestamp, seq int"
     kinds = ["PATIENT_ARRIVAL", "REGISTRATION_COMPLETED", "QUEUE_ENTERED", "SERVICE_STARTED", "SERVICE_COMPLETED", "PATIENT_DEPARTED"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waitline.operators import ingest, lifecycle, policy, windows
 from waitline.params import Params
-from waitline.sources import tables
+from waitline.sources import tables, topic, versions
 from waitline.sources.events import RECORD_SCHEMA, bronze_records, publish, publishable, read_record_stream, topic_options
 from waitline.streaming import jobs
 from waitline.streaming.hold import hold_policy_stream
@@ -42,7 +42,7 @@ def run_silver(spark, root):
 
 
 def silver_rows(spark, root):
-    return spark.read.schema(jobs.SILVER_SCHEMA).parquet(f"{root}/silver")
+    return jobs.silver_table(spark, root)
 
 
 @pytest.fixture
@@ -55,7 +55,7 @@ def test_quarantine_reasons(spark, root):
              event("e4", 3, lab=None), event("e5", 4).replace("2024-01-01T", "x"), "[]"]
     write_batch(spark, root, 0, texts)
     run_silver(spark, root)
-    got = {r.offset: r.quarantine_reason for r in spark.read.parquet(f"{root}/quarantine").collect()}
+    got = {r.offset: r.quarantine_reason for r in jobs.quarantine_table(spark, root).collect()}
     assert got == {1: "MALFORMED_JSON", 2: "MALFORMED_JSON", 3: "MISSING_EVENT_ID", 4: "MISSING_EVENT_ID", 5: "MISSING_PATIENT_ID",
                    6: "MISSING_EVENT_TYPE", 7: "MISSING_LAB_ID", 8: "MISSING_EVENT_TIME", 9: "MISSING_EVENT_ID"}
     assert [r.event_id for r in silver_rows(spark, root).collect()] == ["e1"]
@@ -95,9 +95,13 @@ def test_copies_in_one_batch_and_a_batch_run_again(spark, root):
     run_silver(spark, root)
     first = silver_rows(spark, root).collect()
     assert sorted((r.event_id, r.offset) for r in first) == [("a", 0), ("b", 2)]
-    bronze = spark.read.schema(jobs.BRONZE_SCHEMA).parquet(f"{root}/bronze")
-    events = ingest.with_lag(ingest.accepted(ingest.parse(bronze)), P)
-    assert jobs.new_events(events, root, 0, P).count() == 2 and jobs.new_events(events, root, 1, P).count() == 0
+    from waitline.sources import versions
+
+    assert not versions.append(silver_rows(spark, root), f"{root}/silver", 0)
+    assert silver_rows(spark, root).collect() == first
+    write_batch(spark, root, 1, [event("a", 0), event("b", 2)])
+    run_silver(spark, root)
+    assert silver_rows(spark, root).collect() == first, "stored before"
 
 
 def test_one_read_of_the_source_and_a_failing_sink(spark, root):
@@ -131,7 +135,7 @@ def test_lateness_is_strict(spark):
 def test_windows_close_after_the_watermark(spark, root):
     write_batch(spark, root, 0, [event("a", 1), event("b", 2, kind="SERVICE_STARTED"), event("c", 7)], ingested=10)
     run_silver(spark, root)
-    follow = lambda: drain(jobs.window_count_job(jobs.table_stream(spark, f"{root}/silver", jobs.SILVER_SCHEMA), root, P, drain=True))
+    follow = lambda: drain(jobs.window_count_job(jobs.follow_silver(spark, root), root, P, drain=True))
     follow()
     assert spark.read.schema("lab_id string").parquet(f"{root}/window_counts").count() == 0
     write_batch(spark, root, 1, [event("d", 4), event("e", 37)], ingested=37)
@@ -160,8 +164,6 @@ def test_lifecycle_upserts(spark, root):
     r = before["P1"]
     assert (r.arrival_time, r.queue_entry_time, r.service_start_time) == (at(5), at(12), at(20))
     assert (r.patient_type, r.staff_id, r.departure_time) == ("WALK_IN", "S1", None) and before["P2"].arrival_time == at(1)
-    jobs.compact_lifecycles(spark, f"{root}/state", 1)
-    assert read() == before
     store(silver(2, event("e", 30, kind="SERVICE_COMPLETED"), event("f", 31, kind="PATIENT_DEPARTED")), 2)
     done = lifecycle.finished(jobs.read_lifecycles(spark, f"{root}/state")).collect()
     assert [(x.patient_id, x.arrival_time, x.departure_time) for x in done] == [("P1", at(5), at(31))]
@@ -174,8 +176,7 @@ def test_lifecycle_stream_matches_batch(spark, root):
                                [event("d", 12, kind="SERVICE_COMPLETED"), event("x", 3, patient="P9")]]):
         write_batch(spark, root, n, texts)
         run_silver(spark, root)
-    stream = jobs.table_stream(spark, f"{root}/silver", jobs.SILVER_SCHEMA, files_per_batch=1)
-    drain(jobs.lifecycle_job(stream, f"{root}/state", f"{root}/checkpoints/state", drain=True))
+        drain(jobs.lifecycle_job(jobs.follow_silver(spark, root), f"{root}/state", f"{root}/checkpoints/state", drain=True))
     got = jobs.read_lifecycles(spark, f"{root}/state").orderBy("patient_id").collect()
     assert got == lifecycle.lifecycle_state(silver_rows(spark, root)).select(*got[0].__fields__).orderBy("patient_id").collect()
 
@@ -248,3 +249,155 @@ def test_refresh_survives_a_lost_marker_and_a_half_written_version(spark, root):
     assert tables.current(spark, t).count() == 5
     assert tables.refresh(spark.range(6), t).endswith("v000005") and tables.current(spark, t).count() == 6
     assert old.count() == 3, "a reader of an older version keeps its files"
+
+
+# Committed versions --------------------------------------------------------------------------
+
+def test_a_follower_sees_committed_batches_only(spark, root, monkeypatch):
+    """A batch that fails between its two sinks and runs again, while a second stream follows silver."""
+    follow = lambda: drain(jobs.append(jobs.follow_silver(spark, root), f"{root}/copy", f"{root}/checkpoints/copy", drain=True))
+    write_batch(spark, root, 0, [event("a", 0), "broken"])
+    run_silver(spark, root)
+    follow()
+    write_batch(spark, root, 1, [event("b", 1), event("c", 2), "broken"])
+    real = versions.append
+
+    def fails(df, folder, version):
+        if folder.endswith("/silver"):  # what was written before the failure stays behind
+            df.write.parquet(f"{folder}/{versions.attempt(version)}")
+            raise OSError("no room")
+        return real(df, folder, version)
+
+    monkeypatch.setattr(versions, "append", fails)
+    with pytest.raises(Exception):
+        run_silver(spark, root)
+    monkeypatch.undo()
+    follow()
+    copied = lambda: sorted(r.event_id for r in spark.read.schema(jobs.SILVER_SCHEMA).parquet(f"{root}/copy").collect())
+    assert copied() == ["a"] and {r.event_id for r in silver_rows(spark, root).collect()} == {"a"}
+    run_silver(spark, root)
+    follow()
+    assert copied() == ["a", "b", "c"] and jobs.quarantine_table(spark, root).count() == 2
+    assert sorted(map(str, silver_rows(spark, root).collect())) == sorted(map(str, spark.read.schema(jobs.SILVER_SCHEMA).parquet(f"{root}/copy").collect()))
+
+
+def test_a_version_is_committed_once(spark, root):
+    assert versions.append(spark.range(3), root, 0) and not versions.append(spark.range(5), root, 0)
+    assert versions.append(spark.range(0), root, 1) and versions.latest(spark, root) == 1
+    assert not versions.commit(spark, root, 1, {"folder": "data/other"})
+    assert versions.read(spark, root, "id long").count() == 3
+    assert versions.read(spark, f"{root}/none", "id long").count() == 0
+
+
+def test_batches_cost_what_they_hold(spark, root):
+    """Ids are kept as state: stored silver is not read, even if it is out of reach."""
+    import os
+
+    for n in range(6):
+        write_batch(spark, root, n, [event(f"e{n}", n), event("same", n), event(f"e{max(0, n - 1)}", n)])
+    stream = jobs.table_stream(spark, f"{root}/bronze", jobs.BRONZE_SCHEMA, files_per_batch=1)
+    batches = [b for b in drain(jobs.silver_job(stream, root, P, drain=True)) if b["numInputRows"]]
+    assert [b["numInputRows"] for b in batches] == [3] * 6
+    assert [b["stateOperators"][0]["numRowsUpdated"] for b in batches] == [2, 1, 1, 1, 1, 1], "only new ids change the state"
+    os.rename(f"{root}/silver/data", f"{root}/silver/away")
+    write_batch(spark, root, 6, [event("same", 6), event("e3", 6), event("new", 6)])
+    run_silver(spark, root)
+    os.rename(f"{root}/silver/data", f"{root}/silver/last")
+    os.rename(f"{root}/silver/away", f"{root}/silver/data")
+    for name in os.listdir(f"{root}/silver/last"):
+        os.rename(f"{root}/silver/last/{name}", f"{root}/silver/data/{name}")
+    assert sorted(r.event_id for r in silver_rows(spark, root).collect()) == ["e0", "e1", "e2", "e3", "e4", "e5", "new", "same"]
+
+
+def test_the_record_read_first_stays_whatever_file_brought_it(spark, root):
+    rows = [("t", i % 3, i, at(20 - i % 7), "k", event(f"e{i % 10}", i % 5), at(30)) for i in range(200)]
+    spark.createDataFrame(rows, jobs.BRONZE_SCHEMA).repartition(8).write.parquet(f"{root}/bronze")
+    run_silver(spark, root)
+    want = {}
+    for r in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        want.setdefault(json.loads(r[5])["event_id"], r[2])
+    assert {r.event_id: r.offset for r in silver_rows(spark, root).collect()} == want
+
+
+def test_counts_of_each_micro_batch(spark, root):
+    """By a listener: read, rejected, late, repeated, dropped and stored add up."""
+    import time
+
+    counts = jobs.BatchCounts(spark, f"{root}/counts")
+    spark.streams.addListener(counts)
+    try:
+        write_batch(spark, root, 0, [event("a", 0), event("b", 20), event("b", 21), "broken", None], ingested=20)
+        progress = run_silver(spark, root)
+        write_batch(spark, root, 1, [event("a", 0), event("c", 80)], ingested=80)
+        progress += run_silver(spark, root)
+        write_batch(spark, root, 2, [event("f", 20), event("g", 79), ""], ingested=81)
+        progress += run_silver(spark, root)
+        for _ in range(100):
+            if jobs.counts_table(spark, f"{root}/counts").count() == 3:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counts)
+    for p in progress:
+        counts.record(p)  # again: counted once
+    got = [tuple(r)[1:] for r in jobs.counts_table(spark, f"{root}/counts").orderBy("batch_id").collect()]
+    #       records, accepted, rejected, late, repeated, dropped, stored
+    assert got == [(5, 3, 2, 1, 1, 0, 2), (2, 2, 0, 1, 1, 0, 1), (3, 2, 1, 1, 0, 1, 1)]
+
+
+def test_lifecycle_buckets(spark, root):
+    """A batch writes the buckets it touches; a read takes one folder per bucket, whatever came before; old files go."""
+    def silver(number, *events):
+        write_batch(spark, f"{root}/{number}", 0, list(events))
+        return ingest.with_lag(ingest.accepted(ingest.parse(spark.read.parquet(f"{root}/{number}/bronze"))))
+
+    store = jobs.upsert(f"{root}/state", buckets=8)
+    store(silver(0, *[event(f"a{i}", i, patient=f"P{i}") for i in range(60)]), 0)
+    first = versions.note(spark, f"{root}/state", 0)["folders"]
+    assert len(first) == 8
+    for n in range(1, 12):
+        store(silver(n, event(f"b{n}", 100 + n, kind="QUEUE_ENTERED", patient="P7")), n)
+    last = versions.note(spark, f"{root}/state", 11)["folders"]
+    assert sum(first[b] != last[b] for b in first) == 1 and len(last) == 8
+    assert versions.versions(spark, f"{root}/state") == [10, 11]
+    got = {r.patient_id: r for r in jobs.read_lifecycles(spark, f"{root}/state").collect()}
+    assert len(got) == 60 and got["P7"].queue_entry_time == at(111) and got["P7"].arrival_time == at(7)
+    import glob
+
+    assert len(glob.glob(f"{root}/state/data/*/bucket=*")) == 9, "eight in use and the one before the last batch"
+
+
+# Topic of segments ---------------------------------------------------------------------------
+
+def topic_rows(low, high):
+    return [(f"k{i}".encode(), event(f"e{i}", i % 60).encode(), "t", i % 2, i, at(i % 60)) for i in range(low, high)]
+
+
+def read_topic(spark, root, name, **options):
+    stream = topic.read_segments(spark, f"{root}/topic", **options)
+    drain(jobs.bronze_job(stream, f"{root}/{name}", drain=True))
+    return sorted(r.offset for r in spark.read.schema(jobs.BRONZE_SCHEMA).parquet(f"{root}/{name}/bronze").collect())
+
+
+def test_topic_positions(spark, root):
+    assert topic.publish_segments(spark.createDataFrame(topic_rows(0, 50), RECORD_SCHEMA), f"{root}/topic", 0, 10)
+    assert not topic.publish_segments(spark.createDataFrame(topic_rows(0, 50), RECORD_SCHEMA), f"{root}/topic", 0, 10)
+    assert read_topic(spark, root, "a") == [*range(50)]
+    assert read_topic(spark, root, "b", starting='{"0": 20, "1": 41}') == sorted([*range(20, 50, 2), *range(41, 50, 2)])
+    assert read_topic(spark, root, "c", starting="latest") == []
+    topic.publish_segments(spark.createDataFrame(topic_rows(50, 65), RECORD_SCHEMA), f"{root}/topic", 1, 10)
+    assert read_topic(spark, root, "a") == [*range(65)], "only what is new is read again"
+    assert read_topic(spark, root, "c", starting="latest") == [*range(50, 65)]
+    run_silver(spark, f"{root}/a")
+    assert silver_rows(spark, f"{root}/a").count() == 65
+
+
+def test_lost_segments(spark, root):
+    import shutil
+
+    topic.publish_segments(spark.createDataFrame(topic_rows(0, 40), RECORD_SCHEMA), f"{root}/topic", 0, 10)
+    gone = next(s for s in versions.note(spark, f"{root}/topic", 0)["segments"] if s["partition"] == 1 and s["first"] == 11)
+    shutil.rmtree(f"{root}/topic/{gone['folder']}")
+    with pytest.raises(Exception, match="partition 1 are gone"):
+        read_topic(spark, root, "strict", fail_on_data_loss=True)
+    assert read_topic(spark, root, "lenient") == [i for i in range(40) if not (i % 2 and 10 <= i < 20)]

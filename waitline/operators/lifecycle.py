@@ -22,6 +22,12 @@ def lifecycle_state(events: DataFrame, *extra_keys: str) -> DataFrame:
     return events.groupBy(*KEYS, *extra_keys).agg(*times, *[F.max(a).alias(a) for a in ATTRIBUTES])
 
 
+def merge_into(old: DataFrame, new: DataFrame) -> DataFrame:
+    """One row per key of either side: for every column the new value, or the old one where that is missing."""
+    was = old.select(*KEYS, *[F.col(c).alias(f"_{c}") for c in STATE_COLUMNS])
+    return new.join(was, [*KEYS], "full").select(*KEYS, *[F.coalesce(c, f"_{c}").alias(c) for c in STATE_COLUMNS])
+
+
 def merge_states(states: DataFrame, version: str = "batch_id") -> DataFrame:
     """Fold per-batch states: for every column the newest batch holding a value wins."""
     newest = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(version))).alias(c)

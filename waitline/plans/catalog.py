@@ -14,9 +14,10 @@ from waitline.functions.clock import micros
 from waitline.operators import comparison, counterfactual, forecast, gold, grid, ingest, lifecycle, policy, replay, windows
 from waitline.params import Params
 from waitline.plans import streams
+from waitline.sources import versions
 from waitline.sources.events import bronze_records, publishable
 from waitline.sources.session import ship_package
-from waitline.sources.tables import head, stage
+from waitline.sources.tables import discard_later, head, stage, workspace
 from waitline.sources.visits import visit_events, visit_records, visits
 
 # One station per lab, so that queues build up on the test tables; the visit view does not
@@ -148,6 +149,13 @@ def published(s, d):
     return publishable(e)
 
 
+def topic_records(s, d):
+    number = F.regexp_extract("key", "^P([0-9]+)_", 1).cast("long")
+    return published(s, d).select(
+        F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("visits").alias("topic"),
+        (number % 4).cast("int").alias("partition"), number.alias("offset"), F.timestamp_seconds(number).alias("timestamp"))
+
+
 @query
 def published_events(s, d):
     """Key/value rows as they go to a topic; fields without a value are written as null."""
@@ -157,11 +165,7 @@ def published_events(s, d):
 @query
 def bronze_envelope(s, d):
     """Topic records as they are stored: the envelope's columns, key and value as text."""
-    number = F.regexp_extract("key", "^P([0-9]+)_", 1).cast("long")
-    records = published(s, d).select(
-        F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.lit("visits").alias("topic"),
-        (number % 4).cast("int").alias("partition"), number.alias("offset"), F.timestamp_seconds(number).alias("timestamp"))
-    return bronze_records(records).drop("bronze_ingestion_timestamp")
+    return bronze_records(topic_records(s, d)).drop("bronze_ingestion_timestamp")
 
 
 # Lifecycles ------------------------------------------------------------------------------------
@@ -509,8 +513,13 @@ def theory_validation(s, d):
 
 # Gold tables: one chain from recorded events ---------------------------------------------------------
 
+def state_events(s, d):
+    """Silver events with what lifecycles need, so that no other column is shuffled."""
+    return ingest.silver(visit_records(s, d), P, columns=("event_type", "event_time", *lifecycle.KEYS, *lifecycle.ATTRIBUTES))
+
+
 def chain(s, d):
-    return gold.tables(silver(s, d), P)
+    return gold.tables(state_events(s, d), P)
 
 
 @query
@@ -538,6 +547,15 @@ def gold_staffing_decisions(s, d):
     return chain(s, d)["staffing_decisions"]
 
 
+@query
+def gold_refreshed(s, d):
+    """The last of the five tables, read back from one committed version of all of them."""
+    root = workspace(s)
+    discard_later(s, root)
+    gold.refresh_tables(s, lifecycle.lifecycle_state(state_events(s, d)), root, P)
+    return gold.tables_of(s, root, versions.note(s, root, versions.latest(s, root)))["staffing_decisions"]
+
+
 # Streams -------------------------------------------------------------------------------------------
 
 @query
@@ -546,6 +564,18 @@ def streamed_window_counts(s, d):
     return streams.window_counts(s, d, P)
 
 
+@query
+def streamed_bronze(s, d):
+    """Published records read back from the segments of a topic, in two runs of the stream."""
+    return streams.bronze(s, d, topic_records(s, d))
+
+
+@query
+def streamed_batch_counts(s, d):
+    """What each micro-batch of the silver stream has read, rejected, found late or repeated, dropped and stored."""
+    return streams.batch_counts(s, d, P)
+
+
 @query
 def streamed_silver_events(s, d):
     """Validation, lag and de-duplication as a stream."""

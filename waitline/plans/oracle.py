@@ -559,6 +559,31 @@ SELECTS: dict[str, str] = {
         active_additional_staff, reason FROM pol WHERE policy = 'STATIC_RULE'
         AND timestamp < (SELECT max(timestamp) - INTERVAL 30 MINUTE FROM pol)""",
 }
+SELECTS["streamed_bronze"] = SELECTS["bronze_envelope"]
+# Four time slices of equal length; an event counts where its record arrived, an id where it was read first.
+SELECTS["streamed_batch_counts"] = """SELECT * FROM (
+    WITH sliced AS (
+        SELECT *, (epoch_us(ingested) - min(epoch_us(ingested)) OVER ())
+                  // ((max(epoch_us(ingested)) OVER () - min(epoch_us(ingested)) OVER ()) // 4 + 1) AS slice FROM rec
+    ), marked AS (
+        SELECT *, fault NOT BETWEEN 1 AND 6 AS good FROM sliced
+    ), behind AS (
+        SELECT slice, max(max(event_time) FILTER (good)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+                      - INTERVAL 30 MINUTE AS mark FROM marked GROUP BY slice
+    ), ids AS (
+        SELECT event_id, slice, min(event_time) AS event_time FROM marked WHERE good GROUP BY 1, 2
+    ), fresh AS (
+        SELECT i.slice, count(*) FILTER (i.event_time < mark) AS dropped,
+               count(*) FILTER (coalesce(i.event_time >= mark, true)
+                                AND NOT EXISTS (SELECT 1 FROM ids e WHERE e.event_id = i.event_id AND e.slice < i.slice)) AS stored
+        FROM ids i JOIN behind b ON b.slice = i.slice GROUP BY 1
+    ), counted AS (
+        SELECT slice, count(*) AS records, count(*) FILTER (good) AS accepted, count(*) FILTER (NOT good) AS rejected,
+               count(*) FILTER (good AND lag > 300) AS late FROM marked GROUP BY slice
+    )
+    SELECT (row_number() OVER (ORDER BY slice) - 1)::INT AS slice, records, accepted, rejected, late,
+           accepted - coalesce(stored, 0) - coalesce(dropped, 0) AS repeated, coalesce(dropped, 0) AS dropped, coalesce(stored, 0) AS stored
+    FROM counted LEFT JOIN fresh USING (slice))"""
 # Append mode emits a window once the watermark, 30 minutes behind the newest event, has passed its end.
 SELECTS["streamed_window_counts"] = f"""SELECT * FROM ({SELECTS['event_window_counts']})
     WHERE window_end <= (SELECT max(event_time) - INTERVAL 30 MINUTE FROM silver)"""
@@ -570,7 +595,8 @@ WHERE arrival_time IS NOT NULL AND queue_entry_time IS NOT NULL AND service_star
   AND service_end_time IS NOT NULL AND departure_time IS NOT NULL""").replace(
     "minutes('arrival_time', 'service_end_time')", "minutes('arrival_time', 'departure_time')")
 GOLD = {"gold_patient_metrics": "patient_metrics", "gold_operational_metrics": "operational_metrics", "gold_queue_metrics": "queue_snapshots",
-        "gold_operational_state": "operational_state", "gold_staffing_decisions": "staffing_decisions"}
+        "gold_operational_state": "operational_state", "gold_staffing_decisions": "staffing_decisions",
+        "gold_refreshed": "staffing_decisions"}
 
 ORACLES: dict[str, str] = {name: statement(select) for name, select in SELECTS.items()}
 ORACLES |= {name: statement(SELECTS[same], pm=CHAIN) for name, same in GOLD.items()}

@@ -1,18 +1,29 @@
-"""Streaming jobs: bronze, silver and quarantine, window counts, lifecycle upserts."""
+"""Streaming jobs: bronze, silver and quarantine, batch counts, window counts, lifecycle upserts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from waitline.functions.scalars import event_lag_seconds
+from waitline.labels import LIFECYCLE_EVENTS
 from waitline.operators import ingest, lifecycle, windows
 from waitline.params import Params
+from waitline.sources import versions
 from waitline.sources.events import EVENT_SCHEMA, bronze_records
-from waitline.sources.tables import exists, read_marker, write_marker
+from waitline.sources.session import ship_package
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+HEAP_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+ALLOW_MULTIPLE = "spark.sql.streaming.statefulOperator.allowMultiple"
+ROCKSDB_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 BRONZE_SCHEMA = T.StructType([
     T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()),
@@ -26,6 +37,9 @@ SILVER_SCHEMA = T.StructType([
                                  "partition", "offset")],
     T.StructField("event_lag_seconds", T.LongType()), T.StructField("is_late", T.BooleanType())])
 
+QUARANTINE_SCHEMA = T.StructType([
+    *BRONZE_SCHEMA.fields, T.StructField("quarantine_reason", T.StringType()), T.StructField("quarantine_timestamp", T.TimestampType())])
+
 
 def table_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
     """Follow a table another query appends to; the source's log makes each file count once."""
@@ -47,52 +61,133 @@ def bronze_job(records: DataFrame, root: str, drain: bool = False) -> StreamingQ
     return append(bronze_records(records), f"{root}/bronze", f"{root}/checkpoints/bronze", drain)
 
 
-def store_once(df: DataFrame, folder: str) -> None:
-    """Write a batch's folder unless an earlier run of the batch has completed it."""
-    if not exists(df.sparkSession, f"{folder}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(folder)
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep stream state on disk, in sorted runs with Bloom filters, unless the session names a store of its own."""
+    if spark.conf.get(STORE, None) in (None, HEAP_STORE):
+        spark.conf.set(STORE, ROCKSDB_STORE)
+
 
+def first_reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the records of each id in one partition of a micro-batch, the one read first."""
+    parts = [b for b in batches if b.num_rows]
+    if not parts:
+        return
+    held = pa.Table.from_batches(parts)
+    order = pc.sort_indices(held, [(c, "ascending") for c in ("kafka_timestamp", "partition", "offset")])
+    ids = pd.DataFrame({c: held[c].take(order).to_pandas() for c in ("_id", "_record")})
+    yield from held.take(order.filter(pa.array(~ids.duplicated().to_numpy()))).combine_chunks().to_batches()
 
-def new_events(events: DataFrame, root: str, batch_id: int, p: Params = Params()) -> DataFrame:
-    """The batch's events that are neither stored by an earlier batch nor behind the watermark.
 
-    Of copies within the batch the record read first stays; an id stored before always wins. The
-    watermark is what the earlier batches give, so running a batch again gives the same rows.
+def silver_stream(bronze: DataFrame, p: Params = Params()) -> DataFrame:
+    """Parsed records: every rejected one, and of each event id the accepted record read first.
+
+    The ids stored so far are the query's state, so a micro-batch costs what it holds and no stored table is
+    read. Events behind the watermark are dropped. With `bounded_dedup` an id is forgotten once the watermark
+    has passed it. A rejected record is told by its place in the topic and meets no other.
     """
-    spark = events.sparkSession
-    events = ingest.first_of_each(events)
-    if batch_id == 0 or not exists(spark, f"{root}/silver"):
-        return events
-    stored = (spark.read.schema(T.StructType([*SILVER_SCHEMA, T.StructField("batch_id", T.LongType())]))
-              .parquet(f"{root}/silver").where(F.col("batch_id") < batch_id))
-    latest = stored.agg(F.max("event_time")).first()[0]
-    if latest is None:
-        return events
-    limit = F.lit(latest) - F.expr(f"INTERVAL {p.watermark}")
-    if p.bounded_dedup:
-        stored = stored.where(F.col("event_time") >= limit)
-    return events.where(F.col("event_time") >= limit).join(stored.select("event_id"), "event_id", "left_anti")
+    use_rocksdb(bronze.sparkSession)
+    ship_package(bronze.sparkSession)
+    ok = F.col("quarantine_reason").isNull()
+    place = F.concat_ws("/", F.col("topic"), F.col("partition").cast("string"), F.coalesce(F.col("offset").cast("string"), F.uuid()))
+    parsed = ingest.parse(bronze).withColumn("_id", F.when(ok, F.col("event.event_id"))).withColumn("_record", F.when(~ok, place))
+    late = ok & (event_lag_seconds("bronze_ingestion_timestamp", "event.event_time") > p.late_after_seconds)
+    number = lambda condition, name: F.sum(F.when(condition, 1).otherwise(0)).alias(name)
+    parsed = parsed.observe("read", F.count(F.lit(1)).alias("records"), number(ok, "accepted"), number(~ok, "rejected"), number(late, "late"))
+    one = parsed.repartition("_id", "_record").mapInArrow(first_reads, parsed.schema)
+    marked = one.withColumn("_at", F.when(ok, F.col("event.event_time"))).withWatermark("_at", p.watermark)
+    keys = ["_id", "_record"]
+    fresh = marked.dropDuplicatesWithinWatermark(keys) if p.bounded_dedup else marked.dropDuplicates(keys)
+    return fresh.observe("kept", number(ok, "stored")).drop("_id", "_record")  # `_at` stays: without it no row is behind
 
 
 def silver_job(bronze: DataFrame, root: str, p: Params = Params(), drain: bool = False) -> StreamingQuery:
     """One query, one parse: accepted events, each id once, and rejected records.
 
-    A batch stores both under its number. If either write fails the query stops with that error, and
-    the batch is run again from the checkpoint; what it had completed is not written twice.
+    A batch commits both under its number. If either write fails the query stops with that error and the
+    batch is run again from the checkpoint: what it had committed stays, what it had only written is never read.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        parsed = ingest.parse(batch).persist()
+        batch = batch.persist()
         try:
-            store_once(ingest.rejected(parsed), f"{root}/quarantine/batch_id={batch_id}")
-            events = ingest.with_lag(ingest.accepted(parsed), p)
-            store_once(new_events(events, root, batch_id, p).select(*SILVER_SCHEMA.names), f"{root}/silver/batch_id={batch_id}")
+            versions.append(ingest.rejected(batch), f"{root}/quarantine", batch_id)
+            events = ingest.with_lag(ingest.accepted(batch), p)
+            versions.append(events.select(*SILVER_SCHEMA.names), f"{root}/silver", batch_id)
         finally:
-            parsed.unpersist()
+            batch.unpersist()
 
-    writer = bronze.writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/checkpoints/silver")
+    writer = silver_stream(bronze, p).writeStream.foreachBatch(store).option("checkpointLocation", f"{root}/checkpoints/silver")
     if drain:
         writer = writer.trigger(availableNow=True)
-    return writer.start()
+    # With one stateful operator a batch goes by the watermark that all earlier batches give, not the one before.
+    spark, before = bronze.sparkSession, bronze.sparkSession.conf.get(ALLOW_MULTIPLE)
+    spark.conf.set(ALLOW_MULTIPLE, "false")
+    try:
+        return writer.start()
+    finally:
+        spark.conf.set(ALLOW_MULTIPLE, before)
+
+
+def silver_table(spark: SparkSession, root: str) -> DataFrame:
+    return versions.read(spark, f"{root}/silver", SILVER_SCHEMA)
+
+
+def quarantine_table(spark: SparkSession, root: str) -> DataFrame:
+    return versions.read(spark, f"{root}/quarantine", QUARANTINE_SCHEMA)
+
+
+def follow_silver(spark: SparkSession, root: str) -> DataFrame:
+    """Silver as a stream of committed batches."""
+    return versions.follow(spark, f"{root}/silver", SILVER_SCHEMA)
+
+
+# Counts of each micro-batch ------------------------------------------------------------------
+
+COUNTS = "batch_id long, records long, accepted long, rejected long, late long, repeated long, dropped long, stored long"
+
+
+def batch_counts(progress) -> dict[str, int] | None:
+    """What a micro-batch of the silver job has read and stored; None for one without records.
+
+    late: stored or not, more than the limit behind. repeated: ids read before, in this batch or an earlier one.
+    dropped: behind the watermark.
+    """
+    read, kept = progress.observedMetrics.get("read"), progress.observedMetrics.get("kept")
+    if not progress.numInputRows or read is None or kept is None:
+        return None
+    dropped = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+    accepted, stored = read["accepted"] or 0, kept["stored"] or 0
+    return {"batch_id": progress.batchId, "records": read["records"], "accepted": accepted, "rejected": read["rejected"] or 0,
+            "late": read["late"] or 0, "repeated": accepted - stored - dropped, "dropped": dropped, "stored": stored}
+
+
+class BatchCounts(StreamingQueryListener):
+    """Puts the counts of every micro-batch of one query into a table, one small note each, once."""
+
+    def __init__(self, spark: SparkSession, root: str, query_id: str | None = None):
+        self.spark, self.root, self.query_id = spark, root, query_id
+
+    def record(self, progress) -> None:
+        counts = batch_counts(progress)
+        if counts and (self.query_id is None or str(progress.id) == self.query_id):
+            versions.commit(self.spark, self.root, counts["batch_id"], counts)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        self.record(event.progress)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def counts_table(spark: SparkSession, root: str) -> DataFrame:
+    if versions.latest(spark, root) < 0:
+        return spark.createDataFrame([], COUNTS)
+    return spark.read.schema(COUNTS).json(f"{root}/{versions.LOG}")
 
 
 def wait_for_any(spark: SparkSession, *queries: StreamingQuery) -> None:
@@ -113,15 +208,43 @@ def window_count_job(silver: DataFrame, root: str, p: Params = Params(), drain:
     return append(windows.event_counts(silver, p), f"{root}/window_counts", f"{root}/checkpoints/window_counts", drain)
 
 
-def upsert(root: str) -> Callable[[DataFrame, int], None]:
-    """Micro-batch callback: store the batch's lifecycle states under its batch number.
+# Lifecycles ---------------------------------------------------------------------------------
+
+STATE_SCHEMA = T.StructType([
+    *[T.StructField(c, T.StringType()) for c in lifecycle.KEYS], *[T.StructField(c, T.TimestampType()) for c in LIFECYCLE_EVENTS],
+    *[T.StructField(c, T.StringType()) for c in lifecycle.ATTRIBUTES]])
+BUCKETS, KEEP = 64, 2
+
+
+def upsert(root: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """Micro-batch callback: merge the batch's lifecycle states into a table of hash buckets.
 
-    Nothing already stored is rewritten, so a batch costs what it holds, and running a batch
-    again replaces only its own folder.
+    Only buckets that the batch touches are read and written anew; a note names the folder of every bucket,
+    so reading costs the same after any number of batches. A batch that is committed changes nothing when
+    it comes again. The number of buckets is fixed by the first batch.
     """
     def store(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
-            lifecycle.lifecycle_state(batch).write.mode("overwrite").parquet(f"{root}/batches/batch_id={batch_id}")
+        spark = batch.sparkSession
+        last = versions.latest(spark, root)
+        if batch_id <= last:
+            return
+        before = versions.note(spark, root, last) if last >= 0 else {"buckets": buckets, "folders": {}}
+        number = before["buckets"]
+        bucket = F.pmod(F.xxhash64(*lifecycle.KEYS), F.lit(number)).cast("int").alias("bucket")
+        states = lifecycle.lifecycle_state(batch).select("*", bucket).persist()
+        try:
+            touched = sorted(r["bucket"] for r in states.select("bucket").distinct().collect())  # as many as buckets at most
+            known = [f"{root}/{before['folders'][str(b)]}" for b in touched if str(b) in before["folders"]]
+            old = spark.read.schema(STATE_SCHEMA).parquet(*known) if known else spark.createDataFrame([], STATE_SCHEMA)
+            merged = lifecycle.merge_into(old, states.drop("bucket")).select("*", bucket)
+            folder = versions.attempt(batch_id)
+            if touched:
+                merged.repartition("bucket").write.partitionBy("bucket").parquet(f"{root}/{folder}")
+            folders = before["folders"] | {str(b): f"{folder}/bucket={b}" for b in touched}
+            versions.commit(spark, root, batch_id, {"buckets": number, "folders": folders})
+            versions.expire(spark, root, KEEP)
+        finally:
+            states.unpersist()
 
     return store
 
@@ -133,24 +256,13 @@ def lifecycle_job(silver: DataFrame, root: str, checkpoint: str, drain: bool = F
     return writer.start()
 
 
+def lifecycles_of(spark: SparkSession, root: str, given: dict) -> DataFrame:
+    """The lifecycles of one version. Take a lease while reading if the job may run on."""
+    folders = [f"{root}/{f}" for f in sorted(given["folders"].values())]
+    return spark.read.schema(STATE_SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], STATE_SCHEMA)
+
+
 def read_lifecycles(spark: SparkSession, root: str) -> DataFrame:
-    """Merged lifecycles: the compacted base, if any, and the batches stored after it."""
-    note = read_marker(spark, root)
-    batches = spark.read.parquet(f"{root}/batches").withColumn("batch_id", F.col("batch_id").cast("long"))
-    if note is None:
-        return lifecycle.merge_states(batches)
-    base = spark.read.parquet(note["folder"]).withColumn("batch_id", F.lit(note["batch_id"]).cast("long"))
-    return lifecycle.merge_states(base.unionByName(batches.filter(F.col("batch_id") > note["batch_id"])))
-
-
-def compact_lifecycles(spark: SparkSession, root: str, up_to: int) -> None:
-    """Fold batches up to a number into a new base so that reads stay short."""
-    note = read_marker(spark, root)
-    batches = spark.read.parquet(f"{root}/batches").withColumn("batch_id", F.col("batch_id").cast("long"))
-    rows = batches.filter(F.col("batch_id") <= up_to)
-    if note is not None:
-        base = spark.read.parquet(note["folder"]).withColumn("batch_id", F.lit(note["batch_id"]).cast("long"))
-        rows = base.unionByName(rows.filter(F.col("batch_id") > note["batch_id"]))
-    folder = f"{root}/base_{up_to:012d}"
-    lifecycle.merge_states(rows).write.mode("overwrite").parquet(folder)
-    write_marker(spark, root, {"folder": folder, "batch_id": up_to})
+    """Lifecycles as of the last committed batch."""
+    last = versions.latest(spark, root)
+    return lifecycles_of(spark, root, versions.note(spark, root, last) if last >= 0 else {"folders": {}})
