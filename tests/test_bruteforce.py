@@ -1,6 +1,7 @@
 """Random visits: Spark results against plain restatements."""
 
 import random
+from datetime import timedelta
 
 import pytest
 from helpers import (arrivals_between, at, fold_scores, heap_waits, minutes, random_visits, rounded, scorecard, state_jobs, visit,
@@ -219,3 +220,62 @@ def test_recorded_order_decides_offline_twin(spark):
     got = lifecycle.recorded_journeys(df, "seq").collect()
     assert [(r.patient_id, r.queue_wait_minutes) for r in got] == [("P1", 1.5)]
     assert rounded([tuple(r) for r in lifecycle.wait_summary(lifecycle.wait_pairs(df, "seq")).collect()]) == [(1, 1.5, 1.5, 1)]
+
+
+def test_weighted_records_against_lists(spark):
+    """Counts and weights of (type, service time) in both segments before each point, also across day blocks."""
+    rows = random_visits(150, 5, 300) + [visit(900 + i, 1438 + i, 3, 6) for i in range(4)]
+    m = lifecycle.patient_metrics(visit_frame(spark, rows), P)
+    grid_points = [(lab, at(5 * i)) for lab in ("LAB_A", "LAB_B") for i in range(300)]
+    got = {}
+    for r in forecast.weighted_records(m, spark.createDataFrame(grid_points, "lab_id string, window_start timestamp"), P).collect():
+        got[r.lab_id, r.window_start, r.patient_type, r.service_minutes] = (r.older_count, r.recent_count, r.weight, round(r.share, 9))
+    want = {}
+    for lab, t in grid_points:
+        found = {}
+        for v in rows:
+            age = minutes(v["arrival_time"], t)
+            if v["lab_id"] == lab and 0 < age <= 30:
+                key = lab, t, v["patient_type"], minutes(v["service_start_time"], v["service_end_time"])
+                found.setdefault(key, [0, 0])[age <= 15] += 1
+        total = sum(o * P.older_weight + n * P.recent_weight for o, n in found.values())
+        want |= {k: (o, n, o * P.older_weight + n * P.recent_weight, round((o * P.older_weight + n * P.recent_weight) / total, 9))
+                 for k, (o, n) in found.items()}
+    assert got == want and len(got) > 500
+
+
+def test_instants_off_the_grid(spark):
+    """Edges to the microsecond, short and very long spans, instants without anybody, repeated instants."""
+    rng = random.Random(3)
+    rows = random_visits(120, 6, 200) + [visit(800, 10, 6000, 4), visit(801, 20, 0, 90_000), visit(802, 5, 0, 0)]
+    m = lifecycle.patient_metrics(visit_frame(spark, rows), P)
+    edges = [v[c] + timedelta(microseconds=d) for v in rows[::9] + rows[-3:] for c in ("queue_entry_time", "service_start_time", "service_end_time")
+             for d in (-1, 0, 1)]
+    asked = sorted({(rng.choice(["LAB_A", "LAB_B"]), t) for t in edges + [at(rng.uniform(-100, 95_000)) for _ in range(60)]})
+    instants = spark.createDataFrame(asked + asked[:5], "lab_id string, timestamp timestamp")
+    waiting = lambda v, t: v["queue_entry_time"] <= t < v["service_start_time"]
+    serving = lambda v, t: v["service_start_time"] <= t < v["service_end_time"]
+    of = lambda lab: [v for v in rows if v["lab_id"] == lab]
+    want = [(lab, t, sum(waiting(v, t) for v in of(lab)), sum(serving(v, t) for v in of(lab))) for lab, t in asked]
+    assert sorted(map(tuple, grid.queue_at(m, instants).collect())) == want
+    us = lambda a, b: (b - a) // timedelta(microseconds=1)
+    roles = sorted((r.lab_id, r.timestamp, r.role, r.patient_id, r.microseconds) for r in grid.episode_at(m, instants, P).collect())
+    expected = []
+    for lab, t in asked:
+        for v in of(lab):
+            expected += [(lab, t, "WAITING", v["patient_id"], us(v["queue_entry_time"], t))] if waiting(v, t) else []
+            expected += [(lab, t, "SERVING", v["patient_id"], us(t, v["service_end_time"]))] if serving(v, t) else []
+            ahead = us(t, v["arrival_time"])
+            expected += [(lab, t, "ARRIVING", v["patient_id"], ahead)] if 0 <= ahead < 30 * 60_000_000 else []
+    assert roles == sorted(expected) and len(roles) > 100
+
+
+def test_rolled_up_percentile_is_near_the_exact_rank(spark):
+    """Sketches of windows merged to a day: within a thousandth of the ranks, far beyond what a sketch holds exactly."""
+    m = spark.range(60_000).select(
+        F.lit("L").alias("lab_id"), (F.lit(at(0)).cast("timestamp") + F.make_dt_interval(mins=(F.col("id") % 900).cast("int"))).alias("arrival_time"),
+        (F.pmod(F.col("id") * 7919, F.lit(60_000)) / 100).alias("queue_wait_minutes"))
+    hours = windows.rolled_up_percentile(windows.wait_sketches(m, P), "1 hour").collect()
+    assert sum(r.patients for r in hours) == 60_000 and len(hours) == 15
+    days = windows.rolled_up_percentile(windows.wait_sketches(m, P), "1 day").collect()
+    assert [r.patients for r in days] == [60_000] and abs(days[0].p95_queue_wait_minutes - 570) <= 0.6

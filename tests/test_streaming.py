@@ -205,6 +205,22 @@ def test_hold_policy_stream_matches_batch(spark, root, seed):
     assert got == [r for r in want if r.timestamp < limit] and len(got) > 20
 
 
+def test_a_lab_that_has_ended_is_forgotten(spark, root):
+    """Its state goes; without a limit it stays for ever."""
+    schema = "policy string, lab_id string, timestamp timestamp, instantaneous_recommendation int"
+    sent = [[("X", "A", at(0), 2), ("X", "B", at(0), 1)], [("X", "B", at(300), 0)], [("X", "A", at(301), 0), ("X", "B", at(302), 0)],
+            [("X", "B", at(600), 0)]]
+    for limit in (None, 120):
+        for rows in sent:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{root}/{limit}/steps")
+            stream = spark.readStream.schema(schema).parquet(f"{root}/{limit}/steps")
+            drain(jobs.append(hold_policy_stream(stream, P, limit), f"{root}/{limit}/actions", f"{root}/{limit}/checkpoint", drain=True))
+        got = {(r.lab_id, r.timestamp): (r.staff_change, r.active_additional_staff)
+               for r in spark.read.parquet(f"{root}/{limit}/actions").collect()}
+        assert got["A", at(0)] == (2, 2) and got["B", at(300)] == ((-1, 0) if limit is None else (0, 0))
+        assert got["A", at(301)] == ((-2, 0) if limit is None else (0, 0))
+
+
 def test_publish_then_read_back(spark, root):
     events = spark.createDataFrame([("e1", "PATIENT_ARRIVAL", "P1", "LAB_A", at(0))],
                                    "event_id string, event_type string, patient_id string, lab_id string, event_time timestamp")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waitline.functions import clock
 from waitline.functions.clock import MINUTE_US, floor_cell, micros, stamp
 from waitline.functions.spread import running, with_block, with_neighbours
 from waitline.labels import LOOKBACKS
@@ -156,3 +157,36 @@ def demand_profile(metrics: DataFrame, timeline: DataFrame, p: Params = Params()
     rate = (weighted_rate(F.col("older_count"), F.col("recent_count"), p) if weighted
             else rolling_rate(F.col("older_count") + F.col("recent_count"), 2 * seg))
     return around.withColumn("arrival_rate_per_minute", rate)
+
+
+def record_intervals(metrics: DataFrame, p: Params = Params()) -> DataFrame:
+    """How many visits of each (lab, type, service time) are in the older and the recent history segment, cell by cell.
+
+    A sliding multiset: a visit enters the recent segment, moves to the older one and leaves, at three cells
+    that follow from its arrival. Running totals of these changes hold from one cell of change to the next, so no
+    point gathers a list of records. Rows: the kind, cells `lo` to `hi`, older_count and recent_count.
+    """
+    step, span = p.step_us, p.segment_minutes * MINUTE_US
+    a, kind = micros("arrival_time"), ["lab_id", "patient_type", "service_minutes"]
+    moves = F.array(*[F.struct((floor_cell(a + shift, step) + 1).alias("cell"), F.lit(older).alias("older"), F.lit(recent).alias("recent"))
+                      for shift, older, recent in ((0, 0, 1), (span, 1, -1), (2 * span, -1, 0))])
+    moved = stage(metrics.select(*kind, F.explode(moves).alias("m")).groupBy(*kind, "m.cell").agg(
+        F.sum("m.older").cast("long").alias("older"), F.sum("m.recent").cast("long").alias("recent")))
+    # A kind without a visit changes nothing, so both totals are carried over its gaps as zero.
+    held = running(moved, kind, {"older": "older_count", "recent": "recent_count"})
+    # A visit stays for two segments, so while a kind is held its next change lies within so many cells.
+    near = with_neighbours(held, 0, 2 * span // step + 1)
+    following = F.lead("cell").over(Window.partitionBy(*kind, "_block").orderBy("cell"))
+    return (near.withColumn("hi", following - 1).where("_own and older_count + recent_count > 0")
+            .select(*kind, F.col("cell").alias("lo"), "hi", "older_count", "recent_count"))
+
+
+def weighted_records(metrics: DataFrame, timeline: DataFrame, p: Params = Params(), at: str = "window_start") -> DataFrame:
+    """The joint history (type, service time) at each point: counts per segment, weight and share of the point's weight."""
+    points = timeline.select("lab_id", F.col(at), floor_cell(micros(at), p.step_us).alias("cell"))
+    held = record_intervals(metrics, p).withColumn("cell", F.explode(clock.cells(F.col("lo"), F.col("hi"))))
+    weight = p.older_weight * F.col("older_count") + p.recent_weight * F.col("recent_count")
+    rows = points.join(held, ["lab_id", "cell"]).withColumn("weight", weight.cast("double"))
+    # A window holds the distinct kinds of half an hour.
+    share = F.col("weight") / F.sum("weight").over(Window.partitionBy("lab_id", "cell", at))
+    return rows.select("lab_id", at, "patient_type", "service_minutes", "older_count", "recent_count", "weight", share.alias("share"))

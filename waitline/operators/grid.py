@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waitline.functions.clock import MINUTE_US, ceil_cell, cells, floor_cell, micros, stamp
@@ -84,6 +84,65 @@ def snapshot_at(metrics: DataFrame, instant, p: Params = Params()) -> DataFrame:
         F.sum(F.when(serving, 1).otherwise(0)).alias("patients_in_service")).withColumn("timestamp", at)
 
 
+LOWEST_LEVEL = 20  # about a second
+
+
+def covering(spans: DataFrame, lo: Column, hi: Column, instants: DataFrame, at: str, keys: Sequence[str] = ("lab_id",)) -> DataFrame:
+    """Rows of spans next to each instant t with lo <= t < hi, at any microsecond.
+
+    An index of levels: a span lies in the one or two bins of the level whose bins are as long as it is. An
+    instant asks one bin of each level that occurs (at most 44, whatever the number of rows), and what it
+    finds there is compared exactly. A bin holds spans of about its own length only, so few are in vain.
+    """
+    keys = list(keys)
+    level = F.greatest(F.lit(LOWEST_LEVEL), F.length(F.bin(hi - lo)))  # binary digits, so a bin is longer than its spans
+    bin_of = lambda us, size: F.floor(us / F.pow(F.lit(2.0), size)).cast("long")  # noqa: E731  exact: a power of two divides
+    placed = spans.where(hi > lo).withColumn("_lo", lo).withColumn("_hi", hi).withColumn("_level", level)
+    both = F.array_distinct(F.array(bin_of(F.col("_lo"), F.col("_level")), bin_of(F.col("_hi") - 1, F.col("_level"))))
+    placed = placed.withColumn("_bin", F.explode(both))
+    levels = [r["_level"] for r in placed.select("_level").distinct().collect()] or [LOWEST_LEVEL]
+    asked = instants.withColumn("_at", micros(at)).withColumn("_level", F.explode(F.array(*map(F.lit, sorted(levels)))))
+    asked = asked.withColumn("_bin", bin_of(F.col("_at"), F.col("_level")))
+    found = asked.join(placed, [*keys, "_level", "_bin"]).where("_lo <= _at and _at < _hi")
+    return found.drop("_lo", "_hi", "_level", "_bin")
+
+
+def queue_at(metrics: DataFrame, instants: DataFrame, at: str = "timestamp") -> DataFrame:
+    """lab_id, instant, patients_waiting and patients_in_service of every instant (lab_id, at), on the grid or not."""
+    m = metrics.select("lab_id", *[micros(c).alias(n) for c, n in (
+        ("queue_entry_time", "q"), ("service_start_time", "b"), ("service_end_time", "d"))])
+    spans = m.select("lab_id", F.explode(F.array(
+        F.struct(F.lit(1).alias("waiting"), F.col("q").alias("lo"), F.col("b").alias("hi")),
+        F.struct(F.lit(0).alias("waiting"), F.col("b").alias("lo"), F.col("d").alias("hi")))).alias("s")).select("lab_id", "s.*")
+    asked = instants.select("lab_id", at).distinct()
+    counts = covering(spans, F.col("lo"), F.col("hi"), asked, at).groupBy("lab_id", at).agg(
+        F.sum("waiting").alias("w"), F.sum(1 - F.col("waiting")).alias("s"))
+    return asked.join(counts, ["lab_id", at], "left").select(
+        "lab_id", at, F.coalesce("w", F.lit(0)).alias("patients_waiting"), F.coalesce("s", F.lit(0)).alias("patients_in_service"))
+
+
+def episode_at(metrics: DataFrame, instants: DataFrame, p: Params = Params(), at: str = "timestamp") -> DataFrame:
+    """The visits that make up the episode at each instant, one row each.
+
+    role WAITING (microseconds waited so far), SERVING (those of service left) or ARRIVING within the lookahead
+    (those until then).
+    """
+    asked = instants.select("lab_id", at).distinct()
+    columns = ["patient_id", "patient_type", "service_minutes"]
+    rows = metrics.select("lab_id", *columns, *[micros(c).alias(n) for c, n in (
+        ("arrival_time", "a"), ("queue_entry_time", "q"), ("service_start_time", "b"), ("service_end_time", "d"))])
+    ahead = p.lookahead_minutes * MINUTE_US
+    # A visit is covered where it waits, where it is served, and by the instants its arrival lies ahead of.
+    roles = rows.withColumn("s", F.explode(F.array(
+        F.struct(F.lit("WAITING").alias("role"), F.col("q").alias("lo"), F.col("b").alias("hi")),
+        F.struct(F.lit("SERVING").alias("role"), F.col("b").alias("lo"), F.col("d").alias("hi")),
+        F.struct(F.lit("ARRIVING").alias("role"), (F.col("a") - ahead + 1).alias("lo"), (F.col("a") + 1).alias("hi"))))).select("*", "s.*").drop("s")
+    found = covering(roles, F.col("lo"), F.col("hi"), asked, at)
+    value = (F.when(F.col("role") == "WAITING", F.col("_at") - F.col("q"))
+             .when(F.col("role") == "SERVING", F.col("d") - F.col("_at")).otherwise(F.col("a") - F.col("_at")))
+    return found.select("lab_id", at, "role", *columns, value.alias("microseconds"))
+
+
 def _at_cells(metrics: DataFrame, lo, hi, p: Params) -> tuple[DataFrame, object]:
     step = p.step_us
     dtype = metrics.schema["arrival_time"].dataType

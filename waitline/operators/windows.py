@@ -57,6 +57,24 @@ def operational_metrics(metrics: DataFrame, p: Params = Params()) -> DataFrame:
                       breach.alias("sla_breach_rate"), (100 - breach).alias("sla_compliance_rate"))
 
 
+SKETCH = 4096  # rank error below a thousandth; exact for up to so many values
+
+
+def wait_sketches(metrics: DataFrame, p: Params = Params()) -> DataFrame:
+    """Mergeable sketch of the queue waits of each (lab, window); no visit is needed to roll it up."""
+    counted = metrics.groupBy("lab_id", F.window("arrival_time", f"{p.window_minutes} minutes").alias("w")).agg(
+        F.count("*").alias("patients"), F.kll_sketch_agg_double("queue_wait_minutes", SKETCH).alias("waits"))
+    return counted.select("lab_id", F.col("w.start").alias("window_start"), "patients", "waits")
+
+
+def rolled_up_percentile(sketches: DataFrame, length: str, share: float = 0.95) -> DataFrame:
+    """lab_id, window_start, patients and the percentile of longer windows ("1 hour", "1 day"), from sketches of shorter ones."""
+    merged = sketches.groupBy("lab_id", F.window("window_start", length).alias("w")).agg(
+        F.sum("patients").alias("patients"), F.kll_merge_agg_double("waits", SKETCH).alias("waits"))
+    return merged.select("lab_id", F.col("w.start").alias("window_start"), "patients",
+                         F.kll_sketch_get_quantile_double("waits", F.lit(share)).alias("p95_queue_wait_minutes"))
+
+
 def operational_state(operational: DataFrame, queue: DataFrame,
                       keys: Sequence[str] = ("lab_id",)) -> DataFrame:
     """Service levels joined to queue snapshots, with pressure and status labels.

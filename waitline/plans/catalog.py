@@ -394,6 +394,38 @@ def recent_demand_profile(s, d):
     return forecast.demand_profile(cells, indexed(cells), P, weighted=False)
 
 
+@query
+def weighted_record_profile(s, d):
+    """The joint history of patient type and service time before each window, with weights by segment."""
+    m = metrics(s, d)
+    return forecast.weighted_records(m, points(s, d), P)
+
+
+def instants(s, d):
+    """Moments off the grid: when a visit with an error event came, to the microsecond."""
+    e = s.read.parquet(f"{d}/events.parquet").where("event_type = 'error'")
+    return e.select(F.when(F.col("user_id") % 2 == 0, "LAB_A").otherwise("LAB_B").alias("lab_id"), F.col("ts").cast("timestamp_ntz").alias("timestamp"))
+
+
+@query
+def queue_at_instants(s, d):
+    return grid.queue_at(metrics(s, d), instants(s, d))
+
+
+@query
+def episode_at_instants(s, d):
+    """Who waits, is served and will arrive within the lookahead at each moment, and how long they have waited or have to go."""
+    return grid.episode_at(metrics(s, d), instants(s, d), P)
+
+
+@query
+def rolled_up_p95(s, d):
+    """P95 of the queue wait per hour and day, from sketches of the five-minute windows."""
+    sketches = stage(windows.wait_sketches(metrics(s, d), P))
+    each = [windows.rolled_up_percentile(sketches, length).withColumn("length", F.lit(length)) for length in ("1 hour", "1 day")]
+    return each[0].unionByName(each[1])
+
+
 # Counterfactual replays ------------------------------------------------------------------------
 
 @query

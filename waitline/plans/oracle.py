@@ -559,6 +559,35 @@ SELECTS: dict[str, str] = {
         active_additional_staff, reason FROM pol WHERE policy = 'STATIC_RULE'
         AND timestamp < (SELECT max(timestamp) - INTERVAL 30 MINUTE FROM pol)""",
 }
+SELECTS["weighted_record_profile"] = f"""
+    SELECT lab_id, window_start, patient_type, {r('service_minutes', 'service_minutes')}, older_count, recent_count,
+           {r('weight', 'weight')}, {r('weight / sum(weight) OVER (PARTITION BY lab_id, window_start)', 'share')}
+    FROM (SELECT om.lab_id, om.window_start, patient_type, service_minutes,
+                 count(*) FILTER (arrival_time < om.window_start - INTERVAL 15 MINUTE) AS older_count,
+                 count(*) FILTER (arrival_time >= om.window_start - INTERVAL 15 MINUTE) AS recent_count,
+                 (older_count * 1 + recent_count * 2)::DOUBLE AS weight
+          FROM om JOIN pm ON pm.lab_id = om.lab_id AND arrival_time >= om.window_start - INTERVAL 30 MINUTE AND arrival_time < om.window_start
+          GROUP BY ALL)"""
+INSTANTS = """(SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'LAB_A' ELSE 'LAB_B' END AS lab_id, ts::TIMESTAMP AS timestamp
+               FROM events WHERE event_type = 'error')"""
+SELECTS["queue_at_instants"] = f"""
+    SELECT i.lab_id, i.timestamp, count(*) FILTER (queue_entry_time <= i.timestamp AND service_start_time > i.timestamp) AS patients_waiting,
+           count(*) FILTER (service_start_time <= i.timestamp AND service_end_time > i.timestamp) AS patients_in_service
+    FROM {INSTANTS} i LEFT JOIN pm ON pm.lab_id = i.lab_id AND queue_entry_time <= i.timestamp AND service_end_time > i.timestamp
+    GROUP BY ALL"""
+SELECTS["episode_at_instants"] = f"""
+    SELECT i.lab_id, i.timestamp, 'WAITING' AS role, patient_id, patient_type, {r('service_minutes', 'service_minutes')},
+           epoch_us(i.timestamp) - epoch_us(queue_entry_time) AS microseconds
+    FROM {INSTANTS} i JOIN pm ON pm.lab_id = i.lab_id AND queue_entry_time <= i.timestamp AND service_start_time > i.timestamp
+    UNION ALL SELECT i.lab_id, i.timestamp, 'SERVING', patient_id, patient_type, {r('service_minutes')}, epoch_us(service_end_time) - epoch_us(i.timestamp)
+    FROM {INSTANTS} i JOIN pm ON pm.lab_id = i.lab_id AND service_start_time <= i.timestamp AND service_end_time > i.timestamp
+    UNION ALL SELECT i.lab_id, i.timestamp, 'ARRIVING', patient_id, patient_type, {r('service_minutes')}, epoch_us(arrival_time) - epoch_us(i.timestamp)
+    FROM {INSTANTS} i JOIN pm ON pm.lab_id = i.lab_id AND arrival_time >= i.timestamp AND arrival_time < i.timestamp + INTERVAL 30 MINUTE"""
+# The sketches are exact for up to 4096 values, more than a lab has in a day of these tables.
+SELECTS["rolled_up_p95"] = " UNION ALL ".join(f"""
+    SELECT lab_id, time_bucket(INTERVAL {length}, arrival_time) AS window_start, count(*) AS patients,
+           quantile_disc(queue_wait_minutes, 0.95) AS p95_queue_wait_minutes, '{length.lower()}' AS length FROM pm GROUP BY 1, 2"""
+                                              for length in ("1 HOUR", "1 DAY"))
 SELECTS["streamed_bronze"] = SELECTS["bronze_envelope"]
 # Four time slices of equal length; an event counts where its record arrived, an id where it was read first.
 SELECTS["streamed_batch_counts"] = """SELECT * FROM (

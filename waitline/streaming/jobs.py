@@ -19,11 +19,9 @@ from waitline.params import Params
 from waitline.sources import versions
 from waitline.sources.events import EVENT_SCHEMA, bronze_records
 from waitline.sources.session import ship_package
+from waitline.streaming.state import use_rocksdb
 
-STORE = "spark.sql.streaming.stateStore.providerClass"
-HEAP_STORE = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
 ALLOW_MULTIPLE = "spark.sql.streaming.statefulOperator.allowMultiple"
-ROCKSDB_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 BRONZE_SCHEMA = T.StructType([
     T.StructField("topic", T.StringType()), T.StructField("partition", T.IntegerType()),
@@ -61,12 +59,6 @@ def bronze_job(records: DataFrame, root: str, drain: bool = False) -> StreamingQ
     return append(bronze_records(records), f"{root}/bronze", f"{root}/checkpoints/bronze", drain)
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """Keep stream state on disk, in sorted runs with Bloom filters, unless the session names a store of its own."""
-    if spark.conf.get(STORE, None) in (None, HEAP_STORE):
-        spark.conf.set(STORE, ROCKSDB_STORE)
-
-
 def first_reads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of the records of each id in one partition of a micro-batch, the one read first."""
     parts = [b for b in batches if b.num_rows]
