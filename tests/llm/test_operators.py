@@ -557,8 +557,32 @@ def test_overlapping_sources(spark):
     assert sum(r.taken for r in got) == pytest.approx(500, abs=2)  # both sources' sizes
 
 
+def test_every_share_goes_through_the_flow(spark, monkeypatch):
+    """Also that of a source which no other one overlaps."""
+    seen = []
+    real = mixing.min_cost_flow
+    monkeypatch.setattr(mixing, "min_cost_flow", lambda *a: seen.append(a) or real(*a))
+    links = [{"pattern": 7, "words": 10, "node": "sa", "size": 10, "target": 25.0}]
+    assert mixing._solved(links, mixing.COSTS) == [{"pattern": 7, "rounds": 2, "rest": 5, "source_size": 10, "target": 25.0}]
+    assert len(seen) == 1
+
+
+def test_thirty_thousand_overlapping_patterns(spark):
+    """In ten thousand components: a, a and b, b; each source comes near its target."""
+    F = mixing.F
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("w "), (F.col("id") % 7 + 1).cast("int")).alias("text"))
+    name = lambda side: F.concat(F.lit(side), F.floor(F.col("doc_id") / 3).cast("string"))
+    lists = F.when(F.col("doc_id") % 3 == 0, F.array(name("a"))).when(F.col("doc_id") % 3 == 1, F.array(name("a"), name("b"))).otherwise(F.array(name("b")))
+    out = mixing.mix(df, lists)
+    assert out.count() == 30_000 and out.where("taken > 3 * size").isEmpty()
+    # What a component's three documents give is the most that its two targets can take of them.
+    whole = out.withColumn("c", F.floor(F.col("doc_id") / 3)).groupBy("c").agg(
+        F.sum("taken").alias("taken"), F.sum(F.when(F.col("doc_id") % 3 != 1, F.round("target"))).alias("target"), F.sum(3 * F.col("size")).alias("most"))
+    assert whole.where("abs(taken - least(target, most)) > 2").isEmpty()
+
+
 def test_more_sources_than_the_driver_takes(spark, monkeypatch):
-    """The same mix by joins; only patterns that share a source count as overlapping ones."""
+    """The same mix with targets found by joins."""
     F = mixing.F
     df = table(spark, [(i, "w " * (1 + i * i % 37 * (20 if i % 40 == 3 else 1)), None if i % 40 == 7 else f"s{i % 40}") for i in range(400)])
     lists = F.when(F.col("doc_id") % 40 == 5, F.array(F.lit("s5"), F.lit("s6"))).otherwise(F.array("source"))

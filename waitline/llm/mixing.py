@@ -3,30 +3,33 @@
 Documents are first added up by membership pattern (the set of sources that list them). The flow
 network has one node per pattern and one per source: words run from patterns to source quotas, and each
 further repetition of a pattern costs more (0, 1, 3 a word), so repeats are used only where a quota needs
-them. The flow then says how many words each pattern gives to each source; documents are chosen for it in
-seeded order. A pattern of one source that no other pattern lists needs no flow: it gives what the source's
-target asks for, by a join, for any number of sources. Only the other patterns come to the driver.
+them. The network falls apart into connected components of patterns and sources; each is solved by itself, in
+one task, any number of them side by side. The flow says how many words each pattern gives to each source;
+documents are chosen for it in seeded order.
 
 Defined cases: a null text has size 0 and takes 0; a null source is a source of its own, last in order;
 rows that repeat an id are documents of their own with the same place in the seeded order (ties by text
-hash and size); no rows give no rows; other columns pass through `materialise` untouched, whatever their names.
+hash and size); a document that no source lists takes 0; a very long text is only counted; no rows give no rows; other columns pass through `materialise` untouched, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waitline.llm.common import offsets, word_count
+from waitline.llm.components import components
+from waitline.sources.session import ship_package
 from waitline.sources.tables import lookup, stage
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 COSTS = (0, 1, 3)
 SEED = 20
-#: At most so many patterns that overlap others, and so many sources whose targets are found on the driver.
+#: The targets of so many sources are found on the driver, of more by joins.
 NODES = 20_000
 
 
@@ -139,8 +142,7 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, weight
     """doc_id, size, source_size, target, taken and copies of every document; with whole, also its row as struct `doc`.
 
     sources: array of the sources that list a document (default: its own one). source_size and target
-    are sums over these. Patterns that share a source with another come to the driver, one row each, and
-    more than NODES of them are refused.
+    are sums over these.
     """
     spark = docs.sparkSession
     listed = F.array_sort(F.array_distinct(F.array("source") if sources is None else sources))
@@ -149,7 +151,7 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, weight
         listed.alias("sources"), F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")).alias("rank"),
         F.xxhash64("text").alias("tie"), *([F.struct("*").alias("doc")] if whole else []))
     lean = stage(rows.drop("doc"))
-    found = stage(lean.groupBy("sources").agg(F.sum("size").alias("words")))
+    found = stage(lean.groupBy("sources").agg(F.sum("size").alias("words")).withColumn("pattern", F.monotonically_increasing_id()))
     quota = lookup(_plan(found, weights, cap))
     lean = lean.join(quota, F.col("sources").eqNullSafe(F.col("of")))
     outer = _edges(lean, F.shiftright("rank", 52), F.lit(0))
@@ -160,37 +162,63 @@ def mix(docs: DataFrame, sources: Column | None = None, seed: int = SEED, weight
     return _choose(base, inner)
 
 
+def _node(source: Column) -> Column:
+    """A source's name in the network; the null source has one too."""
+    return F.when(source.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), source))
+
+
+PLAN = "pattern long, rounds long, rest long, source_size long, target double"
+
+
 def _plan(found: DataFrame, weights, cap: int) -> DataFrame:
-    """Rounds and rest of every pattern, with the sizes and targets of its sources."""
-    spark = found.sparkSession
+    """Rounds and rest of every pattern (`of`), with the sizes and targets of its sources.
+
+    Patterns and sources form a graph; each connected component is a network of its own, solved in one task. A
+    source that shares no document with another is the smallest component.
+    """
     goals = source_targets(found.select(F.explode("sources").alias("source"), "words").groupBy("source").agg(
         F.sum("words").alias("size")), weights, cap)
+    goals = goals.select(_node(F.col("source")).alias("node"), "size", "target")
+    each = found.select("pattern", "words", F.explode("sources").alias("source")).withColumn("node", _node(F.col("source"))).drop("source")
+    many = found.where(F.size("sources") > 1)
+    if many.isEmpty():
+        each = each.withColumn("component", F.col("node"))
+    else:
+        rest = F.explode(F.slice("sources", F.lit(2), F.size("sources") - 1))
+        joined = components(many.select(F.element_at("sources", 1).alias("x"), rest.alias("y")).select(
+            _node(F.col("x")).alias("a"), _node(F.col("y")).alias("b")))
+        each = each.join(joined.withColumnRenamed("vertex", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    net = each.join(goals, "node").groupBy("component").agg(F.collect_list(F.struct("pattern", "words", "node", "size", "target")).alias("links"))
+    ship_package(found.sparkSession)
     costs = COSTS[:cap]
-    many = F.coalesce(F.size("sources"), F.lit(0)) != 1
-    shared = lookup(found.where(many).select(F.explode("sources").alias("shared")).distinct())
-    single = found.where(~many).withColumn("source", F.element_at("sources", 1))
-    is_shared = F.col("source").eqNullSafe(F.col("shared"))
-    listed = F.col("source").eqNullSafe(F.col("of_source"))
-    alone = single.join(shared, is_shared, "left_anti").join(goals.withColumnRenamed("source", "of_source"), listed)
-    given = F.least(F.rint("target").cast("long"), F.lit(len(costs)) * F.col("words"))
-    alone = alone.withColumn("given", given).selectExpr(
-        "sources AS of", "place AS pattern", "if(words > 0, given div words, 0) AS rounds", "if(words > 0, given % words, 0) AS rest",
-        "size AS source_size", "target")
-
-    net = found.where(many).unionByName(single.join(shared, is_shared, "left_semi").drop("source")).limit(NODES + 1).collect()
-    if len(net) > NODES:
-        raise ValueError(f"more than {NODES} overlapping membership patterns")
-    net = sorted(net, key=lambda r: str(r["sources"]))
-    goal = {r["source"]: r for r in goals.join(shared, is_shared, "left_semi").collect()} if net else {}
-    members = {i: r["sources"] or [] for i, r in enumerate(net)}
-    flow = min_cost_flow({i: r["words"] for i, r in enumerate(net)}, {s: round(r["target"]) for s, r in goal.items()}, members, costs)
-    given = dict.fromkeys(members, 0)
-    for (i, _), words in flow.items():
-        given[i] += words
-    plan = [(r["sources"], -1 - i, given[i] // r["words"] if r["words"] else 0, given[i] % r["words"] if r["words"] else 0,
-             sum(goal[s]["size"] for s in members[i]), float(sum(goal[s]["target"] for s in members[i]))) for i, r in enumerate(net)]
-    schema = "of array<string>, pattern long, rounds long, rest long, source_size long, target double"
-    return alone.unionByName(spark.createDataFrame(plan, schema))
+
+    def solve(batches):
+        for b in batches:
+            rows = [r for links in b["links"] for r in _solved(links.as_py(), costs)]
+            yield pa.RecordBatch.from_pylist(rows, pa.schema(
+                [(n, pa.float64() if n == "target" else pa.int64()) for n in ("pattern", "rounds", "rest", "source_size", "target")]))
+
+    plan = net.select("links").mapInArrow(solve, PLAN)
+    none = found.where(F.coalesce(F.size("sources"), F.lit(0)) <= 0).selectExpr(
+        "pattern", "0L AS rounds", "0L AS rest", "0L AS source_size", "0.0D AS target")
+    return plan.unionByName(none).join(found.select("pattern", F.col("sources").alias("of")), "pattern")
+
+
+def _solved(links: list[dict], costs) -> list[dict]:
+    """What the flow of one component gives each pattern. The order of patterns and sources follows from their names alone."""
+    words, members, goal = {}, {}, {}
+    for x in links:
+        words[x["pattern"]] = x["words"]
+        members.setdefault(x["pattern"], []).append(x["node"])
+        goal[x["node"]] = (x["size"], x["target"])
+    order = sorted(members, key=lambda k: sorted(members[k]))
+    flow = min_cost_flow({k: words[k] for k in order}, {s: round(goal[s][1]) for s in sorted(goal)},
+                         {k: sorted(members[k]) for k in order}, costs)
+    given = dict.fromkeys(order, 0)
+    for (k, _), n in flow.items():
+        given[k] += n
+    return [{"pattern": k, "rounds": given[k] // words[k] if words[k] else 0, "rest": given[k] % words[k] if words[k] else 0,
+             "source_size": sum(goal[s][0] for s in members[k]), "target": float(sum(goal[s][1] for s in members[k]))} for k in order]
 
 
 def _edges(rows: DataFrame, bucket: Column, filled: Column) -> DataFrame:
