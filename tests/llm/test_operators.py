@@ -496,6 +496,47 @@ def test_cut_texts_encode_like_whole_ones(docs, chunk):
     assert Counter((r.doc_id, tuple(r.ids), r.round_trip) for r in got) == expected
 
 
+def test_chunk_matrices_multiply_associatively():
+    """Any bracketing gives the same product, and its first row is the scan from the text's start."""
+    m = pieces.pieces(pieces.read_model())
+    text = pieces.SPACE + "theinternationalizationofthings,overandover".replace(" ", pieces.SPACE) * 3
+    parts = [text[i:i + 9] for i in range(0, len(text), 9)]
+    mats = [m.matrix(p, text[(i + 1) * 9:(i + 1) * 9 + m.longest - 1]) for i, p in enumerate(parts)]
+    left, right = mats[0], mats[-1]
+    for x in mats[1:]:
+        left = pieces.max_plus(left, x)
+    for x in mats[-2::-1]:
+        right = pieces.max_plus(x, right)
+    assert (left == right).all()
+    assert left[0, 0] == m.forward(text, {0: 0.0}, len(text))[0][-1]
+    flat = [x.ravel().tolist() for x in mats]
+    assert pieces._product(flat, m.longest) == left.ravel().tolist()
+
+
+@pytest.mark.parametrize("fan", [2, 3])
+def test_a_text_of_many_levels(spark, monkeypatch, fan):
+    monkeypatch.setattr(pieces, "FAN", fan)
+    m = pieces.pieces(pieces.read_model())
+    rows = [(1, "the internationalisation of things " * 20), (2, "x" * 400), (3, "日本語テキスト" * 60), (4, " " * 300), (1, "short but cut")]
+    got = pieces.encode(table(spark, [(k, t, "s") for k, t in rows]), chunk=11).collect()
+    want = Counter((k, tuple(np.frombuffer(m.encode(t), np.int32).tolist())) for k, t in rows)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in got) == want
+
+
+def test_boundaries_agree_with_the_merging_library(small):
+    """The share of piece boundaries that the model's own merging sets too, as the README states it."""
+    import sentencepiece
+
+    m = pieces.pieces(pieces.read_model())
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    both = mine = theirs = 0
+    for _, t in texts_of(small):
+        ends = lambda ids: {*np.cumsum([len(m.raw[i]) for i in ids]).tolist()}
+        a, b = ends(np.frombuffer(m.encode(t), np.int32).tolist()), ends(sp.encode(t))
+        both, mine, theirs = both + len(a & b), mine + len(a), theirs + len(b)
+    assert 0.88 < both / theirs < 0.95 and 0.98 < mine / theirs < 1.0
+
+
 def test_decoding_gives_the_text_back(small):
     got = {r.doc_id: r.text for r in pieces.decode(pieces.encode(small)).collect()}
     assert got == dict(texts_of(small))

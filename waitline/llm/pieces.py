@@ -3,8 +3,9 @@
 A text's best segmentation is a longest path over its characters. Giant texts are cut into chunks at
 fixed places. The state at a cut is how many characters the piece lying across it still needs, so a chunk
 is a small matrix of best scores from entry state to exit state, and matrices combine by the associative
-max-plus product. The scan gives each chunk the scores of its entry states, chunks then say which entry
-each exit leads back to, these maps compose from the end, and every chunk traces its own pieces.
+max-plus product, level by level over groups of chunks. Carried down again, the products give each chunk the
+scores of its entry states; chunks then say which entry each exit leads back to, these maps compose the same
+way from the end, and every chunk traces its own pieces.
 
 The model file is read on the driver and sent with the task. Scores of a unigram model are log-probabilities
 and used as they are; a BPE model has merge ranks instead, and its pieces get the log-probability that the
@@ -37,6 +38,7 @@ from waitline.sources.tables import stage
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK = 65_536
 MEMO = 350_000
+FAN = 16  # matrices multiplied in one step of the scan
 UNITS, SHIFT = 1 << 20, 100
 SPACE = "▁"
 NONE = -np.inf
@@ -239,8 +241,80 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame
     return rows.where(~long).mapInArrow(whole, ENCODED).unionByName(_encode_long(rows.where(long), proto, chunk))
 
 
+def max_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Product of two matrices of best scores: the best way through both. Associative."""
+    return (a[:, :, None] + b[None, :, :]).max(axis=1)
+
+
+def _level(parts: DataFrame, value: str, combine, schema: str) -> DataFrame:
+    """One level of the scan: FAN neighbours (row, k) become one (row, k div FAN), folded in order by `combine`.
+
+    A text's values are spread by group, so a giant text is combined by many tasks.
+    """
+    grouped = parts.groupBy("row", F.floor(F.col("k") / FAN).cast("int").alias("up")).agg(F.array_sort(F.collect_list(F.struct("k", value))).alias("held"))
+    held = grouped.select("row", F.col("up").alias("k"), F.transform("held", lambda x: x[value]).alias("held"))
+
+    def run(batches):
+        for b in batches:
+            yield _batch({"row": 0, "k": 0, value: pa.list_(pa.float64() if value == "matrix" else pa.int32())}, b["row"], b["k"],
+                         [combine(x.as_py()) for x in b["held"]])
+
+    return stage(held.repartition("row", "k").mapInArrow(run, schema))
+
+
+def _product(matrices: list[list[float]], n: int) -> list[float]:
+    out = np.asarray(matrices[0]).reshape(n, n)
+    for m in matrices[1:]:
+        out = max_plus(out, np.asarray(m).reshape(n, n))
+    return out.ravel().tolist()
+
+
+def _composed(maps: list[list[int]]) -> list[int]:
+    """Entry state of the first chunk for each exit state of the last."""
+    out = maps[-1]
+    for m in reversed(maps[:-1]):
+        out = [m[x] if x >= 0 else -1 for x in out]
+    return out
+
+
+def _down(parts: list[DataFrame], value: str, start: list, step, kind: str, backwards: bool) -> DataFrame:
+    """From the products of all levels: what each chunk begins with. `state` is carried from group to group.
+
+    parts[0] are the chunks' own values, each further table the products of groups of FAN of the one before.
+    step(state, value) goes over one of them; a group's members are gone through from its own state.
+    """
+    known = None
+    for table in reversed(parts):
+        rows = table.select("row", "k", F.floor(F.col("k") / FAN).cast("int").alias("up"), value)
+        groups = rows.groupBy("row", "up").agg(F.array_sort(F.collect_list(F.struct("k", value))).alias("held"))
+        if known is None:
+            groups = groups.withColumn("state", F.lit(None).cast(kind))
+        else:
+            groups = groups.join(known.withColumnRenamed("k", "up"), ["row", "up"])
+
+        def run(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    held = b["held"][i].as_py()
+                    state = b["state"][i].as_py()
+                    state = start if state is None else state
+                    out = []
+                    for x in reversed(held) if backwards else held:
+                        out.append((x["k"], state))
+                        state = step(state, x[value])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([b["row"][i].as_py()] * len(out), pa.int64()), pa.array([k for k, _ in out], pa.int32()),
+                         pa.array([v for _, v in out], pa.list_(pa.float64()) if "double" in kind else pa.list_(pa.int32()))],
+                        names=["row", "k", "state"])
+
+        known = stage(groups.repartition("row", "up").mapInArrow(run, f"row long, k int, state {kind}"))
+    return known
+
+
 def _encode_long(rows: DataFrame, proto: bytes, chunk: int) -> DataFrame:
-    """The scan over chunks. Each step is a job over chunk rows; what a text's chunks exchange are a few numbers each."""
+    """The scan over chunks. Matrices are multiplied level by level in groups of FAN, entry scores are carried down
+    again, and so are the exit states through the composed maps; then every chunk traces its own pieces. No task
+    holds more than FAN matrices of a text or its chunks one by one."""
     longest = pieces(proto).longest
     marked = F.concat(F.lit(SPACE), F.translate("text", " ", SPACE))
     numbers = F.sequence(F.lit(0), F.floor((F.length("marked") - 1) / chunk).cast("int"))
@@ -250,7 +324,11 @@ def _encode_long(rows: DataFrame, proto: bytes, chunk: int) -> DataFrame:
                    F.substring("marked", (F.col("k") + 1) * chunk + 1, F.lit(longest - 1)).alias("ahead"),
                    F.when(F.col("k") == 0, F.col("doc_id")).alias("doc_id"), F.when(F.col("k") == 0, F.col("text")).alias("text")))
     cut = stage(cut)
+    total, most = cut.agg(F.count(F.lit(1)), F.max("k")).first()
     parts = cut.select("row", "k", "body", "ahead")
+    # A given number of tasks: chunks are few bytes but long work, so they would be merged into few.
+    tasks = max(1, min(total, 4 * rows.sparkSession.sparkContext.defaultParallelism))
+    spread = lambda df: df.repartition(tasks, "row", "k")
 
     def matrices(batches):
         m = pieces(proto)
@@ -258,35 +336,19 @@ def _encode_long(rows: DataFrame, proto: bytes, chunk: int) -> DataFrame:
             values = [m.matrix(x.as_py(), y.as_py()).ravel().tolist() for x, y in zip(b["body"], b["ahead"])]
             yield _batch({"row": 0, "k": 0, "matrix": pa.list_(pa.float64())}, b["row"], b["k"], values)
 
-    def scan(pdf):
-        """Entry scores of each chunk: the start vector times the product of all matrices before it."""
-        pdf = pdf.sort_values("k")
-        state, seen = np.full(longest, NONE), []
-        state[0] = 0.0
-        for flat in pdf["matrix"]:
-            seen.append(state.tolist())
-            state = (state[:, None] + np.asarray(flat).reshape(longest, longest)).max(axis=0)
-        return pdf[["row", "k"]].assign(entry=seen)
+    def enter(state, flat):
+        return (np.asarray(state)[:, None] + np.asarray(flat).reshape(longest, longest)).max(axis=0).tolist()
 
     def origins(batches):
         m = pieces(proto)
         for b in batches:
             values = [m.entries(x.as_py(), y.as_py(), e.as_py()) for x, y, e in zip(b["body"], b["ahead"], b["entry"])]
-            yield _batch({"row": 0, "k": 0, "entry": 0, "came": pa.list_(pa.int32())}, b["row"], b["k"], b["entry"], values)
-
-    def unwind(pdf):
-        """Exit state of each chunk, from the text's end back through the maps from exit to entry."""
-        pdf = pdf.sort_values("k", ascending=False)
-        leave, seen = 0, []
-        for came in pdf["came"]:
-            seen.append(leave)
-            leave = came[leave]
-        return pdf[["row", "k", "entry"]].assign(leave=seen)
+            yield _batch({"row": 0, "k": 0, "came": pa.list_(pa.int32())}, b["row"], b["k"], values)
 
     def traced(batches):
         m = pieces(proto)
         for b in batches:
-            values = [m.piece_ids(x.as_py(), y.as_py(), e.as_py(), v.as_py())
+            values = [m.piece_ids(x.as_py(), y.as_py(), e.as_py(), v.as_py()[0])
                       for x, y, e, v in zip(b["body"], b["ahead"], b["entry"], b["leave"])]
             yield _batch({"row": 0, "k": 0, "ids": pa.list_(pa.int32())}, b["row"], b["k"], _lists(values))
 
@@ -298,11 +360,21 @@ def _encode_long(rows: DataFrame, proto: bytes, chunk: int) -> DataFrame:
                 sha, same = _digest(m, text, ids)
                 yield _batch(OUT, b["doc_id"].slice(i, 1), [len(text)], [len(ids) // 4], _lists([ids]), [sha], [same])
 
-    first = parts.mapInArrow(matrices, "row long, k int, matrix array<double>")
-    entry = first.groupBy("row").applyInPandas(scan, "row long, k int, entry array<double>")
-    known = parts.join(entry, ["row", "k"]).mapInArrow(origins, "row long, k int, entry array<double>, came array<int>")
-    leave = known.groupBy("row").applyInPandas(unwind, "row long, k int, entry array<double>, leave int")
-    ids = parts.join(leave, ["row", "k"]).mapInArrow(traced, "row long, k int, ids array<int>")
+    def levels(first: DataFrame, value: str, combine, schema: str) -> list[DataFrame]:
+        out, groups = [first], (most or 0) // FAN + 1
+        while groups > 1:
+            out.append(_level(out[-1], value, combine, schema))
+            groups = (groups - 1) // FAN + 1
+        return out
+
+    begin = [0.0] + [NONE] * (longest - 1)
+    product = levels(stage(spread(parts).mapInArrow(matrices, "row long, k int, matrix array<double>")), "matrix",
+                     lambda held: _product(held, longest), "row long, k int, matrix array<double>")
+    entry = _down(product, "matrix", begin, enter, "array<double>", False).withColumnRenamed("state", "entry")
+    came = stage(spread(parts.join(entry, ["row", "k"])).mapInArrow(origins, "row long, k int, came array<int>"))
+    composed = levels(came, "came", _composed, "row long, k int, came array<int>")
+    leave = _down(composed, "came", [0], lambda state, came_: [came_[state[0]]], "array<int>", True).withColumnRenamed("state", "leave")
+    ids = spread(parts.join(entry, ["row", "k"]).join(leave, ["row", "k"])).mapInArrow(traced, "row long, k int, ids array<int>")
     joined = ids.groupBy("row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     heads = cut.where("k = 0").select("row", "doc_id", "text")
     return joined.join(heads, "row").select("doc_id", "text", "ids").mapInArrow(decoded, ENCODED)
