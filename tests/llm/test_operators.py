@@ -391,6 +391,41 @@ def test_boilerplate_lines_per_host(spark):
     assert by[22, "c.example", 0, 0, ""] == 1 and by[23, "", 0, 0, ""] == 1
 
 
+def test_lines_of_a_page():
+    """Against the plain pattern on short pages, and in little time on long ones with unclosed marks."""
+    import time
+
+    hidden = re.compile(r"<!--.*?-->|<(script|style)\b.*?</\1\s*>", re.I | re.S | re.A)
+    rng = np.random.default_rng(5)
+    bits = ["<!--", "-->", "<script>", "</script>", "<STYLE a>", "</style >", "<p>", "text ", "\n", "<", ">", " b", "<scripted>", "<b"]
+    for _ in range(3000):
+        html = "".join(rng.choice(bits, rng.integers(0, 14)))
+        plain = [x.strip(" ") for x in re.split(r"<[^>]*>|\n", hidden.sub("\n", html))]
+        assert lines.lines_of(html) == [x for x in plain if x], html
+    for bad in ("<!-- x ", "<script ", "<style", "<", "<b ", "<!-- <script <style "):
+        start = time.time()
+        lines.lines_of(bad * (1_000_000 // len(bad)))
+        lines.lines_of("<p>a</p>" + bad * (1_000_000 // len(bad)) + "<p>b</p>")
+        assert time.time() - start < 5, bad
+
+
+def test_boilerplate_against_plain_counts(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(300):
+        site = f"h{int(rng.integers(12)) ** 2 % 11}"
+        body = "".join(f"<p>{w}</p>" for w in rng.choice(["menu", "foot", "ad", *[f"t{k}" for k in range(60)]], rng.integers(0, 9)))
+        rows.append((i % 290, None if i % 50 == 0 else f"https://{site}.example/{i}", None if i % 70 == 0 else body + "<!-- menu --> x"))
+    got = Counter(map(tuple, lines.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()))
+    cut = [(k, "" if u is None else u.split("/")[2], lines.lines_of(h or "")) for k, u, h in rows]
+    total, seen = Counter(h for _, h, _ in cut), Counter((h, x) for _, h, ls in cut for x in {*ls})
+    want = Counter()
+    for k, h, ls in cut:
+        stay = [x for x in ls if not (seen[h, x] >= 2 and seen[h, x] > 0.1 * total[h])]
+        want[k, h, len(ls), len(ls) - len(stay), "\n".join(stay)] += 1
+    assert got == want
+
+
 def test_a_host_of_two_pages_loses_its_menu(spark):
     rows = [(k, f"http://two.example/{k}", f"<p>menu</p><p>own {k}</p><p>foot</p>") for k in range(2)] + [(2, "http://one.example", "<p>menu</p>")]
     got = lines.drop_boilerplate(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -69,3 +69,23 @@ WITH RECURSIVE bits AS (
 )
 SELECT f.word, f.form, s.at AS root, f.n, f.n_near, f.form_n FROM forms f JOIN steps s ON s.word = f.word AND s.next IS NULL
 """
+
+ORACLES["op6_line_dedup"] = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS host,
+         list_filter(list_transform(string_split_regex(regexp_replace(coalesce(html, ''),
+           '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', chr(10), 'g'), '<[^>]*>|\n'),
+           lambda x: trim(x, ' ')), lambda x: x <> '') AS lines
+  FROM pages
+), totals AS (
+  SELECT host, count(*) AS total FROM p GROUP BY host
+), counts AS (
+  SELECT host, line, count(*) AS n FROM (SELECT r, host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY ALL
+), drops AS (
+  SELECT host, list(line) AS gone FROM counts JOIN totals USING (host) WHERE n >= 2 AND n > 0.1::DOUBLE * total GROUP BY host
+), kept AS (
+  SELECT page_id, host, lines, list_filter(lines, lambda x: NOT list_contains(coalesce(gone, []), x)) AS stay FROM p LEFT JOIN drops USING (host)
+)
+SELECT page_id, host, len(lines)::BIGINT AS n_lines, (len(lines) - len(stay))::BIGINT AS n_dropped,
+       coalesce(array_to_string(stay, chr(10)), '') AS text FROM kept
+"""
