@@ -467,6 +467,27 @@ def test_shards_hold_every_document_once(docs, tmp_path):
     assert Counter(i for ids in rows["doc_ids"] for i in ids) == Counter(i for i, _ in texts_of(docs))
 
 
+def test_shards_do_not_depend_on_splits(spark, tmp_path):
+    """The same files read in few or many splits, and by other numbers of tasks, give the same sequences."""
+    rows = [(i, f"{BASE[i % 4]} number {i} " * (1 + i % 30), f"s{i % 3}") for i in range(3000)]
+    table(spark, rows).repartition(5).write.option("parquet.block.size", 20_000).parquet(f"{tmp_path}/docs")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    found = []
+    try:
+        for size, cost in (("128m", "4m"), ("1m", "1k"), ("8k", "1k")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", cost)
+            df = spark.read.parquet(f"{tmp_path}/docs")
+            folder = f"{tmp_path}/out-{size}"
+            out = shards.write_shards(df, folder, length=64, per_shard=500).collect()
+            assert {r.folder for r in out} == {folder}
+            found.append((df.rdd.getNumPartitions(), {(r.slot, r.sequence, r.sha256, tuple(r.doc_ids)) for r in out}))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found[0][0] < found[2][0] and found[0][1] == found[1][1] == found[2][1] and len(found[0][1]) > 1000
+
+
 # Pieces --------------------------------------------------------------------------------------
 
 def unigram_library(m):

@@ -1,17 +1,19 @@
 """Token-ID output in training order: every sequence has a slot from a keyed permutation, shards have a fixed stride.
 
-Documents in the order in which the table is read form one token stream, an end mark after each; the stream
-is cut into sequences of equal length. Sequence i goes to slot permute(i), a Feistel network over the next
+Documents in the order of the table's files, and within a file of its rows, form one token stream, an end mark
+after each, however the files are split among tasks (a table that is no file is taken in the order of its
+partitions); the stream is cut into sequences of equal length. Sequence i goes to slot permute(i), a Feistel network over the next
 even power of two that walks its cycle until it lands below the number of sequences. Shard k holds slots
 k * per_shard and following, each at a fixed byte offset, so a reader that stopped at any slot seeks and goes on.
 
-The stream is never in one place. Each scan task stores its tokens with their place in its own part, which
-fixes the order for good; the token counts of the parts give each its offset; pieces of sequences go packed
+The stream is never in one place. Each scan task stores its tokens with their place in the split they were
+read from, which fixes the order for good; the token counts of the splits give each its offset; pieces of sequences go packed
 to the shard they belong to, and a shard's task writes its file under a name of its own and renames it, so
 a task that is run again leaves one complete file.
 
 Defined cases: a null text counts as empty and gives its end mark; a null id stays null; repeated rows are
-documents of their own; the last sequence is filled with end marks; no rows give no rows and no files; other
+documents of their own, each in its place; a very long text is encoded whole, in memory of some ten times its
+size; the last sequence is filled with end marks; no rows give no rows and no files; other
 columns are not read.
 """
 
@@ -30,10 +32,10 @@ import pyarrow.fs
 import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from waitline.llm.common import chunks, offsets, texts
+from waitline.llm.common import texts
 from waitline.sources.session import ship_package
 from waitline.sources.tables import lookup, stage, workspace
 
@@ -44,7 +46,7 @@ LENGTH, PER_SHARD, KEY, ROUNDS = 2048, 8192, 0x5DEECE66D, 6
 UNIT_TOKENS = 1 << 20
 ROWS = ("slot long, sequence long, shard int, byte_offset long, n_tokens int, sha256 string, doc_ids array<long>, starts array<int>")
 
-UNIT = pa.schema([("part", pa.int32()), ("place", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()),
+UNIT = pa.schema([("file", pa.string()), ("block", pa.int64()), ("part", pa.int32()), ("place", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()),
                   ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64()))])
 _LISTS = ("slots", "sequences", "places", "sizes", "doc_ids", "doc_slots", "starts")
 PIECES = pa.schema([("shard", pa.int64()), ("tokens", pa.binary()), *((c, pa.list_(pa.int64())) for c in _LISTS)])
@@ -116,7 +118,7 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
     """Write the shards below folder (default: a new one in the shared folder) when the result is computed.
 
     One row per sequence: slot, sequence (place in the stream), shard, byte_offset, n_tokens (without
-    filling), sha256 of its bytes, and the doc_ids that start in it with their places.
+    filling), sha256 of its bytes, the doc_ids that start in it with their places, and the folder of the shards.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -126,15 +128,20 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
 
     def tokenise(batches):
         e = encoder(words.value)
-        part, place, held_ids, starts, parts, n = TaskContext.get().partitionId(), 0, [], [], [], 0
+        part, place, held_ids, starts, parts, n, split = TaskContext.get().partitionId(), 0, [], [], [], 0, ("", -1)
 
         def unit():
             packed = zstandard.compress(b"".join(parts), 6)
-            return pa.RecordBatch.from_pylist([{"part": part, "place": place, "n": n, "tokens": packed, "doc_ids": held_ids, "starts": starts}], UNIT)
+            return pa.RecordBatch.from_pylist([{"file": split[0], "block": split[1], "part": part, "place": place, "n": n, "tokens": packed,
+                                                "doc_ids": held_ids, "starts": starts}], UNIT)
 
-        for held in chunks(batches, 1 << 20):
-            for key_, text in held:
-                ids = e.encode(text) + np.uint16(e.end).tobytes()
+        for batch in batches:
+            for key_, text, file, block in zip(batch["doc_id"].to_pylist(), batch["text"], batch["file"].to_pylist(), batch["block"].to_pylist()):
+                if (file, block) != split:
+                    if n:
+                        yield unit()
+                    place, held_ids, starts, parts, n, split = 0, [], [], [], 0, (file, block)
+                ids = e.encode(text.as_py()) + np.uint16(e.end).tobytes()
                 held_ids.append(key_)
                 starts.append(n)
                 parts.append(ids)
@@ -145,8 +152,12 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
         if n:
             yield unit()
 
-    tokens = stage(texts(docs).mapInArrow(tokenise, "part int, place long, n long, tokens binary, doc_ids array<long>, starts array<long>"))
-    sums = tokens.groupBy("part").agg(F.sum("n").alias("n"))
+    # Where a row was read from: the same for any way of splitting files, but for the block within a file, which keeps their order.
+    read = texts(docs).withColumn("file", F.input_file_name()).withColumn("block", F.input_file_block_start())
+    tokens = stage(read.mapInArrow(
+        tokenise, "file string, block long, part int, place long, n long, tokens binary, doc_ids array<long>, starts array<long>"))
+    split = ["file", "block", "part"]
+    sums = tokens.groupBy(*split).agg(F.sum("n").alias("n"))
     total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     count = -(-total // length)
 
@@ -205,9 +216,10 @@ def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGT
             "doc_ids": pa.array([[d for _, d in x] for x in inside], pa.list_(pa.int64())),
             "starts": pa.array([[s for s, _ in x] for x in inside], pa.list_(pa.int32()))})
 
-    base = lookup(offsets(sums.withColumnRenamed("part", "block"), "block", "n").withColumnRenamed("block", "part"))
-    pieces = tokens.join(base, "part").mapInArrow(cut, PIECE_ROWS)
-    return pieces.groupBy("shard").applyInArrow(write, ROWS)
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    base = lookup(sums.select(*split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    pieces = tokens.join(base, split).mapInArrow(cut, PIECE_ROWS)
+    return pieces.groupBy("shard").applyInArrow(write, ROWS).withColumn("folder", F.lit(folder))
 
 
 def read_from(folder: str, slot: int, count: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
