@@ -279,3 +279,11 @@ def test_rolled_up_percentile_is_near_the_exact_rank(spark):
     assert sum(r.patients for r in hours) == 60_000 and len(hours) == 15
     days = windows.rolled_up_percentile(windows.wait_sketches(m, P), "1 day").collect()
     assert [r.patients for r in days] == [60_000] and abs(days[0].p95_queue_wait_minutes - 570) <= 0.6
+
+
+def test_points_off_the_grid_are_not_moved(spark, rows):
+    m = lifecycle.patient_metrics(visit_frame(spark, rows), P)
+    point = spark.createDataFrame([("LAB_A", at(7))], "lab_id string, window_start timestamp")
+    for run in (replay.staffing_sweep, replay.window_load):
+        with pytest.raises(Exception, match="off the grid"):
+            run(m, point, P).collect()

@@ -30,6 +30,12 @@ def floor_cell(us: Column, step: int, origin: Column | int = 0) -> Column:
     return ((rel - F.pmod(rel, F.lit(step))) / F.lit(step)).cast("long")
 
 
+def exact_cell(us: Column, step: int) -> Column:
+    """Grid cell of a time that lies on the grid; any other stops the query."""
+    off = F.raise_error(F.lit("a point lies off the grid: use grid.episode_at for such moments")).cast("long")
+    return F.when(F.pmod(us, F.lit(step)) == 0, floor_cell(us, step)).when(us.isNotNull(), off)
+
+
 def ceil_cell(us: Column, step: int, origin: Column | int = 0) -> Column:
     """First grid cell at or after a time."""
     rel = us - origin

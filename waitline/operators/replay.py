@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waitline.functions.clock import MINUTE_US, ceil_cell, cells, floor_cell, micros
+from waitline.functions.clock import MINUTE_US, ceil_cell, cells, exact_cell, floor_cell, micros
 from waitline.functions.spread import by_work
 from waitline.params import Params
 
@@ -73,7 +73,7 @@ def staffing_sweep(metrics: DataFrame, timeline: DataFrame, p: Params = Params()
 
     Arrays are indexed by extra staff. One row per timeline point; points lie on window starts.
     """
-    points = timeline.select("lab_id", F.col(at).alias("window_start"), floor_cell(micros(at), p.step_us).alias("cell"))
+    points = timeline.select("lab_id", F.col(at).alias("window_start"), exact_cell(micros(at), p.step_us).alias("cell"))
     gathered = (jobs_at(metrics, p).join(points.select("lab_id", "cell").distinct(), ["lab_id", "cell"], "left_semi")
                 .groupBy("lab_id", "cell").agg(F.array_sort(F.collect_list("job")).alias("jobs")))
     rows = points.join(gathered, ["lab_id", "cell"], "left").withColumn("jobs", F.coalesce("jobs", F.expr(
@@ -100,7 +100,7 @@ def scores_of(jobs: Column, stations: Column, p: Params) -> Column:
 
 def window_load(metrics: DataFrame, timeline: DataFrame, p: Params = Params(), at: str = "window_start") -> DataFrame:
     """Waiting, already breached and arriving customers of each point: counts alone, no replay."""
-    points = timeline.select("lab_id", F.col(at).alias("window_start"), floor_cell(micros(at), p.step_us).alias("cell"))
+    points = timeline.select("lab_id", F.col(at).alias("window_start"), exact_cell(micros(at), p.step_us).alias("cell"))
     job = jobs_at(metrics, p)
     is_ = lambda number: F.col("job.phase") == number
     counts = job.groupBy("lab_id", "cell").agg(

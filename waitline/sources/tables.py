@@ -18,15 +18,19 @@ def workspace(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/waitline-{uuid.uuid4().hex}"
 
 
+def _store(df: DataFrame) -> str:
+    folder = workspace(df.sparkSession)
+    df.write.parquet(folder)
+    discard_later(df.sparkSession, folder)
+    return folder
+
+
 def stage(df: DataFrame) -> DataFrame:
     """Store a costly intermediate table and read it back, so that later steps that use it
     several times do not compute it again and a lost executor does not restart the chain.
 
     The folder goes when the application ends."""
-    folder = workspace(df.sparkSession)
-    df.write.parquet(folder)
-    discard_later(df.sparkSession, folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(_store(df))
 
 
 def discard_later(spark: SparkSession, folder: str) -> None:
@@ -35,16 +39,19 @@ def discard_later(spark: SparkSession, folder: str) -> None:
     fs.deleteOnExit(target)
 
 
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 16 << 20
 
 
 def lookup(df: DataFrame) -> DataFrame:
-    """Store a per-key table and mark it for broadcast only if its counted rows are few.
+    """Store a per-key table and mark it for broadcast only if what is stored is few rows and few bytes.
 
-    Beyond the limit it stays an ordinary join side, which adaptive execution splits on skew.
+    Beyond the limits it stays an ordinary join side, which adaptive execution splits on skew.
     """
-    stored = stage(df)
-    return F.broadcast(stored) if stored.count() <= BROADCAST_ROWS else stored
+    folder = _store(df)
+    stored = df.sparkSession.read.schema(df.schema).parquet(folder)
+    _, target, fs = _filesystem(df.sparkSession, folder)
+    small = fs.getContentSummary(target).getLength() <= BROADCAST_BYTES and stored.count() <= BROADCAST_ROWS
+    return F.broadcast(stored) if small else stored
 
 
 def _filesystem(spark: SparkSession, path: str):
