@@ -84,8 +84,7 @@ def staffing_sweep(metrics: DataFrame, timeline: DataFrame, p: Params = Params()
     if p.on_overflow == "error":
         fits = F.when(serving > p.staff_count, F.raise_error(F.lit("a window has more customers in service than stations")).cast("array<double>"))
         rows = rows.where(F.coalesce(F.size(fits), F.lit(0)) <= 0)
-    levels = F.transform(F.sequence(F.lit(0), F.lit(p.max_additional_staff)),
-                         lambda x: scores_of(F.col("jobs"), x + p.staff_count, p))
+    levels = level_scores(F.col("jobs"), p)
     out = rows.select("lab_id", "window_start", count(lambda j: j["phase"] == WAITING).alias("initial_waiting"),
                       serving.alias("initial_in_service"), count(lambda j: j["phase"] == FUTURE).alias("future_arrivals"),
                       count(lambda j: (j["phase"] == WAITING) & (j["accrued"] > p.queue_sla_minutes)).alias("already_breached"),
@@ -93,9 +92,29 @@ def staffing_sweep(metrics: DataFrame, timeline: DataFrame, p: Params = Params()
     return out.select(*out.columns[:-1], *[F.col(f"levels.{c}").alias(c) for c in ("avg", "p95", "max", "sla")])
 
 
-def scores_of(jobs: Column, stations: Column, p: Params) -> Column:
-    """Scores of one number of stations; the waits are computed once and then named."""
-    return F.element_at(F.transform(F.array(served(jobs, stations)), lambda waits: scores(waits, p)), 1)
+def named(value: Column, then) -> Column:
+    """An expression of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def level_scores(jobs: Column, p: Params) -> Column:
+    """Scores for 0..max extra staff. A level is replayed only if more staff can still change its waits.
+
+    With a station for every job, each wait is what the customer has waited so far. Once a level's waits are these, all
+    further levels have them too; a window with nobody waiting or arriving has no waits at any level.
+    """
+    scored = F.filter(jobs, lambda j: j["accrued"].isNotNull())
+    unlimited = F.array_sort(F.transform(scored, lambda j: F.lit(0.0) + j["accrued"]))
+
+    def waits_of(least: Column) -> Column:
+        def step(levels, x):
+            settled = (F.size(jobs) <= x + p.staff_count) | F.coalesce(F.try_element_at(levels, F.lit(-1)) == least, F.lit(False))
+            return F.array_append(levels, F.when(settled, least).otherwise(served(jobs, x + p.staff_count)))
+
+        replayed = F.aggregate(F.sequence(F.lit(0), F.lit(p.max_additional_staff)), F.array().cast("array<array<double>>"), step)
+        return F.when(F.size(least) == 0, F.array_repeat(least, p.max_additional_staff + 1)).otherwise(replayed)
+
+    return F.transform(named(unlimited, waits_of), lambda waits: scores(waits, p))
 
 
 def window_load(metrics: DataFrame, timeline: DataFrame, p: Params = Params(), at: str = "window_start") -> DataFrame:
