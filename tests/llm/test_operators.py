@@ -12,6 +12,7 @@ import pytest
 
 from waitline.llm import (common, components, exact_dedup, fingerprint, katz, licenses, lines, minhash, mixing, pieces, queries, shards,
                           toxicity)
+from waitline.sources.tables import workspace as common_workspace
 
 SMALL = "/root/testdata/sf0.001"
 SCHEMA = ("doc_id long, text string, lang string, source string, n_chars long, size long, target double, taken long, n long, "
@@ -304,6 +305,20 @@ def test_katz_without_training_rows(docs):
     assert len(got) == docs.count() and all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in got)
 
 
+def test_katz_texts_are_stored_once_whatever_the_blocks(spark, docs, monkeypatch):
+    """Several blocks share a partition, a partition is one file, and no table stays behind."""
+    rows = lambda df: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.score, 9)) for r in df.collect())
+    train = katz.F.col("doc_id") % 3 != 0
+    expected = rows(katz.score_documents(docs, train, 500))
+    folders = []
+    monkeypatch.setattr(katz, "workspace", lambda s: folders.append(common_workspace(s)) or folders[-1])
+    monkeypatch.setattr(katz, "PARTS", 3)
+    assert rows(katz.score_documents(docs, train, 500)) == expected
+    stored = spark.read.parquet(folders[0])
+    assert len(stored.inputFiles()) <= 3 < stored.select("block").distinct().count()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("katz_")]
+
+
 # Licences ------------------------------------------------------------------------------------
 
 def test_license_phrases_against_a_plain_search(docs, small):

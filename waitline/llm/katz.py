@@ -10,11 +10,14 @@ The counts live in two tables partitioned by hash: words, and bigrams under thei
 cut into blocks. A block asks each partition once for the distinct words or bigrams it holds, in one
 packed message with its own counts; the partition adds up all messages and answers with totals in the same
 order. So no message repeats a key, nothing needs a table in memory as a whole, and a lost task is redone
-from its block. Frequent histories are spread over many partitions by the following word.
+from its block. A block sends no message to a partition it asks nothing, so messages are never more than the
+distinct keys of all blocks. Frequent histories are spread over many partitions by the following word.
+The texts are shuffled once, by block, into a table of one file a partition, which all passes read in place;
+the table leaves the catalog before the scores are returned.
 
 Defined cases: a null text counts as empty and is the end token alone; a null id is neither dropped nor
 held out; without training tokens every token is the unknown one; repeated rows are documents of their own;
-no rows give no rows; other columns are not read.
+no rows give no rows; other columns are not read. A very long text makes its block as long as itself.
 """
 
 from __future__ import annotations
@@ -33,6 +36,7 @@ from waitline.sources.session import ship_package
 from waitline.sources.tables import discard_later, stage, workspace
 
 BLOCK_BYTES = 12 << 20
+PARTS = 20_000  # most partitions of the stored texts; beyond, a partition holds several blocks, read one after the other
 TOP = 5  # largest discounted count
 HOT, SALTS = 256, 64  # histories of over 1/HOT of all tokens are spread over SALTS partitions
 END, BEGIN = np.uint64(0x1D872B41A5B1C3E7), np.uint64(0x7A3C55D09F1E6B25)
@@ -114,16 +118,16 @@ class Block:
         self.from_train = np.repeat(self.train, self.length)
 
     def asked(self, buckets: int):
-        """Positions of the words each partition answers for."""
+        """(bucket, positions of the words it answers for) of every partition with any."""
         of = (self.words % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(of, kind="stable")
-        return np.split(order, np.searchsorted(of[order], np.arange(1, buckets)))
+        names, starts = np.unique(of[order], return_index=True)
+        return zip(names.tolist(), np.split(order, starts[1:]))
 
     def learn(self, answers: dict[int, bytes], buckets: int) -> None:
         self.count = np.zeros(len(self.words), np.int64)
-        for bucket, at in enumerate(self.asked(buckets)):
-            if len(at):
-                self.count[at] = unpack(answers[bucket])[0]
+        for bucket, at in self.asked(buckets):
+            self.count[at] = unpack(answers[bucket])[0]
 
     def pair(self, total: int, begins: int, buckets: int) -> None:
         """Distinct bigrams, under group keys (history, and for a frequent one a salt from the word)."""
@@ -151,14 +155,13 @@ class Block:
         self.key = key ^ (key >> np.uint64(29))
         self.bucket = (self.key % np.uint64(buckets)).astype(np.int64)
 
-    def requests(self, buckets: int):
-        """(bucket, groups, bigrams) by position, in the order messages are written and answered."""
+    def requests(self):
+        """(bucket, groups, bigrams) by position, in the order messages are written and answered; no bucket without groups."""
         by_group = np.argsort(self.bucket, kind="stable")
-        cut = np.searchsorted(self.bucket[by_group], np.arange(1, buckets))
+        names, starts = np.unique(self.bucket[by_group], return_index=True)
         own = self.bucket[self.group]
         by_pair = np.lexsort((self.group, own))
-        cut_pair = np.searchsorted(own[by_pair], np.arange(1, buckets))
-        return zip(range(buckets), np.split(by_group, cut), np.split(by_pair, cut_pair))
+        return zip(names.tolist(), np.split(by_group, starts[1:]), np.split(by_pair, np.searchsorted(own[by_pair], names[1:])))
 
 
 def message(block: int, bucket: int, payload: bytes) -> dict:
@@ -181,18 +184,21 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
     size, begins = rows.agg(F.sum(F.octet_length("text") + 1), F.count_if("train")).first()
     blocks = max(1, -(-(size or 0) // block_bytes))
     buckets = max(1, (blocks + 1) // 2)
-    # Bucketed by block, so that the three passes over the texts need no shuffle of them.
+    # Bucketed by block, so that the three passes over the texts need no shuffle of them. Each task of the
+    # one shuffle before holds one bucket and writes one file.
+    parts = min(blocks, PARTS)
     name = f"katz_{uuid.uuid4().hex}"
     placed = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(blocks)).cast("int"))
     folder = workspace(spark)
-    placed.write.bucketBy(blocks, "block").option("path", folder).saveAsTable(name)
+    (placed.repartition(parts, "block").write.bucketBy(parts, "block").option("path", folder).option("compression", "zstd")
+     .saveAsTable(name))
     discard_later(spark, folder)
     table = spark.table(name)
 
     def ask_words(key, held):
         b = Block(held)
         own = np.bincount(b.token, weights=b.from_train, minlength=len(b.words)).astype(np.uint32)
-        out = [message(key[0].as_py(), k, pack(planes(b.words[at]), own[at])) for k, at in enumerate(b.asked(buckets)) if len(at)]
+        out = [message(key[0].as_py(), k, pack(planes(b.words[at]), own[at])) for k, at in b.asked(buckets)]
         return pa.Table.from_pylist(out, MESSAGE_SCHEMA)
 
     def answer_words(key, held):
@@ -220,13 +226,12 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
             return MESSAGE_SCHEMA.empty_table()
         b, _ = known(docs_, answers)
         out = []
-        for k, groups, pairs in b.requests(buckets):
-            if len(groups):
-                place = np.searchsorted(groups, b.group[pairs])  # groups of a bucket are in rising order
-                used, word = np.unique(b.w[pairs], return_inverse=True)
-                out.append(message(key[0].as_py(), k, pack(
-                    b.key[groups], np.bincount(place, minlength=len(groups)).astype(np.uint32), planes(b.words[used]),
-                    b.count[used], word.astype(np.uint32), b.times[pairs].astype(np.uint32))))
+        for k, groups, pairs in b.requests():
+            place = np.searchsorted(groups, b.group[pairs])  # groups of a bucket are in rising order
+            used, word = np.unique(b.w[pairs], return_inverse=True)
+            out.append(message(key[0].as_py(), k, pack(
+                b.key[groups], np.bincount(place, minlength=len(groups)).astype(np.uint32), planes(b.words[used]),
+                b.count[used], word.astype(np.uint32), b.times[pairs].astype(np.uint32))))
         return pa.Table.from_pylist(out, MESSAGE_SCHEMA)
 
     def answer_bigrams(key, held):
@@ -266,9 +271,8 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
         b, found = known(docs_, answers)
         c = np.zeros(len(b.h), np.int64)
         low, mass = np.zeros((len(b.groups), TOP)), np.zeros(len(b.groups))
-        for k, groups, pairs in b.requests(buckets):
-            if len(groups):
-                c[pairs], low[groups], mass[groups] = unpack(found[k])
+        for k, groups, pairs in b.requests():
+            c[pairs], low[groups], mass[groups] = unpack(found[k])
         # Parts of a spread history add up.
         n = len(b.words) + 1
         whole = b.groups // SALTS
@@ -291,7 +295,8 @@ def score_documents(docs: DataFrame, train: Column, block_bytes: int = BLOCK_BYT
 
     second = bigrams.where("block >= 0").select("block", F.lit(2).alias("kind"), "bucket", "payload")
     answers = first.unionByName(second)
-    scored = table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluate, SCORES)
+    scored = stage(table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(evaluate, SCORES))
+    spark.sql(f"DROP TABLE {name}")
     return scored.withColumn("train_tokens", F.lit(base.total).cast("long"))
 
 
