@@ -210,7 +210,10 @@ def test_near_copies_against_all_pairs(request, which, k):
         assert r.kept == (r.doc_id == r.component_id)
 
 
-def test_chains_in_large_groups_are_found(spark):
+@pytest.mark.parametrize("slice_", [minhash.SLICE, 7])
+def test_chains_in_large_groups_are_found(spark, monkeypatch, slice_):
+    """Also where a bucket's members are dealt into many parts."""
+    monkeypatch.setattr(minhash, "SLICE", slice_)
     words = [f"w{i}" for i in range(100)]
     rng = np.random.default_rng(5)
     rows = []

@@ -7,7 +7,8 @@ entries, corrected for chance matches. Pairs that the estimate does not rule out
 
 Inside a band bucket nobody is compared with everybody. First each member meets the bucket's hub (chosen
 anew by hash in every band). Where a bucket still spans several components, members of different ones
-meet in a second pass, whose join confirms pairs in its condition. So a link is lost only if a pair shares
+meet in a second pass, whose join confirms pairs in its condition; a bucket of many such members is dealt
+into parts, each in a task of its own, which the partners visit one by one. So a link is lost only if a pair shares
 no band (5e-5 at similarity 0.8), or shares one and the estimate rules it out (1.4e-4; together 1.9e-4,
 for independent minima).
 
@@ -30,6 +31,7 @@ from waitline.sources.tables import lookup, stage
 
 BANDS, ROWS, BITS = 25, 5, 2
 SIMILARITY = 80  # per cent
+SLICE = 1024  # members of a bucket that one part holds in the second pass
 # Four standard deviations of the estimate below the threshold.
 ESTIMATE = SIMILARITY / 100 - 4 * (0.85 * 0.15 / (BANDS * ROWS)) ** 0.5 / (1 - 2.0 ** -BITS)
 MULTIPLIERS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -151,14 +153,18 @@ def _across(docs: DataFrame, apart: DataFrame, keys: DataFrame, shingle: int) ->
     """Confirmed pairs (a, b) of one bucket whose components differ.
 
     Only members with a plausible partner stay, with their sets; the join's own condition then confirms a
-    pair, in the first bucket that the two share. So no row is made for a pair that fails.
+    pair, in the first bucket that the two share. So no row is made for a pair that fails. One side of a join lies
+    in the parts of its bucket, the other visits them all.
     """
-    meets = lambda x, y: (F.col(f"{x}.bucket") == F.col(f"{y}.bucket")) & (F.col("x.label") < F.col("y.label")) & plausible("x", "y")
-    low = stage(apart.alias("x").join(apart.alias("y"), meets("x", "y"), "left_semi"))
-    high = stage(apart.alias("y").join(apart.alias("x"), meets("y", "x"), "left_semi"))
+    at = lambda x, y: (F.col(f"{x}.bucket") == F.col(f"{y}.bucket")) & (F.col(f"{x}.part") == F.col(f"{y}.part"))
+    meets = lambda x, y: at(x, y) & (F.col("x.label") < F.col("y.label")) & plausible("x", "y")
+    dealt = apart.withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    visiting = lambda df: df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low = stage(dealt.alias("x").join(visiting(apart).alias("y"), meets("x", "y"), "left_semi"))
+    high = stage(dealt.alias("y").join(visiting(apart).alias("x"), meets("y", "x"), "left_semi"))
     ids = low.select(F.col("rep").alias("id")).unionByName(high.select(F.col("rep").alias("id")))
     sets = stage(shingle_sets(docs, ids, shingle).withColumnRenamed("id", "rep").join(keys, "rep"))
-    x, y = low.join(sets, "rep").alias("x"), high.join(sets, "rep").alias("y")
+    x, y = low.join(sets, "rep").alias("x"), visiting(high.join(sets, "rep")).alias("y")
     first = F.element_at(F.array_intersect("x.bands", "y.bands"), 1) == F.col("x.bucket")
     shared = F.size(F.array_intersect("x.set", "y.set"))
     reached = shared * 100 >= SIMILARITY * (F.col("x.n") + F.col("y.n") - shared)
@@ -189,7 +195,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
     # Members of buckets that still span several components.
     label = F.coalesce("component", "rep").alias("label")
     known = members.join(reached, F.col("rep") == F.col("vertex"), "left").select("bucket", "rep", label)
-    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("bucket")
+    mixed = known.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"),
+                                          F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("parts")).where("low < high").select("bucket", "parts")
     apart = stage(known.join(mixed, "bucket").join(light, "rep"))
     more = stage(_across(docs, apart, classes.select("rep", "bands"), shingle))
     if not more.isEmpty():
