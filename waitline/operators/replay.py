@@ -97,6 +97,11 @@ def named(value: Column, then) -> Column:
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
+def scores_of(jobs: Column, stations: Column, p: Params) -> Column:
+    """Scores of one number of stations; the waits are computed once and then named."""
+    return named(served(jobs, stations), lambda waits: scores(waits, p))
+
+
 def level_scores(jobs: Column, p: Params) -> Column:
     """Scores for 0..max extra staff. A level is replayed only if more staff can still change its waits.
 
