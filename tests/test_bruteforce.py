@@ -1,6 +1,7 @@
 """Random visits: Spark results against plain restatements."""
 
 import random
+import time
 from datetime import timedelta
 
 import pytest
@@ -87,6 +88,26 @@ def test_staffing_sweep(rows, metrics, points):
             assert [r.avg[x], r.p95[x], r.max[x], r.sla[x]] == pytest.approx(list(want), abs=1e-7)
 
 
+def test_a_crowded_window_is_replayed_in_time_that_grows_with_its_jobs(spark):
+    """200,000 customers in one half hour: seconds, where a growing copied list of waits takes minutes."""
+    n = 200_000
+    i, start = F.col("id"), F.lit(at(0)).cast("timestamp")
+    m = spark.range(n).select(
+        F.lit("LAB_A").alias("lab_id"), F.concat(F.lit("P"), i).alias("patient_id"), F.lit(3.0).alias("service_minutes"),
+        *[(start + F.make_dt_interval(mins=F.lit(x), secs=(i % 1800).cast("decimal(18, 6)"))).alias(c) for c, x in (
+            ("arrival_time", 0), ("queue_entry_time", 40), ("service_start_time", 50), ("service_end_time", 53))])
+    points = spark.createDataFrame([("LAB_A", at(0)), ("LAB_A", at(-4000)), ("LAB_B", at(0))], "lab_id string, window_start timestamp")
+    begun = time.monotonic()
+    got = {(r.lab_id, r.window_start): r for r in replay.staffing_sweep(m, points, P).collect()}
+    assert time.monotonic() - begun < 45
+    assert len(got) == 3 and all(got[k].sla == [100.0] * 4 for k in (("LAB_A", at(-4000)), ("LAB_B", at(0))))
+    r = got["LAB_A", at(0)]
+    assert (r.initial_waiting, r.initial_in_service, r.future_arrivals) == (0, 0, n)
+    jobs = [(x / 60, 3.0, 0.0) for x in sorted(j % 1800 for j in range(n))]
+    for extra in range(4):
+        assert [r.avg[extra], r.p95[extra], r.max[extra], r.sla[extra]] == pytest.approx(list(scorecard(heap_waits(jobs, 1 + extra))), abs=1e-6)
+
+
 def test_episode_is_one_instant_of_the_report(metrics, points):
     instant = points.orderBy("window_start").first().window_start
     one = counterfactual.episode(metrics, points, instant, P)
