@@ -13,7 +13,7 @@ from waitline.functions.ranks import wait_scorecard
 from waitline.functions.spread import running
 from waitline.operators import counterfactual, forecast, gold, grid, lifecycle, policy, replay, windows
 from waitline.params import Params
-from waitline.sources import versions
+from waitline.sources import versions, visits
 
 P = Params(staff_count=1, max_additional_staff=3, on_overflow="queue")
 
@@ -232,6 +232,18 @@ def test_a_reader_keeps_its_version_while_the_tables_are_refreshed(spark, tmp_pa
     assert not list((tmp_path / versions.LEASES).glob("*.json"))
 
 
+def test_tasks_grow_with_the_rows_of_the_table(spark, monkeypatch):
+    """Neither the tasks that read events nor those behind a shuffle are a fixed number."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(visits, "ROWS_PER_TASK", 40)
+    try:
+        read = visits.visits(spark, "/root/testdata/sf0.001")
+        assert read.rdd.getNumPartitions() == 25 == int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert read.count() == 1000 and max(read.groupBy(F.spark_partition_id()).count().toPandas()["count"]) < 120
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def test_recorded_order_decides_offline_twin(spark):
     schema = "patient_id string, lab_id string, event_type string, event_time timestamp, seq int"
     kinds = ["PATIENT_ARRIVAL", "REGISTRATION_COMPLETED", "QUEUE_ENTERED", "SERVICE_STARTED", "SERVICE_COMPLETED", "PATIENT_DEPARTED"]

@@ -74,8 +74,9 @@ def decisions(s, d):
     return counterfactual.staffing_decisions(state(s, d))
 
 
-def silver(s, d):
-    return ingest.silver(visit_records(s, d), P)
+def state_events(s, d):
+    """Silver events with what lifecycles need, so that no other column is shuffled."""
+    return ingest.silver(visit_records(s, d), P, columns=("event_type", "event_time", *lifecycle.KEYS, *lifecycle.ATTRIBUTES))
 
 
 def points(s, d):
@@ -134,8 +135,8 @@ def accepted_events(s, d):
 @query
 def silver_events(s, d):
     """Accepted events, the first record of each event_id."""
-    return silver(s, d).select("event_id", "event_type", "patient_id", "lab_id", "event_time", "offset",
-                               "event_lag_seconds", "is_late")
+    return ingest.silver(visit_records(s, d), P, columns=("event_id", "event_type", "patient_id", "lab_id", "event_time", "offset",
+                                                          "event_lag_seconds", "is_late"))
 
 
 @query
@@ -172,7 +173,7 @@ def bronze_envelope(s, d):
 
 @query
 def lifecycle_states(s, d):
-    return lifecycle.lifecycle_state(silver(s, d))
+    return lifecycle.lifecycle_state(state_events(s, d))
 
 
 @query
@@ -184,7 +185,7 @@ def merged_lifecycles(s, d):
 
 @query
 def finished_lifecycles(s, d):
-    return lifecycle.finished(lifecycle.lifecycle_state(silver(s, d))).select(
+    return lifecycle.finished(lifecycle.lifecycle_state(state_events(s, d))).select(
         "patient_id", "lab_id", "arrival_time", "service_start_time", "departure_time")
 
 
@@ -545,11 +546,6 @@ def theory_validation(s, d):
 
 # Gold tables: one chain from recorded events ---------------------------------------------------------
 
-def state_events(s, d):
-    """Silver events with what lifecycles need, so that no other column is shuffled."""
-    return ingest.silver(visit_records(s, d), P, columns=("event_type", "event_time", *lifecycle.KEYS, *lifecycle.ATTRIBUTES))
-
-
 def chain(s, d):
     return gold.tables(state_events(s, d), P)
 

@@ -13,14 +13,25 @@ def visits(spark: SparkSession, folder: str) -> DataFrame:
     return visits_of(spread(spark.read.parquet(f"{folder}/events.parquet")))
 
 
+ROWS_PER_TASK = 100_000  # a row becomes six or seven records with text of their own
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core on an input that comes as fewer splits than there are cores.
+    """Use every core, and as many tasks as the rows need, on an input that comes as fewer splits.
 
-    Only such small inputs are shuffled; a table of many files is read as it lies.
+    What a task sorts or parses is then bounded however large the table is; a table of enough splits is read as it lies.
+    Rows go by their values, as dealing them in turn would first sort each split. Later shuffles get as many partitions
+    at least (adaptive execution merges small ones), so that what comes out of them is bounded too.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.isStreaming or df.rdd.getNumPartitions() < cores:
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if df.isStreaming:
         return df.repartition(cores)
+    needed = -(-df.count() // ROWS_PER_TASK)
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) < needed:
+        spark.conf.set("spark.sql.shuffle.partitions", str(needed))
+    if df.rdd.getNumPartitions() < max(cores, needed):
+        return df.repartition(max(cores, needed), *df.columns)
     return df
 
 
