@@ -305,6 +305,21 @@ def test_a_version_is_committed_once(spark, root):
     assert versions.read(spark, f"{root}/none", "id long").count() == 0
 
 
+def test_a_version_has_files_by_rows_not_by_state_partitions(spark, root):
+    """A follower has a task for each file; a batch without records is none."""
+    import glob
+
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        write_batch(spark, root, 0, [event(f"e{i}", i % 50) for i in range(400)] + ["broken"], ingested=60)
+        run_silver(spark, root)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert versions.versions(spark, f"{root}/silver") == [0] and silver_rows(spark, root).count() == 400
+    assert len(glob.glob(f"{root}/silver/data/*/*.parquet")) <= spark.sparkContext.defaultParallelism
+    assert jobs.quarantine_table(spark, root).first().event_json == "broken"
+
+
 def test_batches_cost_what_they_hold(spark, root):
     """Ids are kept as state: stored silver is not read, even if it is out of reach."""
     import os
