@@ -340,6 +340,14 @@ def test_batches_cost_what_they_hold(spark, root):
     assert sorted(r.event_id for r in silver_rows(spark, root).collect()) == ["e0", "e1", "e2", "e3", "e4", "e5", "new", "same"]
 
 
+def test_an_id_is_looked_up_once(spark, root):
+    """Writing a new id asks the state nothing more: it was asked when the id was read."""
+    write_batch(spark, root, 0, [event(f"e{i}", i % 50) for i in range(300)])
+    state = [b["stateOperators"][0] for b in run_silver(spark, root) if b["numInputRows"]]
+    assert [s["numRowsUpdated"] for s in state] == [300] and silver_rows(spark, root).count() == 300
+    assert sum(s["customMetrics"]["rocksdbGetCount"] for s in state) == 300
+
+
 def test_the_record_read_first_stays_whatever_file_brought_it(spark, root):
     rows = [("t", i % 3, i, at(20 - i % 7), "k", event(f"e{i % 10}", i % 5), at(30)) for i in range(200)]
     spark.createDataFrame(rows, jobs.BRONZE_SCHEMA).repartition(8).write.parquet(f"{root}/bronze")
