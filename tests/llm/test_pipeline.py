@@ -4,12 +4,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from test_operators import brute_components, table, texts_of, toxic_table, words_of
-from waitline.llm import mixing, pieces, toxicity
+from waitline.llm import minhash, mixing, pieces, toxicity
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -100,3 +101,16 @@ def test_statements_equal_their_queries(spark):
 
     for name, sql in ORACLES.items():
         assert compare(entry.queries()[name](spark, SMALL).toPandas(), connect(SMALL).execute(sql).df()) == "ok"
+
+
+def test_python_workers_get_texts_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = table(spark, [(i, "tari " * 20_000, "s0") for i in range(100)]).coalesce(1)
+    minhash.signatures(docs, 5)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) > 9 << 20 and max(found) < 5 << 20

@@ -6,13 +6,24 @@ from collections.abc import Callable
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waitline.sources.tables import lookup
 
 LOWEST = -(1 << 63)
 SPACES = "[\\x20\\x09-\\x0D]+"
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers a few megabytes at a time, whatever the number of rows; a size set by the user stays.
+
+    A batch is held by the executor and by its worker, and neither gives such memory back when the task ends.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
 
 
 def texts(docs: DataFrame, *more: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waitline.llm.common import LOWEST, chunks, texts, word_hashes
+from waitline.llm.common import LOWEST, chunks, small_batches, texts, word_hashes
 from waitline.llm.components import components
 from waitline.sources.session import ship_package
 from waitline.sources.tables import lookup, stage
@@ -78,6 +78,7 @@ def packed(low: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """Set size, 128-bit set hash, band keys and packed bits of every document."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     names = [c.split()[0] for c in SIGNATURE.split(", ")]
 
     def run(batches):

@@ -31,7 +31,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waitline.llm.common import chunks, texts
+from waitline.llm.common import chunks, small_batches, texts
 from waitline.sources.session import ship_package
 from waitline.sources.tables import stage
 
@@ -226,6 +226,7 @@ OUT = {"doc_id": pa.int64(), "n_chars": pa.int64(), "n_tokens": pa.int64(), "ids
 def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, n_chars, n_tokens, ids, decoded_sha256 (of the text the ids decode to) and round_trip."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     proto = read_model(model)
 
     def whole(batches):

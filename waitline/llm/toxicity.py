@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waitline.llm.common import chunks, texts
+from waitline.llm.common import chunks, small_batches, texts
 from waitline.sources.session import ship_package
 from waitline.sources.tables import stage
 
@@ -43,6 +43,7 @@ TELLING = 5  # a suspect word is so many times likelier in toxic texts than in o
 SAMPLE, TRAIN_CHARS = 2000, 200_000
 THRESHOLD = 0.3
 MEMO = 400_000
+HELD = 1 << 19  # characters whose words are held at a time
 #: Digits and signs read as the letters they stand for.
 ALIKE = str.maketrans("013457@$", "oieastas")
 
@@ -294,6 +295,7 @@ def hash_of(u: str) -> int:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = TRAIN_CHARS) -> Model | None:
     """Train on a bounded sample of labelled texts. labels: doc_id, toxic."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     usable = texts(docs).where(F.length("text").between(1, chars))
     # Labels of other texts than these neither use up the sample nor count.
@@ -353,6 +355,7 @@ class Scorer:
 def score_texts(docs: DataFrame, model: Model | None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, score and predicted of every document. No shuffle; the model (0.5 MB) goes with the task."""
     ship_package(docs.sparkSession)
+    small_batches(docs.sparkSession)
     predicted = (F.col("score") >= threshold).cast("int").alias("predicted")
     if model is None:
         return texts(docs).select("doc_id", F.lit(0.0).alias("score")).select("doc_id", "score", predicted)
@@ -360,7 +363,7 @@ def score_texts(docs: DataFrame, model: Model | None, threshold: float = THRESHO
 
     def run(batches):
         scorer = Scorer(Model(*shared.value))
-        for held in chunks(batches, 2 << 20):
+        for held in chunks(batches, HELD):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k for k, _ in held], pa.int64()), pa.array(scorer.score([t for _, t in held]), pa.float64())],
                 names=["doc_id", "score"])
@@ -386,7 +389,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, tra
             for text in held:
                 part.append(text)
                 size += len(text)
-                if size > 2 << 20:
+                if size > HELD:
                     out += scorer.score(part)
                     part, size = [], 0
             yield pd.Series(out + (scorer.score(part) if part else []), dtype=float)
