@@ -320,3 +320,51 @@ def test_points_off_the_grid_are_not_moved(spark, rows):
     for run in (replay.staffing_sweep, replay.window_load):
         with pytest.raises(Exception, match="off the grid"):
             run(m, point, P).collect()
+
+
+def shuffled_rows(df):
+    """Rows of each shuffle of a query that has been run."""
+    out, nodes = [], [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+        elif node.nodeName() == "Exchange":
+            out.append(node.metrics().apply("shuffleRecordsWritten").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def test_a_visit_is_shuffled_once_for_its_episode(spark):
+    """It goes to the one or two bins it lies in, not to those of each role."""
+    rows = random_visits(400, 9, 600)
+    m = lifecycle.patient_metrics(visit_frame(spark, rows), P)
+    instants = spark.createDataFrame([("LAB_A", at(x)) for x in (30, 31, 200)], "lab_id string, timestamp timestamp")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = grid.episode_at(m, instants, P)
+        plan.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert 400 <= max(shuffled_rows(plan)) <= 800
+
+
+def test_roles_of_visits_whose_times_are_not_in_order(spark):
+    """Queued on arrival, served before queueing, or without some times: every role that holds at a moment is a row."""
+    times = [(5, 5, 9, 12), (5, 8, 6, 12), (5, 2, 9, 4), (None, 3, 8, 9), (5, None, 6, 8), (5, 6, None, 8), (5, 6, 7, None), (5, 7, 7, 7)]
+    m = spark.createDataFrame([(f"P{i}", "LAB_A", "WALK_IN", 1.0, *[None if x is None else at(x) for x in row]) for i, row in enumerate(times)],
+                              "patient_id string, lab_id string, patient_type string, service_minutes double, arrival_time timestamp, "
+                              "queue_entry_time timestamp, service_start_time timestamp, service_end_time timestamp")
+    moments = [x / 2 for x in range(-60, 30)]
+    instants = spark.createDataFrame([("LAB_A", at(x)) for x in moments], "lab_id string, timestamp timestamp")
+    got = sorted((r.patient_id, r.timestamp, r.role, r.microseconds // 1_000_000) for r in grid.episode_at(m, instants, P).collect())
+    want = []
+    for i, (a, q, b, d) in enumerate(times):
+        for t in moments:
+            want += [(f"P{i}", at(t), "WAITING", (t - q) * 60)] if None not in (q, b) and q <= t < b else []
+            want += [(f"P{i}", at(t), "SERVING", (d - t) * 60)] if None not in (b, d) and b <= t < d else []
+            want += [(f"P{i}", at(t), "ARRIVING", (a - t) * 60)] if a is not None and 0 <= a - t < 30 else []
+    assert got == sorted(want)
