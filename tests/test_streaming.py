@@ -440,3 +440,57 @@ def test_lost_segments(spark, root):
     with pytest.raises(Exception, match="partition 1 are gone"):
         read_topic(spark, root, "strict", fail_on_data_loss=True)
     assert read_topic(spark, root, "lenient") == [i for i in range(40) if not (i % 2 and 10 <= i < 20)]
+
+
+# What stays on disk ---------------------------------------------------------------------------
+
+def shuffle_files(spark):
+    names = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    return {n for n in names if "/shuffle_" in n}
+
+
+def test_shuffles_go_with_their_micro_batch(spark, root):
+    """Of the silver job and its followers; those of earlier batches do not pile up until the driver collects garbage."""
+    import time
+
+    before = shuffle_files(spark)
+    for n in range(3):
+        write_batch(spark, root, n, [event(f"e{n}-{i}", n, patient=f"P{i}") for i in range(50)])
+    drain(jobs.silver_job(jobs.table_stream(spark, f"{root}/bronze", jobs.BRONZE_SCHEMA, files_per_batch=1), root, P, drain=True))
+    drain(jobs.window_count_job(jobs.follow_silver(spark, root), root, P, drain=True))
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left and silver_rows(spark, root).count() == 150
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false", "for the streams alone"
+
+
+def test_a_consumed_table_shrinks_as_it_is_read(spark, root):
+    import glob
+
+    for n in range(4):
+        write_batch(spark, root, n, [event(f"e{n}", n)])
+    files = lambda: len(glob.glob(f"{root}/bronze/*.parquet"))
+    assert files() == 4
+    drain(jobs.silver_job(jobs.table_stream(spark, f"{root}/bronze", jobs.BRONZE_SCHEMA, 1, consume=True), root, P, drain=True))
+    assert files() <= 1 and sorted(r.event_id for r in silver_rows(spark, root).collect()) == ["e0", "e1", "e2", "e3"]
+
+
+@pytest.mark.parametrize("build,kept", [("silver_events", {"silver"}), ("batch_counts", {"batch_counts"}),
+                                        ("window_counts", {"window_counts"}), ("lifecycles", {"lifecycles"})])
+def test_a_drained_stream_leaves_what_its_result_reads(spark, root, monkeypatch, build, kept):
+    """The rest goes at once, what is left when the application ends; the records are stored once."""
+    import os
+
+    from waitline.plans import streams
+
+    staged = []
+    monkeypatch.setattr(streams, "workspace", lambda _: f"{root}/work")
+    monkeypatch.setattr(streams, "stage", lambda df: staged.append(df) or tables.stage(df))
+    got = getattr(streams, build)(spark, "/root/testdata/sf0.001", P)
+    assert got.count() > 0 and not staged
+    assert {"silver", "batch_counts", "window_counts", "lifecycles", "bronze"} & set(os.listdir(f"{root}/work")) <= kept | {"batch_counts"}
+    _, target, fs = tables._filesystem(spark, f"{root}/work")
+    assert fs.cancelDeleteOnExit(target), "noted for deletion"
